@@ -14,9 +14,10 @@ in a million.
 Verification: sets with equal fingerprints are one class from the start, so
 copies cost one row each. In every bucket, classes are compared with a leader on
 their full sets; classes linked with it need no further pairs among themselves.
-Buckets whose classes are still in several components get other leaders, and
-what remains after these rounds is compared pair by pair between components,
-whatever its size. Links are 100 * intersection >= percent * union on full sets;
+The first leader is the bucket's most central class, the one that shares the most
+buckets with others. Buckets whose classes are still in several components get
+several more leaders, and what remains after these rounds is compared pair by
+pair between components, whatever its size, each pair in one bucket only. Links are 100 * intersection >= percent * union on full sets;
 components are their transitive closure.
 
 Elements are 64-bit hashes of word shingles; words are `[^\\x20\\x09-\\x0D]+`
@@ -40,8 +41,8 @@ from palimpsest.llm.common import arrow_map, as_batches, ascii_lower, mix64, sto
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Rounds of leaders before the rest is compared pair by pair.
-LEADER_ROUNDS = 2
+#: Leaders of a bucket in each round before the rest is compared pair by pair.
+LEADERS = (1, 8)
 #: Words whose hashes a worker keeps; on reaching it the store starts anew.
 STORE_WORDS = 500_000
 _U = np.uint64
@@ -186,16 +187,17 @@ def near_duplicates(
     classes = stored(
         base.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("id").alias("rep"), F.min_by("buckets", "id").alias("buckets"), F.min("n_shingles").alias("n"))
     )
-    member = stored(_shared(classes.select(F.col("rep").alias("id"), "n", F.explode("buckets").alias("bucket"))))
+    member = _shared(classes.select(F.col("rep").alias("id"), "n", F.explode("buckets").alias("bucket")))
+    member = stored(member.join(member.groupBy("id").agg(F.sum("size").alias("weight")), "id").drop("size"))
     wanted = member.select(F.col("id").alias(id_col)).distinct()
     sets = stored(full_sets(df.select(id_col, text_col).join(wanted, id_col, "left_semi").dropDuplicates([id_col]), width, id_col, text_col))
 
     links = spark.createDataFrame([], "a long, b long")
     tried = spark.createDataFrame([], "a long, b long")
     comp = None
-    for turn in range(LEADER_ROUNDS + 1):
+    for turn, leaders in enumerate((*LEADERS, 0)):
         rows_left = _open(member, comp)
-        pairs = _leaders(rows_left, turn) if turn < LEADER_ROUNDS else _between(rows_left)
+        pairs = _leaders(rows_left, turn, leaders) if leaders else _between(rows_left, classes)
         near_size = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         fresh = stored(near_size.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         tried = tried.union(fresh)
@@ -217,9 +219,8 @@ def near_duplicates(
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose bucket holds more than one class."""
-    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
-    return rows.join(several, "bucket", "left_semi")
+    """The rows whose bucket holds more than one class, with the bucket's size."""
+    return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket")
 
 
 def _open(member: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -239,18 +240,21 @@ def _pair(x: str, nx: str, y: str, ny: str) -> list:
     ]
 
 
-def _leaders(rows: DataFrame, turn: int) -> DataFrame:
-    """Every bucket's members with its leader: the smallest id first, later the member with the smallest seeded hash."""
-    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    lead = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "n"), order).alias("lead")).select("bucket", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
-    return rows.join(lead, "bucket").filter("id != lead").select(*_pair("lead", "lead_n", "id", "n"))
+def _leaders(rows: DataFrame, turn: int, leaders: int) -> DataFrame:
+    """Every bucket's members with its leaders in other components: the most central class first, later those with the smallest seeded hashes."""
+    me = F.struct("id", "n", "component")
+    orders = [F.struct(-F.col("weight"), F.col("id"))] if turn == 0 else [F.struct(F.xxhash64("id", F.lit(turn * 100 + k)), F.col("id")) for k in range(leaders)]
+    lead = rows.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(me, o) for o in orders])).alias("lead")).select("bucket", F.explode("lead").alias("lead"))
+    lead = lead.select("bucket", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.component").alias("lead_component"))
+    return rows.join(lead, "bucket").filter("component != lead_component").select(*_pair("lead", "lead_n", "id", "n"))
 
 
-def _between(rows: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members that lie in different components."""
-    left = rows.select("bucket", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("component").alias("ci"))
-    right = rows.select("bucket", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("component").alias("cj"))
-    return left.join(right, "bucket").filter("i < j and ci != cj").select(*_pair("i", "ni", "j", "nj"))
+def _between(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of a bucket's members that lie in different components, each in the smallest bucket that both are in."""
+    rows = rows.join(classes.select(F.col("rep").alias("id"), "buckets"), "id")
+    left = rows.select("bucket", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("component").alias("ci"), F.col("buckets").alias("bi"))
+    right = rows.select("bucket", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("component").alias("cj"), F.col("buckets").alias("bj"))
+    return left.join(right, "bucket").filter("i < j and ci != cj and bucket = array_min(array_intersect(bi, bj))").select(*_pair("i", "ni", "j", "nj"))
 
 
 def keep_representatives(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
