@@ -5,15 +5,631 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import fixed, strings, tokens
+from palimpsest.functions.config import Settings
+from palimpsest.operators import benchmarks, dictionary, folding, metrics, phrases, regions, replies, sessions, verifier
+from palimpsest.plans import derived, encode, replay
+from palimpsest.plans.derived import quoted, re2, replace_sql, tokens_sql
+from palimpsest.sources import chat
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+WITH = f"WITH {derived.prompts_sql()}"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def on_prompts(name: str, make, sql: str | None = None) -> None:
+    """A query that adds columns (name -> Column of ``content``) to every prompt."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = derived.prompts(spark, sf_dir)
+        return p.select("conv_id", "idx", *[c.alias(n) for n, c in make(F.col("content")).items()])
+
+    query(name, f"{WITH} SELECT conv_id, idx, {sql} FROM prompts" if sql else None)(run)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def joined(array) -> F.Column:
+    return F.array_join(array, "|")
+
+
+# --- tokens ------------------------------------------------------------------------------------
+
+
+@query("t02_token_count", f"SELECT conv_id, turn AS idx, {tokens_sql('text')} AS tokens FROM conversations")
+def t02(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("idx"), tokens.estimate(F.col("text")).alias("tokens"))
+
+
+@query("t05_conversation_tokens", f"SELECT conv_id, role, sum({tokens_sql('text')})::BIGINT AS tokens, count(*) AS messages FROM conversations GROUP BY ALL")
+def t05(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.sum(tokens.estimate(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("messages"))
+
+
+MODELS = ("gpt-4o-mini", "GPT-4-turbo", "o3", "claude-sonnet", "qwen2.5:0.5b", "Meta-Llama-3", "deepseek-v3", "mixtral-8x7b", "gemma2", "unknown", "text-embedding-3")
+_MODEL_SQL = "(CASE conv_id % 11 " + " ".join(f"WHEN {k} THEN {quoted(m)}" for k, m in enumerate(MODELS)) + " END)"
+
+
+def model_column():
+    return F.element_at(F.array(*map(F.lit, MODELS)), (F.col("conv_id") % len(MODELS) + 1).cast("int"))
+
+
+@query(
+    "t01_profile_route",
+    "SELECT conv_id, " + _MODEL_SQL + " AS model, CASE " + " ".join(f"WHEN regexp_matches({_MODEL_SQL}, {quoted('(?i)' + p)}) THEN {quoted(n)}" for p, n, _, _ in fixed.PROFILES) + " ELSE 'o200k' END AS profile FROM (SELECT DISTINCT conv_id FROM conversations)",
+)
+def t01(spark, sf_dir):
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return ids.select("conv_id", model_column().alias("model")).withColumn("profile", tokens.profile(F.col("model"))["name"])
+
+
+@query("t06_profiles", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {quoted(n)}, {quoted(kind)}, {str(exact).lower()})" for k, (_, n, kind, exact) in enumerate(fixed.PROFILES)) + ") t(rank, name, kind, exact)")
+def t06(spark, sf_dir):
+    return tokens.profiles(spark).select("rank", "name", "kind", "exact")
+
+
+# --- protected regions --------------------------------------------------------------------------
+
+#: Kinds whose patterns look around or back, which the twin's engine can't; tests hold these against goldens.
+NO_TWIN = {"json_block", "xml_block", "posix_path", "regex_lit"}
+for _number, (_kind, _pattern) in enumerate(fixed.REGIONS, 10):
+    on_prompts(
+        f"p{_number}_{_kind}",
+        lambda c, p=_pattern: {"n": F.size(strings.found(c, p)).cast("long"), "regions": joined(strings.found(c, p))},
+        None if _kind in NO_TWIN else f"len(regexp_extract_all(content, {quoted(re2(_pattern))})) AS n, array_to_string(regexp_extract_all(content, {quoted(re2(_pattern))}), '|') AS regions",
+    )
+
+
+@query("p01_skeleton")
+def p01(spark, sf_dir):
+    out = regions.extract(derived.prompts(spark, sf_dir), "content")
+    return out.select("conv_id", "idx", "skeleton", F.size("regions").alias("n_regions"))
+
+
+@query("p03_roundtrip", "SELECT doc_id, true AS same FROM documents")
+def p03(spark, sf_dir):
+    out = regions.extract(table(spark, sf_dir, "documents").withColumn("text", strings.text("text")), "text")
+    return out.select("doc_id", (regions.restore(F.col("skeleton"), F.col("regions")) == F.col("text")).alias("same"))
+
+
+# --- phrases and invariants -----------------------------------------------------------------------
+
+_JUST = (r"(?i)\bjust\s+(go|make|do|run|check|take|try|add|use)", "$1")
+DELETE_RULES = [_JUST if "(?=" in p else (f"(?i){p}", "") for p in fixed.DELETED]
+REWRITE_RULES = [(f"(?i){p}", r) for p, r in fixed.REWRITTEN]
+TIGHTEN_RULES = [fixed.TIGHTENED[0], (r",\s*,+", ","), (r";\s*;+", ";"), (r":\s*:+", ":"), *fixed.TIGHTENED[2:]]
+TERSE_SQL = replace_sql("content", [*DELETE_RULES, *REWRITE_RULES, *TIGHTEN_RULES])
+_NEG_SQL = f"list_transform(regexp_extract_all({{c}}, {quoted(re2(fixed.NEGATION))}), lambda x: replace(lower(x), '''', ''))"
+_NUM_SQL = r"list_sort(regexp_extract_all({c}, '\d+(?:\.\d+)?'))"
+
+
+def _case(x: str, values: dict[str, str]) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in values.items()) + f" ELSE {x} END"
+
+
+_WORDS = "at least|at most|no more than|no fewer than|up to|exactly"
+_CMP_SQL = f"list_transform(list_transform(regexp_extract_all({{c}}, '(?i)<=|>=|<|>|\\b(?:{_WORDS})\\b\\s*\\d'), lambda x: regexp_replace(lower(x), '\\s*\\d$', '')), lambda x: {_case('x', fixed.COMPARATOR_SIGNS)})"
+_MOD_SQL = r"list_transform(regexp_extract_all(regexp_replace({c}, '(?i)as always', 'as _', 'g'), '(?i)\b(?:must(?: not)?|shall(?: not)?|should(?: not)?|may(?: not)?|optional(?:ly)?|required|mandatory|always)\b'), lambda x: " + _case("lower(x)", fixed.MODALITY_CLASSES) + ")"
+_CLASS_SQL = "list_transform(" + _NEG_SQL + ", lambda x: CASE WHEN x IN (" + ", ".join(map(quoted, fixed.PROHIBITIONS)) + ") THEN 'NEG' ELSE x END)"
+
+
+def _joined_sql(expr: str, name: str, c: str = "content") -> str:
+    return f"array_to_string({expr.replace('{c}', c)}, '|') AS {name}"
+
+
+on_prompts("h01_delete", lambda c: {"out": phrases.delete(c)}, f"{replace_sql('content', DELETE_RULES)} AS out")
+on_prompts("h02_rewrite", lambda c: {"out": phrases.rewrite(c)}, f"{replace_sql('content', REWRITE_RULES)} AS out")
+on_prompts("h03_tighten", lambda c: {"out": phrases.tighten(c)}, f"{replace_sql('content', TIGHTEN_RULES)} AS out")
+on_prompts("h04_compress", lambda c: {"out": phrases.compress(c), "tokens": tokens.estimate(phrases.compress(c))}, f"{TERSE_SQL} AS out, {tokens_sql(TERSE_SQL)} AS tokens")
+on_prompts("h05_negations", lambda c: {"negations": joined(phrases.negations(c))}, _joined_sql(_NEG_SQL, "negations"))
+on_prompts("v01_numbers", lambda c: {"numbers": joined(verifier.numbers(c))}, _joined_sql(_NUM_SQL, "numbers"))
+on_prompts("v02_comparators", lambda c: {"comparators": joined(verifier.comparators(c))}, _joined_sql(_CMP_SQL, "comparators"))
+on_prompts("v03_modality", lambda c: {"modality": joined(verifier.modality(c))}, _joined_sql(_MOD_SQL, "modality"))
+on_prompts("v04_negation_classes", lambda c: {"classes": joined(verifier.negation_classes(c))}, _joined_sql(_CLASS_SQL, "classes"))
+
+
+def _signature(c):
+    s = verifier.signature(c)
+    return {n: joined(s[n]) for n in ("negations", "numbers", "comparators", "modality")}
+
+
+on_prompts("v05_signature", _signature, ", ".join(_joined_sql(e, n) for e, n in ((_NEG_SQL, "negations"), (_NUM_SQL, "numbers"), (_CMP_SQL, "comparators"), (_MOD_SQL, "modality"))))
+
+
+@query(
+    "v06_verify",
+    f"{WITH}, pairs AS (SELECT conv_id, idx, content AS a, {TERSE_SQL} AS b FROM prompts), x AS (SELECT conv_id, idx, "
+    + ", ".join(f"{e.replace('{c}', 'a')} <> {e.replace('{c}', 'b')} AS {n}" for e, n in ((_CLASS_SQL, "negation"), (_NUM_SQL, "numbers"), (_CMP_SQL, "comparators"), (_MOD_SQL, "modality")))
+    + " FROM pairs), y AS (SELECT conv_id, idx, list_filter([CASE WHEN negation THEN 'negation' END, CASE WHEN numbers THEN 'numbers' END, CASE WHEN comparators THEN 'comparators' END, CASE WHEN modality THEN 'modality' END], lambda f: f IS NOT NULL) AS failures FROM x) "
+    "SELECT conv_id, idx, len(failures) = 0 AS ok, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.4::DOUBLE * len(failures)) AS confidence, array_to_string(failures, '|') AS failures FROM y",
+)
+def v06(spark, sf_dir):
+    p = derived.prompts(spark, sf_dir).withColumn("terse", phrases.compress(F.col("content")))
+    v = p.select("conv_id", "idx", verifier.verify(F.col("content"), F.col("terse")).alias("v"))
+    return v.select("conv_id", "idx", "v.ok", "v.confidence", joined(F.col("v.failures")).alias("failures"))
+
+
+# --- dictionary ------------------------------------------------------------------------------------
+
+SEED_RULES = dictionary.seed_rules()
+_BUNDLE_RULE = (fixed.BUNDLE_GAP.join(rf"\b{m}\b" for m in fixed.BUNDLE_MEMBERS), fixed.BUNDLE)
+CODED_SQL = replace_sql(TERSE_SQL, SEED_RULES)
+_LINES = {code: expansion for code, expansion, _ in fixed.SEEDS}
+_LINES[fixed.BUNDLE] = f"{fixed.BUNDLE_LABEL}: " + " + ".join(_LINES[m] for m in fixed.BUNDLE_MEMBERS)
+_MAP_SQL = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in _LINES.items()) + "}"
+
+
+def expand_sql(c: str) -> str:
+    """Pieces between codes and the codes' expansions, laid end to end."""
+    code = r"\b[KPE]\d+\b"
+    pieces, codes = f"string_split_regex({c}, {quoted(code)})", f"regexp_extract_all({c}, {quoted(code)})"
+    return f"list_reduce(list_transform({pieces}, lambda p, i: p || coalesce({_MAP_SQL}[{codes}[i]], {codes}[i], '')), lambda a, b: a || b)"
+
+
+on_prompts("a03_substitute", lambda c: {"out": dictionary.substitute(phrases.compress(c), SEED_RULES)}, f"{CODED_SQL} AS out")
+on_prompts("a04_bundle", lambda c: {"out": dictionary.bundle(dictionary.substitute(phrases.compress(c), SEED_RULES))}, f"{replace_sql(CODED_SQL, [_BUNDLE_RULE])} AS out")
+on_prompts("a08_find_codes", lambda c: {"codes": joined(dictionary.codes(c))}, r"array_to_string(regexp_extract_all(content, '\b[KPE]\d+\b'), '|') AS codes")
+on_prompts("a09_expand", lambda c: {"out": dictionary.expand(c, dictionary.seed_expansions())}, f"{expand_sql('content')} AS out")
+
+
+@query("a01_established", "SELECT 'global' AS scope, 1 AS version, 16 AS n, " + quoted("|".join([*(c for c, _, _ in fixed.SEEDS), fixed.BUNDLE])) + " AS codes")
+def a01(spark, sf_dir):
+    live = dictionary.active(dictionary.generation(dictionary.seeds(spark)))
+    return live.select("scope", "version", F.size("codes").alias("n"), joined(F.col("codes")).alias("codes"))
+
+
+@query("a02_substitutable", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {quoted(code)}, {quoted(form[5:])})" for k, (form, code) in enumerate(SEED_RULES, 1)) + ") t(rank, code, form)")
+def a02(spark, sf_dir):
+    aliases = dictionary.seeds(spark)
+    return dictionary.substitutable(aliases, dictionary.generation(aliases)).select("rank", "code", "form")
+
+
+@query("a07_expansions", "SELECT * FROM (VALUES " + ", ".join(f"('global', {quoted(k)}, {quoted(v)})" for k, v in _LINES.items()) + ") t(scope, code, expansion)")
+def a07(spark, sf_dir):
+    return dictionary.expansions(dictionary.seeds(spark)).select("scope", F.explode("expansions").alias("code", "expansion"))
+
+
+def document_clauses(spark, sf_dir) -> DataFrame:
+    """Clauses of compressed documents, as a nursery reads them; scope is the language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("scope"), strings.text("text").alias("text"))
+    return docs.select("scope", "doc_id", F.posexplode(dictionary.clauses(F.col("text"))).alias("pos", "clause"))
+
+
+_CLAUSES = r"""clauses AS (SELECT scope, doc_id, clause, pos - 1 AS pos FROM (
+    SELECT scope, doc_id, unnest(cs) AS clause, generate_subscripts(cs, 1) AS pos FROM (
+        SELECT coalesce(lang, 'none') AS scope, doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), '[;\x01]'),
+            lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 15 AND NOT contains(x, '⟦')) AS cs FROM documents)))"""
+_NURSERY = f"""{_CLAUSES}, sized AS (SELECT scope, lower(clause) AS phrase, (doc_id * 100000 + pos) AS seq, {tokens_sql("clause")} AS t FROM clauses),
+    nursery AS (SELECT scope, phrase, count(*) AS count, arg_max(t, seq) AS tokens, min(seq) AS first_seen FROM sized WHERE length(phrase) >= 12 GROUP BY scope, phrase),
+    promotable AS (SELECT *, (tokens - 2) * least(count * 2, 20) - (tokens + 6) AS net FROM nursery WHERE (tokens - 2) * least(count * 2, 20) - (tokens + 6) >= 20 AND count >= 2)"""
+
+
+def document_nursery(spark, sf_dir) -> DataFrame:
+    return dictionary.nursery(document_clauses(spark, sf_dir).withColumn("seq", F.col("doc_id") * 100000 + F.col("pos")))
+
+
+@query("a10_clauses", f"WITH {_CLAUSES} SELECT scope, doc_id, pos, clause FROM clauses")
+def a10(spark, sf_dir):
+    return document_clauses(spark, sf_dir).select("scope", "doc_id", F.col("pos").cast("long").alias("pos"), "clause")
+
+
+@query("a11_nursery", f"WITH {_NURSERY} SELECT scope, phrase, count, tokens, first_seen FROM nursery")
+def a11(spark, sf_dir):
+    return document_nursery(spark, sf_dir)
+
+
+@query("a12_promotable", f"WITH {_NURSERY} SELECT scope, phrase, count, tokens, first_seen, net FROM promotable")
+def a12(spark, sf_dir):
+    return dictionary.promotable(document_nursery(spark, sf_dir))
+
+
+@query(
+    "a13_mint",
+    f"WITH {_NURSERY}, paid AS (SELECT scope FROM promotable GROUP BY scope HAVING sum(net) > 40) SELECT scope, 'K' || (coalesce(CASE WHEN scope = 'en' THEN 15 END, 0) + row_number() OVER (PARTITION BY scope ORDER BY net DESC, first_seen, phrase)) AS code, phrase AS expansion, net FROM promotable SEMI JOIN paid USING (scope)",
+)
+def a13(spark, sf_dir):
+    minted = dictionary.mint(document_nursery(spark, sf_dir), dictionary.seeds(spark, "en"))
+    return minted.select("scope", "code", "expansion", "net")
+
+
+_BOOT = "DICT v1 (shorthand; expand mentally): " + "; ".join([*(f"{c}={e}" for c, e, _ in fixed.SEEDS), f"{fixed.BUNDLE}={'+'.join(fixed.BUNDLE_MEMBERS)}"])
+
+
+@query("a14_bootstrap", f"SELECT 'global' AS scope, 1 AS version, {quoted(_BOOT)} AS bootstrap, {tokens_sql(quoted(_BOOT))} AS tokens")
+def a14(spark, sf_dir):
+    g = dictionary.generation(dictionary.seeds(spark))
+    return g.select("scope", "version", "bootstrap", tokens.estimate(F.col("bootstrap")).alias("tokens"))
+
+
+_DEFS_SQL = "MAP {" + ", ".join(f"{quoted(c)}: {quoted(c + '=' + e)}" for c, e, _ in fixed.SEEDS) + f", 'P1': {quoted('P1=' + '+'.join(fixed.BUNDLE_MEMBERS))}" + "}"
+on_prompts(
+    "a15_subset_bootstrap",
+    lambda c: {"block": dictionary.bootstrap_for(F.array_distinct(dictionary.codes(c)), dictionary.seed_definitions(), F.lit(1))},
+    f"coalesce('DICT v1 (shorthand; expand mentally): ' || nullif(array_to_string(list_filter(list_transform(list_filter(regexp_extract_all(content, '\\b[KPE]\\d+\\b'), lambda x, i: list_position(regexp_extract_all(content, '\\b[KPE]\\d+\\b'), x) = i), lambda x: {_DEFS_SQL}[x]), lambda x: x IS NOT NULL), '; '), ''), '') AS block",
+)
+
+
+@query("s12_import", "SELECT code, expansion FROM (VALUES " + ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in [*_LINES.items(), ("K201", "ship it")]) + ") t(code, expansion)")
+def s12(spark, sf_dir):
+    pack = spark.createDataFrame([("global", "K201", "ship it", ["ship it"], None), ("global", "K1", "other", ["other"], None)], dictionary.ALIASES)
+    again = chat.pack_aliases(chat.exported(pack))
+    return dictionary.imported(dictionary.seeds(spark), again).select("code", "expansion")
+
+
+# --- sessions -----------------------------------------------------------------------------------------
+
+
+@query("e01_content_hash", "SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS hash FROM documents")
+def e01(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", strings.content_hash(strings.text("text")).alias("hash"))
+
+
+@query("e02_session_id", f"{WITH} SELECT conv_id, substr(sha256(substr(coalesce(arg_min(content, idx) FILTER (role = 'system'), ''), 1, 400) || substr(coalesce(arg_min(content, idx) FILTER (role = 'user'), ''), 1, 400)), 1, 16) AS session FROM prompts GROUP BY conv_id")
+def e02(spark, sf_dir):
+    return sessions.session_ids(derived.prompts(spark, sf_dir))
+
+
+_STOPS = "(?:(?:" + "|".join(fixed.ENTITY_STOPS) + r")\s+)+"
+_NAMES = rf"""names AS (SELECT conv_id, idx, name, pos FROM (SELECT conv_id, idx, unnest(ns) AS name, generate_subscripts(ns, 1) - 1 AS pos FROM (SELECT conv_id, idx,
+    list_filter(list_transform(regexp_extract_all(content, '\b[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+){{1,3}}\b'), lambda n: regexp_replace(regexp_replace(n, '\s+', ' ', 'g'), '^{_STOPS}', '')), lambda n: contains(n, ' ') AND length(n) >= 8) AS ns
+    FROM prompts WHERE role IN ('user', 'system'))))"""
+
+
+@query("e03_entities", f"{WITH}, {_NAMES} SELECT conv_id, idx, pos, name FROM names")
+def e03(spark, sf_dir):
+    p = derived.prompts(spark, sf_dir).withColumn("req_no", F.lit(1))
+    return sessions.sightings(p).select("conv_id", "idx", F.col("pos").cast("long").alias("pos"), "name")
+
+
+@query(
+    "e04_entity_codes",
+    f"{WITH}, {_NAMES}, nth AS (SELECT *, row_number() OVER (PARTITION BY conv_id, name ORDER BY idx, pos) AS n FROM names) SELECT conv_id, 'E' || row_number() OVER (PARTITION BY conv_id ORDER BY idx, pos) AS code, name FROM nth WHERE n = 2",
+)
+def e04(spark, sf_dir):
+    p = derived.prompts(spark, sf_dir).withColumn("req_no", F.lit(1))
+    return sessions.entities(sessions.sightings(p)).select("conv_id", "code", "name")
+
+
+@query("e07_repeat_blobs", "SELECT conv_id, idx, hash, row_number() OVER (PARTITION BY conv_id, hash ORDER BY idx) > 1 AS seen, min(idx) OVER (PARTITION BY conv_id, hash) AS first_idx FROM (SELECT lang AS conv_id, doc_id AS idx, substr(sha256(coalesce(text, '')), 1, 16) AS hash FROM documents)")
+def e07(spark, sf_dir):
+    blobs = table(spark, sf_dir, "documents").select(F.col("lang").alias("conv_id"), F.col("doc_id").alias("idx"), F.col("text").alias("content"))
+    return sessions.repeated(blobs).select("conv_id", "idx", "hash", "seen", "first_idx")
+
+
+@query("e09_used_codes", rf"{WITH}, m AS (SELECT conv_id, idx, unnest(cs) AS code, generate_subscripts(cs, 1) AS pos FROM (SELECT conv_id, idx, regexp_extract_all(content, '\b[KPE]\d+\b') AS cs FROM prompts)), f AS (SELECT conv_id, code, min((idx, pos)) AS first FROM m GROUP BY ALL) SELECT conv_id, string_agg(code, '|' ORDER BY first, code) AS codes FROM f GROUP BY conv_id")
+def e09(spark, sf_dir):
+    m = derived.prompts(spark, sf_dir).select("conv_id", F.col("idx").alias("req_no"), F.posexplode(dictionary.codes(F.col("content"))).alias("pos", "code"))
+    return sessions.used_codes(m).select("conv_id", joined(F.col("codes")).alias("codes"))
+
+
+# --- folding --------------------------------------------------------------------------------------------
+
+_KEY_SQL = rf"""lined AS (SELECT conv_id, idx, content, list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), lambda x: regexp_matches(x, '\S')) AS plain FROM prompts),
+    united AS (SELECT conv_id, idx, CASE WHEN len(plain) <= {{k}} AND length(content) > 200 THEN list_filter(flatten(list_transform(plain, lambda x: list_transform(string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')))), lambda y: y <> '') ELSE plain END AS units FROM lined),
+    one AS (SELECT conv_id, idx, len(units) AS n, unnest(units) AS line, generate_subscripts(units, 1) AS i FROM united),
+    scored AS (SELECT *, (CASE WHEN i = 1 OR i = n THEN 2 ELSE 0 END) + (CASE WHEN regexp_matches(line, {quoted(re2(fixed.KEY_LINE))}) THEN 3 ELSE 0 END) + (CASE WHEN regexp_matches(line, {quoted(re2(fixed.HEADER))}) THEN 1 ELSE 0 END) - (CASE WHEN length(line) > 200 THEN 1 ELSE 0 END) AS score FROM one),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, idx ORDER BY score DESC, i) AS r FROM scored),
+    best AS (SELECT conv_id, idx, any_value(n) AS n, string_agg(CASE WHEN n > {{k}} AND length(line) > 240 THEN substr(line, 1, 237) || '...' ELSE line END, chr(10) ORDER BY i) AS out FROM ranked WHERE r <= {{k}} GROUP BY conv_id, idx)
+    SELECT p.conv_id, p.idx, coalesce(out || CASE WHEN n > {{k}} THEN chr(10) || '[+' || (n - {{k}}) || ' lines folded]' ELSE '' END, '') AS out FROM prompts p LEFT JOIN best b ON p.conv_id = b.conv_id AND p.idx = b.idx"""
+for _k in (2, 3, 6):
+    query(f"f03_key_lines_{_k}", f"{WITH}, {_KEY_SQL.replace('{k}', str(_k))}")(
+        lambda spark, sf_dir, k=_k: folding.with_key_lines(derived.prompts(spark, sf_dir), "content", "out", k).select("conv_id", "idx", "out")
+    )
+
+
+@query("f01_fold_fences", "SELECT conv_id, turn AS idx, '[code:' || substr(sha256('```py' || chr(10) || coalesce(text, '') || chr(10) || '```'), 1, 16) || ' ' || (2 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) || 'L] and [code:' || substr(sha256('```py' || chr(10) || coalesce(text, '') || chr(10) || '```'), 1, 16) || ' ' || (2 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) || 'L seen]' AS out FROM conversations")
+def f01(spark, sf_dir):
+    body = F.concat(F.lit("```py\n"), strings.text("text"), F.lit("\n```"))
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("idx"), folding.fold_fences(F.concat(body, F.lit(" and "), body)).alias("out"))
+
+
+@query("f02_dedup", "WITH h AS (SELECT doc_id, coalesce(text, '') AS t, substr(sha256(coalesce(text, '')), 1, 16) AS hash FROM documents), w AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) > 1 AS seen, min(doc_id) OVER (PARTITION BY hash) AS f FROM h) SELECT doc_id, CASE WHEN length(t) >= 400 AND seen THEN '[ref:' || hash || ' doc unchanged from turn ' || f || ']' ELSE t END AS out FROM w")
+def f02(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("conv_id"), F.col("doc_id").alias("idx"), strings.text("text").alias("content"))
+    seen = sessions.repeated(docs)
+    return seen.select(F.col("idx").alias("doc_id"), folding.blob_reference(F.col("content"), F.when(F.col("seen"), "doc"), F.col("first_idx")).alias("out"))
+
+
+# --- requests ----------------------------------------------------------------------------------------------
+
+
+def final(spark, sf_dir) -> DataFrame:
+    p = derived.prompts(spark, sf_dir)
+    return replay.replayed(p, replay.final_requests(p)).drop("last_idx")
+
+
+_PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM prompts)"
+
+
+def _route_sql(keep: int) -> str:
+    return f"CASE WHEN content = '' THEN 'empty' WHEN NOT (place < n - {keep} AND place > 0 AND role IN ('user', 'assistant', 'tool')) THEN 'new' WHEN role = 'tool' THEN CASE WHEN length(content) > 200 THEN 'tool-ref' ELSE 'tool' END ELSE 'digest' END"
+
+
+for _mode, _keep in (("MAX", 1), ("BALANCED", 6)):
+    query(f"c03_route_{_mode.lower()}", f"{WITH}, {_PLACED} SELECT conv_id, idx, {_route_sql(_keep)} AS route, {tokens_sql('content')} AS tokens FROM placed")(
+        lambda spark, sf_dir, mode=_mode: encode.routed(final(spark, sf_dir), Settings(mode=mode)).select("conv_id", "idx", "route", "tokens")
+    )
+
+
+@query("c04_tool_refs", f"{WITH}, {_PLACED} SELECT conv_id, idx, CASE WHEN place < n - 1 AND place > 0 AND length(content) > 200 THEN '[ref:' || substr(sha256(content), 1, 16) || ' tool-result; expand on request]' ELSE content END AS out FROM placed WHERE role = 'assistant'")
+def c04(spark, sf_dir):
+    as_tool = final(spark, sf_dir).withColumn("asked", F.col("role")).withColumn("role", F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")))
+    ref = F.concat(F.lit("[ref:"), F.col("hash"), F.lit(" tool-result; expand on request]"))
+    rows = encode.routed(as_tool, Settings())
+    return rows.filter("asked = 'assistant'").select("conv_id", "idx", F.when(F.col("route") == "tool-ref", ref).otherwise(F.col("content")).alias("out"))
+
+
+_OVERHEAD_SQL = "SELECT o_orderkey AS id, (o_orderkey % 400)::BIGINT AS overhead, o_orderkey % 3 > 0 AS cached FROM orders"
+
+
+@query("c14_effective_overhead", f"SELECT id, overhead, CASE WHEN cached THEN CAST(round_even(overhead * (1.0::DOUBLE - 0.9::DOUBLE), 0) AS BIGINT) ELSE overhead END AS effective FROM ({_OVERHEAD_SQL})")
+def c14(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 400).cast("long").alias("overhead"), (F.col("o_orderkey") % 3 > 0).alias("cached"))
+    return rows.select("id", "overhead", encode.effective_overhead(F.col("overhead"), F.col("cached")).alias("effective"))
+
+
+def _encoded(spark, sf_dir, **settings):
+    return encode.encode(final(spark, sf_dir), Settings(**settings))
+
+
+@query("c07_digest_lines")
+def c07(spark, sf_dir):
+    rows = encode.routed(final(spark, sf_dir), Settings())
+    return encode.digest_lines(rows).select("conv_id", "hash", "ordinal", "pos", "line")
+
+
+@query("c08_digest_render")
+def c08(spark, sf_dir):
+    rows = encode.routed(final(spark, sf_dir), Settings())
+    return encode.digests(encode.digest_lines(rows), Settings()).select("conv_id", "digest")
+
+
+@query("c10_candidates")
+def c10(spark, sf_dir):
+    rows, _ = _encoded(spark, sf_dir, mode="BALANCED")
+    return rows.filter("route = 'new'").select("conv_id", "idx", "label", "tokens", tokens.estimate(F.col("plain")).alias("plain_tokens"), tokens.estimate(F.col("aliased")).alias("alias_tokens"))
+
+
+@query("c15_decision")
+def c15(spark, sf_dir):
+    _, req = _encoded(spark, sf_dir, mode="BALANCED")
+    return req.select("conv_id", "total_plain", "total_alias", "effective", "aliases_ship", joined(F.col("used")).alias("used"))
+
+
+@query("c16_never_larger", f"{WITH} SELECT conv_id, sum({tokens_sql('content')})::BIGINT AS original_tokens, true AS never_larger FROM prompts GROUP BY conv_id")
+def c16(spark, sf_dir):
+    _, req = _encoded(spark, sf_dir)
+    return req.select("conv_id", "original_tokens", (F.col("encoded_tokens") + F.col("eff_overhead") <= F.col("original_tokens")).alias("never_larger"))
+
+
+@query("c18_compose")
+def c18(spark, sf_dir):
+    return encode.composed(*_encoded(spark, sf_dir)).select("conv_id", "idx", "role", "content")
+
+
+@query("c19_report")
+def c19(spark, sf_dir):
+    _, req = _encoded(spark, sf_dir)
+    return req.select("conv_id", "original_tokens", "encoded_tokens", "dict_overhead", "eff_overhead", "saved", "saved_effective", "pct", "fallback", "fallback_reason")
+
+
+@query("c20_message_reports")
+def c20(spark, sf_dir):
+    return encode.reports(*_encoded(spark, sf_dir))
+
+
+@query("c01_off", f"{WITH} SELECT conv_id, sum({tokens_sql('content')})::BIGINT AS original_tokens, sum({tokens_sql('content')})::BIGINT AS encoded_tokens, 'off' AS state FROM prompts GROUP BY conv_id")
+def c01(spark, sf_dir):
+    _, req = _encoded(spark, sf_dir, mode="OFF")
+    return req.select("conv_id", "original_tokens", "encoded_tokens", "state")
+
+
+# --- replies -------------------------------------------------------------------------------------------------
+
+
+on_prompts("r01_decode", lambda c: {"out": replies.decode(c, dictionary.seed_expansions())}, f"{expand_sql('content')} AS out")
+on_prompts(
+    "r02_references",
+    lambda c: {"out": replies.expand_references(c, F.create_map(F.lit("0123456789abcdef"), F.lit("the original")))},
+    r"regexp_replace(content, '\[(?:ref|code):0123456789abcdef[^\]]*\]', 'the original', 'g') AS out",
+)
+on_prompts(
+    "r08_expansion_requests",
+    lambda c: {"hashes": joined(replies.asked_hashes(c))},
+    r"array_to_string(list_distinct(flatten(list_transform(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '(?i)\bexpand')), lambda x: regexp_extract_all(x, '(?i)(?:code|ref):\s*([0-9a-f]{16})', 1)))), '|') AS hashes",
+)
+
+
+@query("r10_output_accounting", f"{WITH} SELECT conv_id, idx, {tokens_sql(expand_sql('content'))} AS original_tokens, {tokens_sql('content')} AS encoded_tokens, {tokens_sql(expand_sql('content'))} - {tokens_sql('content')} AS saved FROM prompts WHERE role = 'assistant'")
+def r10(spark, sf_dir):
+    rows = derived.prompts(spark, sf_dir).filter("role = 'assistant'").withColumn("reply", F.col("content"))
+    return replies.accounted(rows, dictionary.seed_expansions(), tokens.estimate).select("conv_id", "idx", "original_tokens", "encoded_tokens", "saved")
+
+
+# --- cache and metrics --------------------------------------------------------------------------------------------
+
+
+@query("g02_cache_hits", "SELECT sha256(coalesce(text, '')) AS key, count(*) AS asked, count(*) - 1 AS hits FROM documents GROUP BY 1")
+def g02(spark, sf_dir):
+    keyed = table(spark, sf_dir, "documents").select(F.sha2(strings.text("text"), 256).alias("key"))
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("asked"), (F.count(F.lit(1)) - 1).alias("hits"))
+
+
+_EVENTS_SQL = """facts AS (SELECT epoch(ts)::DOUBLE AS ts, event_type AS model, 100 + user_id % 50 AS original_tokens, 40 + event_id % 90 AS encoded_tokens, event_id % 30 AS dict_overhead,
+    event_id % 3 AS eff_overhead, (100 + user_id % 50) - (40 + event_id % 90) - event_id % 30 AS saved, ((event_id % 100) * 0.5::DOUBLE) AS pct, ((event_id % 16) * 0.25::DOUBLE) AS latency_ms,
+    CASE WHEN event_id % 7 < 2 THEN 1 ELSE 0 END AS fallback, CASE event_id % 7 WHEN 0 THEN 'error:RuntimeError' WHEN 1 THEN 'not-worth-it' ELSE '' END AS fallback_reason,
+    CASE WHEN event_id % 5 = 0 THEN 'out' ELSE 'in' END AS direction, CASE event_id % 4 WHEN 0 THEN 'terse' WHEN 1 THEN 'digest,terse' ELSE 'passthrough' END AS representation FROM events)"""
+
+
+def facts(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    original, encoded, overhead = 100 + F.col("user_id") % 50, 40 + i % 90, i % 30
+    return e.select(
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"), F.col("event_type").alias("model"), original.alias("original_tokens"), encoded.alias("encoded_tokens"), overhead.alias("dict_overhead"),
+        (i % 3).alias("eff_overhead"), (original - encoded - overhead).alias("saved"), ((i % 100) * F.lit(0.5)).alias("pct"), ((i % 16) * F.lit(0.25)).alias("latency_ms"),
+        F.when(i % 7 < 2, 1).otherwise(0).alias("fallback"), F.when(i % 7 == 0, "error:RuntimeError").when(i % 7 == 1, "not-worth-it").otherwise("").alias("fallback_reason"),
+        F.when(i % 5 == 0, "out").otherwise("in").alias("direction"), F.when(i % 4 == 0, "terse").when(i % 4 == 1, "digest,terse").otherwise("passthrough").alias("representation"),
+    ).withColumn("ts", F.col("micros") / 1e6).drop("micros")
+
+
+_IN = "count(*) AS requests, coalesce(sum(original_tokens), 0)::BIGINT AS original, coalesce(sum(encoded_tokens), 0)::BIGINT AS encoded, coalesce(sum(dict_overhead), 0)::BIGINT AS overhead, coalesce(sum(eff_overhead), 0)::BIGINT AS eff_overhead, coalesce(sum(saved), 0)::BIGINT AS saved, coalesce(sum(original_tokens - encoded_tokens - eff_overhead), 0)::BIGINT AS saved_effective, avg(latency_ms) AS avg_latency_ms, avg((fallback = 1)::INT) * 100 AS fallback_pct, avg((fallback_reason LIKE 'error:%')::INT) * 100 AS error_pct, avg((fallback_reason = 'not-worth-it')::INT) * 100 AS reverted_pct"
+
+
+@query("m01_summary", f"WITH {_EVENTS_SQL} SELECT {_IN} FROM facts WHERE direction = 'in'")
+def m01(spark, sf_dir):
+    return metrics.summary(facts(spark, sf_dir))
+
+
+@query("m02_output", f"WITH {_EVENTS_SQL} SELECT count(*) AS replies, sum(encoded_tokens)::BIGINT AS generated, sum(original_tokens)::BIGINT AS expanded, sum(saved)::BIGINT AS saved FROM facts WHERE direction = 'out'")
+def m02(spark, sf_dir):
+    return metrics.output_summary(facts(spark, sf_dir))
+
+
+@query("m03_by_model", f"WITH {_EVENTS_SQL} SELECT model, count(*) AS requests, sum(saved)::BIGINT AS saved, round(avg(pct), 1) AS avg_pct FROM facts WHERE direction = 'in' GROUP BY model")
+def m03(spark, sf_dir):
+    return metrics.by_model(facts(spark, sf_dir))
+
+
+@query("m04_by_representation", f"WITH {_EVENTS_SQL} SELECT representation, count(*) AS requests, sum(saved)::BIGINT AS saved FROM facts WHERE direction = 'in' GROUP BY representation")
+def m04(spark, sf_dir):
+    return metrics.by_representation(facts(spark, sf_dir))
+
+
+@query("m05_reductions", f"WITH {_EVENTS_SQL}, s AS (SELECT {_IN} FROM facts WHERE direction = 'in') SELECT original, saved, saved_effective, round_even(saved * 100.0::DOUBLE / original, 2) AS reduction_pct, round_even(saved_effective * 100.0::DOUBLE / original, 2) AS reduction_effective_pct FROM s")
+def m05(spark, sf_dir):
+    return metrics.reductions(metrics.summary(facts(spark, sf_dir))).select("original", "saved", "saved_effective", "reduction_pct", "reduction_effective_pct")
+
+
+@query("m06_since", f"WITH {_EVENTS_SQL}, t AS (SELECT max(ts) AS now FROM facts) SELECT {_IN} FROM facts, t WHERE direction = 'in' AND ts >= now - 24 * 3600")
+def m06(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    return metrics.summary(metrics.since(f, 24, f.agg(F.max("ts")).first()[0]))
+
+
+@query("s13_event_labels", f"{WITH} SELECT conv_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS representation FROM prompts GROUP BY conv_id")
+def s13(spark, sf_dir):
+    return derived.prompts(spark, sf_dir).groupBy("conv_id").agg(metrics.representation(F.collect_set("role")).alias("representation"))
+
+
+@query("s14_migration", f"WITH {_EVENTS_SQL} SELECT CASE WHEN fallback = 1 THEN 'legacy' ELSE '' END AS fallback_reason, dict_overhead AS eff_overhead, count(*) AS n FROM facts GROUP BY ALL")
+def s14(spark, sf_dir):
+    old = facts(spark, sf_dir).drop("fallback_reason", "eff_overhead")
+    return metrics.migrated(old).groupBy("fallback_reason", "eff_overhead").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s15_cache_latest", "SELECT user_id AS key, max(event_id) AS seq, arg_max(event_type, event_id) AS encoded FROM events GROUP BY user_id")
+def s15(spark, sf_dir):
+    puts = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("encoded"))
+    return metrics.cached(puts)
+
+
+# --- sources -----------------------------------------------------------------------------------------------------------
+
+
+@query("s01_chat_source", f"{WITH} SELECT conv_id, 'openai' AS provider, {_MODEL_SQL} AS model, row_number() OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS idx, role, content FROM prompts")
+def s01(spark, sf_dir):
+    p = derived.prompts(spark, sf_dir)
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "role", "content")))
+    body = F.to_json(F.struct(model_column().alias("model"), F.transform("ms", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")))
+    made = p.groupBy("conv_id").agg(ordered.alias("ms")).select("conv_id", body.alias("body"))
+    return chat.chat_messages(chat.bodies(made), "openai").select("conv_id", "provider", "model", F.col("idx").cast("long").alias("idx"), "role", "content")
+
+
+@query("s03_system_block", f"{WITH} SELECT conv_id, string_agg(content, chr(10) ORDER BY idx) AS system FROM prompts WHERE role = 'system' GROUP BY conv_id")
+def s03(spark, sf_dir):
+    return chat.system_block(derived.prompts(spark, sf_dir))
+
+
+@query("s02_system_first", f"{WITH}, s AS (SELECT DISTINCT conv_id FROM prompts WHERE conv_id % 2 = 0) SELECT conv_id, idx + CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS idx, role, content FROM prompts UNION ALL SELECT conv_id, 0, 'system', 'be brief' FROM s")
+def s02(spark, sf_dir):
+    p = derived.prompts(spark, sf_dir).select("conv_id", "idx", "role", "content")
+    systems = p.filter("conv_id % 2 = 0").select("conv_id").distinct().withColumn("system", F.lit("be brief"))
+    return chat.with_system_first(p, systems).select("conv_id", "idx", "role", "content")
+
+
+@query("s05_generate", f"{WITH} SELECT conv_id, coalesce(string_agg(content, chr(10) || chr(10) ORDER BY idx) FILTER (role = 'system'), '') AS system, coalesce(string_agg(content, chr(10) || chr(10) ORDER BY idx) FILTER (role <> 'system'), '') AS prompt FROM prompts GROUP BY conv_id")
+def s05(spark, sf_dir):
+    return chat.generate_request(derived.prompts(spark, sf_dir))
+
+
+@query("s18_hook", f"{WITH} SELECT conv_id, idx, length(content) >= 200 AND (conv_id % 3 <> 0) AND (idx * 10 >= 20) AS applied FROM prompts")
+def s18(spark, sf_dir):
+    p = derived.prompts(spark, sf_dir).select("conv_id", "idx", F.col("content").alias("prompt"), (F.col("conv_id") % 3 == 0).alias("fallback"), (F.col("idx") * 10).alias("saved"))
+    return chat.hook_filtered(p).select("conv_id", "idx", "applied")
+
+
+# --- benchmarks ---------------------------------------------------------------------------------------------------------------
+
+_ITEMS = f"items AS (SELECT conv_id * 1000 + idx AS id, role AS category, unnest(['raw', 'terse', 'coded']) AS rep, unnest([content, {TERSE_SQL}, {CODED_SQL}]) AS text FROM prompts), counts AS (SELECT id, category, rep, {tokens_sql('text')} AS tokens FROM items WHERE text <> '')"
+
+
+def bench_items(spark, sf_dir) -> DataFrame:
+    p = derived.prompts(spark, sf_dir).withColumn("terse", phrases.compress(F.col("content")))
+    p = p.withColumn("coded", dictionary.substitute(F.col("terse"), SEED_RULES))
+    reps = F.explode(F.create_map(F.lit("raw"), F.col("content"), F.lit("terse"), F.col("terse"), F.lit("coded"), F.col("coded"))).alias("rep", "text")
+    return p.select((F.col("conv_id") * 1000 + F.col("idx")).alias("id"), F.col("role").alias("category"), reps)
+
+
+@query("b01_matrix", f"{WITH}, {_ITEMS} SELECT * FROM counts")
+def b01(spark, sf_dir):
+    return benchmarks.matrix(bench_items(spark, sf_dir))
+
+
+@query("b02_pct", f"{WITH}, {_ITEMS}, t AS (SELECT rep, sum(tokens)::BIGINT AS tokens FROM counts GROUP BY rep) SELECT rep, tokens, round_even(tokens * 100.0::DOUBLE / (SELECT tokens FROM t WHERE rep = 'raw'), 1) AS pct FROM t")
+def b02(spark, sf_dir):
+    return benchmarks.share_of_raw(benchmarks.matrix(bench_items(spark, sf_dir)), "raw")
+
+
+@query("b03_winner", f"{WITH}, {_ITEMS} SELECT id, (min((tokens, rep)))[2] AS rep, min(tokens) AS tokens FROM counts GROUP BY id")
+def b03(spark, sf_dir):
+    return benchmarks.winners(benchmarks.matrix(bench_items(spark, sf_dir)))
+
+
+@query("b04_replay", f"{WITH}, c AS (SELECT *, {tokens_sql('content')} AS tokens FROM prompts), w AS (SELECT conv_id, idx, role, sum(tokens) OVER (PARTITION BY conv_id ORDER BY idx)::BIGINT AS upto FROM c) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS req_no, idx AS last_idx, upto AS original_tokens FROM w WHERE role = 'user'")
+def b04(spark, sf_dir):
+    p = derived.prompts(spark, sf_dir)
+    sums = replay.prefix_tokens(p.withColumn("tokens", tokens.estimate(F.col("content"))))
+    return replay.requests(p).join(sums.select("conv_id", F.col("idx").alias("last_idx"), F.col("upto").alias("original_tokens")), ["conv_id", "last_idx"]).select("conv_id", F.col("req_no").cast("long").alias("req_no"), "last_idx", "original_tokens")
+
+
+@query("b04_encoded_replay")
+def b04_encoded(spark, sf_dir):
+    """Every request of every conversation, encoded: per request original, encoded and effective savings."""
+    p = derived.prompts(spark, sf_dir)
+    _, req = encode.encode(replay.replayed(p, replay.requests(p)).drop("last_idx"), Settings())
+    return req.select("conv_id", "req_no", "original_tokens", "encoded_tokens", "dict_overhead", "eff_overhead", "saved", "saved_effective", "fallback_reason")
+
+
+@query("b05_quality", f"{WITH} SELECT conv_id * 1000 + idx AS task, (contains(lower(content), 'cache') OR contains(lower(content), 'files')) AND (contains(lower(content), 'bug') OR contains(lower(content), 'log')) AS passed FROM prompts")
+def b05(spark, sf_dir):
+    groups = F.array(F.array(F.lit("Cache"), F.lit("files")), F.array(F.lit("BUG"), F.lit("log")))
+    return benchmarks.quality(derived.prompts(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("idx")).alias("task"), F.col("content").alias("answer"), groups.alias("groups")))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """The session replay's savings, per request."""
+    return b04_encoded(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -1,0 +1,96 @@
+"""Dictionary, request, metrics and source operators on small tables."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.functions import config
+from palimpsest.functions.config import Settings
+from palimpsest.operators import dictionary, metrics
+from palimpsest.plans import encode, replay
+from palimpsest.sources import chat
+from palimpsest.streaming import decoder
+
+MESSAGES = "conv_id long, idx long, role string, content string, has_tool_calls boolean"
+RULES = "Please make sure that you preserve the existing functionality. Do not break existing functionality. Run the full test suite afterwards. Preserve all public APIs exactly as they are. Update the documentation to match. Do not modify unrelated files."
+
+
+def test_mint(spark):
+    rows = spark.createDataFrame([("g", "Deploy the staging cluster with care tonight", i) for i in range(5)] + [("g", "tiny clause once only", 9)], "scope string, clause string, seq long")
+    table = dictionary.nursery(rows)
+    assert {r["phrase"]: r["count"] for r in table.collect()} == {"deploy the staging cluster with care tonight": 5, "tiny clause once only": 1}
+    minted = dictionary.mint(table, dictionary.seeds(spark, "g")).collect()
+    assert [(r["code"], r["net"]) for r in minted] == [("K16", (13 - 2) * 10 - (13 + 6))]
+    assert [r["phrase"] for r in dictionary.left_in_nursery(table, dictionary.mint(table, dictionary.seeds(spark, "g"))).collect()] == ["tiny clause once only"]
+
+
+def test_import_twice(spark):
+    seeds = dictionary.seeds(spark)
+    pack = spark.createDataFrame([("global", "K201", "ship it", ["ship it"], None)], dictionary.ALIASES)
+    once = dictionary.imported(seeds, pack)
+    assert once.count() == 17 and dictionary.imported(once, pack).count() == 17
+
+
+def conversation(spark, turns, conv=1):
+    return spark.createDataFrame([(conv, i, r, c, False) for i, (r, c) in enumerate(turns)], MESSAGES)
+
+
+def test_encode_never_larger_and_verified(spark):
+    long = "\n".join([*["some words of no weight at all"] * 39, "error: cache miss was the bug"])
+    m = conversation(spark, [("system", "be exact"), ("user", RULES), ("assistant", long), ("user", RULES + " Keep 3 copies.")])
+    rows, req = encode.encode(replay.replayed(m, replay.requests(m)).drop("last_idx"), Settings())
+    got = req.orderBy("req_no").collect()
+    assert len(got) == 2 and all(r["encoded_tokens"] + r["eff_overhead"] <= r["original_tokens"] for r in got)
+    out = encode.composed(rows, req).filter("req_no = 2").orderBy("idx").collect()
+    assert [r["role"] for r in out].count("system") == 1 and out[0]["role"] == "system"
+    assert "error: cache miss was the bug" in out[0]["content"] and len(out) < 4
+
+
+def test_small_and_off_and_empty(spark):
+    m = conversation(spark, [("user", "hi there"), ("user", None)])
+    both = replay.replayed(m, replay.final_requests(m)).drop("last_idx")
+    assert [r["state"] for r in encode.encode(both, Settings())[1].collect()] == ["small"]
+    assert [r["state"] for r in encode.encode(both, Settings(mode="OFF"))[1].collect()] == ["off"]
+    assert encode.encode(both.limit(0), Settings())[1].count() == 0
+
+
+@pytest.mark.parametrize(("overhead", "cached", "effective"), [(15, True, 1), (15, False, 15), (30, True, 3)])
+def test_effective_overhead(spark, overhead, cached, effective):
+    assert spark.range(1).select(encode.effective_overhead(F.lit(overhead), F.lit(cached)).alias("x")).first()["x"] == effective
+
+
+def test_metrics(spark):
+    schema = "ts double, model string, original_tokens long, encoded_tokens long, dict_overhead long, eff_overhead long, saved long, pct double, latency_ms double, fallback int, representation string, direction string, fallback_reason string"
+    e = spark.createDataFrame([
+        (1.0, "m", 100, 60, 30, 3, 10, 10.0, 4.0, 0, "terse", "in", ""), (2.0, "m", 50, 50, 0, 0, 0, 0.0, 4.0, 1, "passthrough", "in", "error:RuntimeError"),
+        (3.0, "m", 70, 70, 0, 0, 0, 0.0, 4.0, 1, "original", "in", "not-worth-it"), (4.0, "m", 80, 50, 0, 0, 30, 0.0, 0.0, 0, "", "out", ""),
+    ], schema)
+    s = metrics.summary(e).first()
+    assert (s["saved"], s["saved_effective"]) == (10, 37) and s["error_pct"] == pytest.approx(100 / 3) and s["reverted_pct"] == pytest.approx(100 / 3)
+    o = metrics.output_summary(e).first()
+    assert (o["generated"], o["saved"]) == (50, 30)
+    assert metrics.reductions(metrics.summary(e.limit(0))).first()["reduction_pct"] == 0
+
+
+def test_config():
+    assert config.load("{broken").mode == "MAX" and config.load('{"mode": "quick"}').mode == "BALANCED"
+    assert config.load(config.save(Settings(mode="OFF"))) == Settings(mode="OFF")
+
+
+def test_sources(spark):
+    body = {"model": "m", "messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}, {"role": "user", "content": None}]}
+    got = chat.chat_messages(chat.bodies(spark.createDataFrame([(1, json.dumps(body)), (2, "{broken")], "conv_id long, body string")), "openai").collect()
+    assert [(r["conv_id"], r["content"]) for r in got] == [(1, "ab"), (1, "")]
+    frames = spark.createDataFrame([("s", 0, 'data: {"choices":[{"delta":{"content":"K"}}]}'), ("s", 1, ": ping"), ("s", 2, "data: [DONE]")], "session string, seq long, frame string")
+    assert [(r["delta"], r["done"]) for r in chat.sse_deltas(frames).orderBy("seq").collect()] == [("K", False), (None, True)]
+
+
+def test_stream_query(spark, tmp_path):
+    rows = [("a", 0, "first K", False), ("b", 0, "x ", False), ("a", 1, "12 then", False), ("b", 1, "OK1", False), ("a", 2, "", True), ("b", 2, "", True)]
+    spark.createDataFrame(rows, "session string, seq long, delta string, done boolean").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session string, seq long, delta string, done boolean").parquet(f"{tmp_path}/in")
+    q = decoder.decode_stream(stream, {"K12": "fix all bugs found", "K1": "no"}).writeStream.format("memory").queryName("decoded").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.awaitTermination(120)
+    out = {s: "".join(r["text"] for r in spark.table("decoded").filter(F.col("session") == s).orderBy("seq").collect()) for s in "ab"}
+    assert out == {"a": "first fix all bugs found then", "b": "x OK1"}
