@@ -33,8 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a document taken twice is two rows."""
-    taken = mixing.mixed(docs.select("doc_id", "text", F.array("source").alias("sources"))).filter("repeats > 0").select(F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("__copy"))
-    return docs.join(taken, F.col("doc_id") == F.col("__id")).select(docs.columns)
+    plan = mixing.mixed(docs.select("doc_id", "text", F.array("source").alias("sources"))).select("doc_id", "repeats").dropDuplicates(["doc_id"])
+    taken = plan.filter("repeats > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("doc_id")
+    return docs.join(taken, "doc_id").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

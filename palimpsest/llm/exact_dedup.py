@@ -260,5 +260,5 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
     """The rows of ``df`` that stay, with its own columns; ids must be unique for exactly one row of a group to stay."""
-    kept = owners(df, id_col, text_col, largest).select(F.col("keep_id").alias("__keep"))
-    return df.join(kept, F.col(f"`{id_col}`") == F.col("__keep"), "left_semi")
+    kept = owners(df, id_col, text_col, largest).select(F.col("keep_id").alias(id_col))
+    return df.join(kept, id_col, "left_semi").select([F.col(f"`{c}`") for c in df.columns])

@@ -259,5 +259,5 @@ def _between(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def keep_representatives(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stand for their component, with its own columns."""
-    kept = near_duplicates(df, width, percent, id_col, text_col).filter("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return df.join(kept, F.col(f"`{id_col}`") == F.col("__keep"), "left_semi")
+    kept = near_duplicates(df, width, percent, id_col, text_col).filter("kept").select(id_col).distinct()
+    return df.join(kept, id_col, "left_semi").select([F.col(f"`{c}`") for c in df.columns])

@@ -58,6 +58,7 @@ class Lattice:
         self.byte_weight = float(self.log_weight[-1])  # one of four at most, so vocabulary pieces win where there are any
         plain = {t: i for i, t in enumerate(self.text) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))}
         self.longest = max(map(len, plain))
+        self.id_of = plain
         self._trie(plain)
 
     def _trie(self, pieces: dict[str, int]) -> None:
