@@ -10,9 +10,10 @@ repeated only where new ones have run out.
 
 A pattern's flow is so many whole repetitions and a rest. The rest is filled by
 whole documents in the order of a seeded hash: a histogram of the hash finds the
-boundary without sorting the corpus; the next ``FILL`` documents beyond it close
-the gap as far as they fit, so the words taken stay below the target by less
-than the smallest of these.
+boundary without sorting the corpus. Beyond it every document, in the same order,
+is taken if it fits into what is left: histogram and boundary are found again for
+those that still fit, until none does. So the words taken of a pattern stay below
+its flow by less than its smallest document that isn't taken.
 
 Null and empty texts have size 0 and are never taken; a null source is a source
 of its own. Rows with the same id share their hash and are taken or left alike.
@@ -21,7 +22,7 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -33,7 +34,7 @@ from palimpsest.llm.common import arrow_map, as_batches, stored, texts
 
 #: Patterns that the driver accepts; more would mean that sources aren't sources.
 MAX_PATTERNS = 50_000
-#: Bins of the hash per pattern, and documents beyond the boundary that may close the gap.
+#: Bins of the hash per pattern, and documents beyond a boundary that are looked at one by one before the next histogram.
 BINS, FILL = 4096, 200
 
 
@@ -116,6 +117,7 @@ def pattern_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int],
 
 #: The seeded order of documents: their hash as a number from 0 on, then their id.
 _ORDER = ("hash", "id")
+_LAST = (1 << 63) - 1
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, sources_col: str) -> DataFrame:
@@ -136,6 +138,65 @@ def by_code_point(names: set[str | None]) -> list[str | None]:
     return [*sorted(n for n in names if n is not None), *[n for n in names if n is None]]
 
 
+def first_fit(docs: DataFrame, gaps: dict[int, int], fill: int = FILL) -> tuple[list[tuple], list[tuple]]:
+    """What closes the patterns' gaps if every document, in order, is taken where it fits into what is left.
+
+    ``docs``: pattern, bin, hash, id, size. Returns spans (pattern, low and high end in the order, largest size), whose
+    documents up to that size are all taken, and single ones (pattern, id). Each round takes what fits up to the first
+    document that doesn't, then looks at the next ``fill``; what was passed over can't fit later, as gaps only shrink.
+    """
+    spark = docs.sparkSession
+    order = Window.partitionBy("pattern").orderBy(*_ORDER)
+    spans, chosen = [], []
+    state: dict[int, tuple] = {p: (-1, None, gap) for p, gap in gaps.items()}
+
+    def after(state: dict[int, tuple]) -> DataFrame:
+        ends = spark.createDataFrame([(p, *x) for p, x in state.items()], "pattern int, end_hash long, end_id long, gap long")
+        beyond = F.struct(*_ORDER) > F.struct(F.col("end_hash").alias("hash"), F.col("end_id").alias("id"))
+        return docs.join(F.broadcast(ends), "pattern").filter((F.col("size") <= F.col("gap")) & beyond)
+
+    while state:
+        fitting = after(state)
+        upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bin"))
+        bins = fitting.groupBy("pattern", "bin", "gap").agg(F.sum("size").alias("words")).withColumn("upto", upto)
+        found = bins.filter("upto > gap").groupBy("pattern").agg(F.min_by(F.struct("bin", (F.col("gap") - (F.col("upto") - F.col("words"))).alias("left")), "bin").alias("edge"))
+        edges = {r["pattern"]: (r["edge"]["bin"], r["edge"]["left"]) for r in found.collect()}
+        for p in state.keys() - edges.keys():  # all that fits is taken
+            spans.append((p, *state[p][:2], _LAST, _LAST, state[p][2]))
+        if not edges:
+            break
+        edge_df = spark.createDataFrame([(p, *e) for p, e in edges.items()], "pattern int, edge_bin int, left long")
+        # the boundary bin holds one of BINS parts of a pattern: its documents are taken one by one; equal ids go together
+        inner = fitting.join(F.broadcast(edge_df), "pattern").filter("bin = edge_bin").withColumn("upto", F.sum("size").over(order)).filter("upto <= left")
+        last = {r["pattern"]: r for r in inner.groupBy("pattern").agg(F.max("upto").alias("used"), F.max(F.struct(*_ORDER)).alias("at")).collect()}
+        following = {}
+        for p, (edge_bin, left) in edges.items():
+            end = tuple(last[p]["at"]) if p in last else ((edge_bin << 51) - 1, _LAST)
+            spans.append((p, *state[p][:2], *end, state[p][2]))
+            following[p] = (*end, left - (last[p]["used"] if p in last else 0))
+        state = {p: x for p, x in following.items() if x[2]}
+        if not state:
+            break
+        near: dict[int, dict[tuple, int]] = {}
+        seen = Counter()
+        for r in after(state).withColumn("rank", F.rank().over(order)).filter(F.col("rank") <= fill).sort("pattern", *_ORDER).collect():
+            units = near.setdefault(r["pattern"], {})
+            units[r["hash"], r["id"]] = units.get((r["hash"], r["id"]), 0) + r["size"]
+            seen[r["pattern"]] += 1
+        state = {p: x for p, x in state.items() if p in near}
+        for p, units in near.items():
+            left = state[p][2]
+            for (_, i), size in units.items():
+                if size <= left:
+                    left -= size
+                    chosen.append((p, i))
+            if left and seen[p] >= fill:
+                state[p] = (*list(units)[-1], left)
+            else:  # nothing follows
+                del state[p]
+    return spans, chosen
+
+
 def mixed(
     df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", sources_col: str = "sources",
@@ -167,38 +228,15 @@ def mixed(
     # as many rows as patterns, MAX_PATTERNS at most
     rows = rows.withColumn("bin", F.shiftright("hash", 51).cast("int")).join(F.broadcast(plan_df), rows["sources"].eqNullSafe(plan_df["sources"])).drop(plan_df["sources"])
 
-    bins = rows.groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("words"))
-    up_to = Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        bins.withColumn("upto", F.sum("words").over(up_to))
-        .filter("upto > rest")
-        .groupBy("pattern")
-        .agg(F.min_by(F.struct("bin", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("gap")), "bin").alias("edge"))
-        .select("pattern", F.col("edge.bin").alias("edge_bin"), F.col("edge.gap").alias("gap"))
-    )
-    edges = [tuple(r) for r in edge.collect()]
-    edge_df = spark.createDataFrame(edges, "pattern int, edge_bin int, gap long")
-    rows = rows.join(F.broadcast(edge_df), "pattern", "left")
-    order = Window.partitionBy("pattern").orderBy(*_ORDER)
-    # the boundary bin holds one of BINS parts of a pattern: its documents are taken one by one up to the gap
-    inner = rows.filter("bin = edge_bin").withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("upto <= gap")
-    last = inner.groupBy("pattern").agg(F.max("upto").alias("used"), F.max(F.struct(*_ORDER)).alias("last"))
-    lasts = [(r["pattern"], r["used"], *r["last"]) for r in last.collect()]
-    last_df = spark.createDataFrame(lasts, "pattern int, used long, last_hash long, last_id long")
-    rows = rows.join(F.broadcast(last_df), "pattern", "left")
+    spans, chosen = first_fit(rows.filter("size > 0").select("pattern", "bin", "hash", "id", "size"), {p[1]: p[5] for p in plan if p[5]})
+    span_df = spark.createDataFrame(spans, "pattern int, low_hash long, low_id long, high_hash long, high_id long, most long")
+    span_df = span_df.groupBy("pattern").agg(F.collect_list(F.struct("low_hash", "low_id", "high_hash", "high_id", "most")).alias("spans"))
+    chosen_df = spark.createDataFrame(chosen, "chosen_pattern int, chosen_id long").distinct().withColumn("single", F.lit(True))
+    out = rows.join(F.broadcast(span_df), "pattern", "left").join(F.broadcast(chosen_df), (F.col("pattern") == F.col("chosen_pattern")) & F.col("id").eqNullSafe(F.col("chosen_id")), "left")
     at = F.struct(*_ORDER)
-    inside = (F.col("bin") == F.col("edge_bin")) & F.coalesce(at <= F.struct("last_hash", "last_id"), F.lit(False))
-    before = F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin")) | inside
-    gap = F.col("gap") - F.coalesce("used", F.lit(0))
-    near = rows.filter(~before & (F.col("size") > 0) & (F.col("size") <= gap)).select("pattern", "id", "size", gap.alias("gap"), F.row_number().over(order).alias("rank"))
-    chosen, left = [], {}
-    for r in sorted(near.filter(F.col("rank") <= FILL).collect(), key=lambda r: (r["pattern"], r["rank"])):
-        gap_now = left.setdefault(r["pattern"], r["gap"])
-        if r["size"] <= gap_now:
-            left[r["pattern"]] -= r["size"]
-            chosen.append((r["id"],))
-    chosen_df = spark.createDataFrame(chosen, "id long").distinct().withColumn("extra", F.lit(1))
-    out = rows.join(F.broadcast(chosen_df), "id", "left")
-    extra = F.when(F.col("rest") == 0, 0).when(before, 1).otherwise(F.coalesce("extra", F.lit(0)))
+    # fields get the row's own names, since structs are compared by type
+    low, high = (lambda s, end=end: F.struct(s[f"{end}_hash"].alias("hash"), s[f"{end}_id"].alias("id")) for end in ("low", "high"))
+    inside = F.exists("spans", lambda s: (at > low(s)) & (at <= high(s)) & (F.col("size") <= s["most"]))
+    extra = F.when(F.coalesce(inside, F.lit(False)) | F.coalesce("single", F.lit(False)), 1).otherwise(0)
     times = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + extra).cast("long")
     return out.select(F.col("id").alias(id_col), "sources", "size", "source_size", "target", times.alias("repeats"), (times * F.col("size")).alias("taken"))

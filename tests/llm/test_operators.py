@@ -95,6 +95,32 @@ def test_mixing(spark, messy):
     assert mixing.mixed(big.limit(0)).count() == 0
 
 
+def test_mixing_closes_a_long_documents_gap(spark):
+    # the second document in line has 30,000 words and overflows; 2,999 of 10 words follow
+    ids = spark.range(3001).orderBy(F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 1)).limit(2).collect()
+    docs = spark.range(3001).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") == ids[1]["id"], 30_000).otherwise(10)).alias("text"), F.array(F.lit("s")).alias("sources"))
+    rows = mixing.mixed(docs).collect()
+    assert rows[0]["target"] == 90_000 and sum(r["taken"] for r in rows) == 90_000
+
+
+def test_first_fit_is_greedy(spark):
+    rng = np.random.default_rng(3)
+    docs = [(k % 2, h >> 51, h, i, int(s)) for k, (h, i, s) in enumerate(zip(rng.integers(0, 1 << 63, 600).tolist(), range(600), rng.integers(1, 3000, 600), strict=True))]
+    docs += docs[5:8]
+    spans, chosen = mixing.first_fit(spark.createDataFrame(docs, "pattern int, bin int, hash long, id long, size long"), {0: 20_000, 1: 7}, fill=3)
+    for p, gap in ((0, 20_000), (1, 7)):
+        want = set()
+        units = Counter()
+        for k, _, h, i, s in docs:
+            units[h, i] += s if k == p else 0
+        for (h, i), s in sorted(units.items()):
+            if 0 < s <= gap:
+                gap -= s
+                want.add(i)
+        got = {i for q, i in chosen if q == p} | {i for k, _, h, i, s in docs if k == p for q, a, _, b, c, most in spans if q == p and a < h and (h, i) <= (b, c) and s <= most}
+        assert got == want
+
+
 # --- 3: URLs --------------------------------------------------------------------------------------
 
 
