@@ -59,6 +59,20 @@ def test_wrapper_removes_constant_text(spark):
     assert html_extract.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_does_not_hang_on_the_first_page(spark):
+    page = "<body><div><p>Welcome to our site</p><p>story number {} is here</p><p>All rights kept</p></div>{}</body>"
+    for odd in (None, "", "<p", "<body><table><tr><td>only a table</table></body>", page.format(99, "")):
+        rows = [(-1, "http://h.example/x", odd)] + [(i, "http://h.example/x", page.format(i, "<section><p>Our terms</p></section>")) for i in range(6)]
+        out = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(out[i] == f"story number {i} is here" for i in range(6)), (odd, out)
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, "http://h.example/x", f"<body><p>Welcome</p><p>story {max(i, 4)}</p></body>") for i in range(8)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"story {max(i, 4)}" for i in range(8)}
+
+
 # --- 2: mixing ----------------------------------------------------------------------------------
 
 
