@@ -10,13 +10,15 @@ uniform noise:
 - the runs test over characters above and below the alphabet's middle,
 - lag-1 serial correlation of the characters' places in the alphabet.
 
-A run stays if no test rejects noise at ``ALPHA`` (shared among the three). Its
-evidence against being text is the number of changes between digits, small and
-capital letters: text changes in ``CHANGES`` of all places at most, noise far
-more often, and the more places there are, the smaller the p-value. Benjamini
-and Hochberg's procedure over a text's runs, with one hypothesis more for every
-``PLACES`` characters of it, holds the share of false discoveries at ``FDR``
-whatever the text's length.
+The smallest p-value of the three (times three) says how far a run is from noise.
+Its evidence against being text is the number of changes between digits, small
+and capital letters: text changes in ``CHANGES`` of all places at most, noise far
+more often, and the more places there are, the smaller the p-value. The
+hypotheses are the runs of a text that have an encoding, no others, so a key's
+fate doesn't hang on the length of the text around it. Benjamini and Hochberg's
+procedure over them is made twice: a run is reported if it is among the
+discoveries against text at ``FDR``, and not among those of the battery against
+noise at ``ALPHA``. Run length enters through the tests.
 
 Null and empty texts have no spans. Overlaps between kinds stay; a method span
 inside a base span is left out. Repeated rows give equal rows.
@@ -32,7 +34,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "random")
-ALPHA, CHANGES, FDR, PLACES = 0.003, 0.15, 0.01, 200
+ALPHA, CHANGES, FDR = 0.003, 0.15, 0.01
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 DIGITS, SMALL, CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings by the characters they allow, the first that fits; a run must hold a digit and a letter.
@@ -124,22 +126,25 @@ def text_p(run: Column) -> Column:
 
 
 def scored_runs(runs: Column) -> Column:
-    """The runs that pass the battery, with their p-values."""
+    """The runs that have an encoding, with p-values against text (p) and against noise (noise)."""
     known = F.filter(
         F.transform(runs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), alphabet_of(s["text"]).alias("alphabet"))),
         lambda s: s["alphabet"].isNotNull(),
     )
-    scored = F.transform(known, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["alphabet"].alias("alphabet"), text_p(s["text"]).alias("p")))
-    return F.filter(F.filter(scored, lambda s: s["p"] <= FDR), lambda s: noise_p(s["text"], s["alphabet"]) >= ALPHA)
+    return F.transform(known, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), text_p(s["text"]).alias("p"), noise_p(s["text"], s["alphabet"]).alias("noise")))
 
 
-def discoveries(text: Column, runs: Column, scored: Column) -> Column:
-    """False-discovery control over the runs of one text."""
-    m = F.greatest(F.lit(1), F.size(runs) + F.floor(F.length(text) / PLACES)).cast("double")
-    ordered = F.array_sort(F.transform(scored, lambda s: s["p"]))
-    passed = F.filter(F.transform(ordered, lambda p, i: F.when(p <= F.lit(FDR) * (i + 1) / m, p)), lambda p: p.isNotNull())
-    limit = F.array_max(passed)
-    return F.filter(scored, lambda s: F.coalesce(s["p"] <= limit, F.lit(False)))
+def limit_of(p: Column, level: float) -> Column:
+    """Benjamini and Hochberg's limit for an array of p-values: those up to it are discoveries; null if there are none."""
+    m = F.size(p).cast("double")
+    return F.array_max(F.filter(F.transform(F.array_sort(p), lambda x, i: F.when(x <= F.lit(level) * (i + 1) / m, x)), lambda x: x.isNotNull()))
+
+
+def discoveries(scored: Column) -> Column:
+    """The runs of one text that are no text and may be noise, false discoveries controlled for both."""
+    text = limit_of(F.transform(scored, lambda s: s["p"]), FDR)
+    noise = limit_of(F.transform(scored, lambda s: s["noise"]), ALPHA)
+    return F.filter(scored, lambda s: F.coalesce(s["p"] <= text, F.lit(False)) & F.coalesce(s["noise"] > noise, F.lit(True)))
 
 
 def _lines(spans: Column) -> Column:
@@ -158,8 +163,8 @@ def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         id_col, "__text", spans_of(text, ASSIGN, 2, 6).alias("assign"), spans_of(text, ACCESS).alias("access"), spans_of(text, HEX).alias("hex"), spans_of(text, RUN).alias("runs"),
     )
     base = F.concat(_tagged(F.col("assign"), 0), _tagged(F.col("access"), 1), _tagged(F.col("hex"), 2))
-    rows = rows.select(id_col, "__text", "assign", "access", "hex", "runs", F.when(F.size("runs") > 0, scored_runs(F.col("runs"))).alias("scored"), base.alias("base"))
-    found = F.when(F.size("scored") > 0, discoveries(text, F.col("runs"), F.col("scored")))
+    rows = rows.select(id_col, "assign", "access", "hex", F.when(F.size("runs") > 0, scored_runs(F.col("runs"))).alias("scored"), base.alias("base"))
+    found = F.when(F.size("scored") > 0, discoveries(F.col("scored")))
     rows = rows.select(id_col, "assign", "access", "hex", found.alias("found"), "base")
     new = F.filter(F.coalesce(_tagged(F.col("found"), 3), F.array()), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     rows = rows.withColumn("new", new)

@@ -364,6 +364,16 @@ def test_secrets(spark, messy):
     assert secrets.scanned(rows.limit(0)).count() == 0
 
 
+def test_keys_are_found_in_texts_of_any_length(spark):
+    rng = np.random.default_rng(7)
+    keys = ["".join(rng.choice(list(secrets.DIGITS + secrets.SMALL), n)) for n in (20, 24, 32) for _ in range(40)]
+    rows = [(i, f"{'word ' * n}{k}{' text' * n}") for n in (1, 200, 2000) for i, k in enumerate(keys)]
+    found = [set() for _ in keys]
+    for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].add(r["n_random"])
+    assert all(len(x) == 1 for x in found) and sum(x == {1} for x in found) >= 0.6 * len(keys)
+
+
 # --- 10: languages ------------------------------------------------------------------------------------------------
 
 
