@@ -3,15 +3,18 @@
 A payload becomes a mono WAV file of unsigned 8-bit samples (one byte, one
 sample), so storage is lossless. The stored bytes are read back by the ``wave``
 module; features come from what was read. A short-time Fourier transform (Hann
-window) gives magnitudes; peaks are bins that exceed their neighbours in time
-and frequency; each peak is paired with the next peaks within a time span, and
-every pair is one 64-bit code
+window) gives magnitudes. The signal has one hop of silence before it and at
+least one after it, up to a whole hop, so every sample lies in two frames. Peaks
+are all bins that exceed their neighbours in time and frequency; each peak is
+paired with the next peak of its frame and with the next ``FAN`` peaks from its
+own bin of the next frame on, within a time span, and every pair is one 64-bit
+code
 
     start frame << 32 | first bin << 20 | second bin << 8 | frames between
 
 The codes of a file form its time-coded array, in ascending order.
 
-Null counts as empty; an empty payload is 64 zero bytes, which have no peaks.
+Null counts as empty; an empty payload is 64 zero bytes.
 Long payloads are transformed in blocks of frames, so memory stays bounded.
 Equal payloads give equal columns.
 """
@@ -60,45 +63,55 @@ def from_wav(stored: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def frames_of(n: int) -> int:
+    """Frames of so many samples; the first starts a hop before them, the last ends a hop after them or later."""
+    return -(-n // HOP) + 1
+
+
 def spectrogram(samples: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(first frame, magnitudes) in blocks; a block repeats its neighbours' edge frames so that peaks can be compared across."""
-    signal = samples.astype(np.float64) - 128.0
-    if len(signal) < FRAME:
-        signal = np.concatenate([signal, np.zeros(FRAME - len(signal))])
+    signal = np.zeros(FRAME + HOP * (frames_of(len(samples)) - 1))
+    signal[HOP : HOP + len(samples)] = samples.astype(np.float64) - 128.0
     frames = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
     for at in range(0, len(frames), BLOCK):
         low = max(0, at - 1)
-        yield low, np.abs(np.fft.rfft(frames[low : at + BLOCK + 1] * _WINDOW, axis=1))
+        # rounded, so that equal frames have equal magnitudes
+        yield low, np.round(np.abs(np.fft.rfft(frames[low : at + BLOCK + 1] * _WINDOW, axis=1)), 6)
 
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and bins of the spectral peaks, by frame and then bin: a frame's maximum bin if it exceeds the same bin of the frames beside it."""
+    """Frames and bins of the spectral peaks, by frame and then bin: all bins above the mean's that exceed both neighbours in time and in frequency (of equal ones, the first)."""
     times, bins = [], []
-    total = max(1, (len(samples) - FRAME) // HOP + 1)
     for low, mag in spectrogram(samples):
         mag = mag[:, 1:]  # without the mean
-        top = mag.argmax(axis=1)
-        row = np.arange(len(mag))
-        best = mag[row, top]
-        before = np.concatenate([[-1.0], mag[row[1:] - 1, top[1:]]])
-        after = np.concatenate([mag[row[:-1] + 1, top[:-1]], [-1.0]])
-        good = (best > 1e-6) & (best > before) & (best >= after)
+        around = np.full((mag.shape[0] + 2, mag.shape[1] + 2), -1.0)
+        around[1:-1, 1:-1] = mag
+        good = (mag > 1e-6) & (mag > around[:-2, 1:-1]) & (mag >= around[2:, 1:-1]) & (mag > around[1:-1, :-2]) & (mag >= around[1:-1, 2:])
+        row, place = np.nonzero(good)
         frame = low + row
         # edge frames repeated from a neighbouring block are judged there
-        own = (frame >= (0 if low == 0 else low + 1)) & (frame < (low if low == 0 else low + 1) + BLOCK) & (frame < total)
-        times.append(frame[good & own])
-        bins.append(top[good & own] + 1)
+        first = low if low == 0 else low + 1
+        own = (frame >= first) & (frame < first + BLOCK)
+        times.append(frame[own])
+        bins.append(place[own] + 1)
     return np.concatenate(times), np.concatenate(bins)
 
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
     """The time-coded array of a sample row."""
     t, f = peaks(samples)
+    order = t << 12 | f
+    after = np.searchsorted(order, (t + 1) << 12 | f)
     codes = []
-    for k in range(1, FAN + 1):
-        dt = t[k:] - t[:-k]
+    for following, k in ((np.arange(1, len(t) + 1), 0), *((after, k) for k in range(FAN))):
+        start = np.flatnonzero(following + k < len(t))
+        mate = following[start] + k
+        if following is not after:  # in the same frame
+            start, mate = start[t[mate] == t[start]], mate[t[mate] == t[start]]
+        dt = t[mate] - t[start]
         near = dt <= SPAN
-        codes.append((t[:-k][near] << 32) | (f[:-k][near] << 20) | (f[k:][near] << 8) | dt[near])
+        start, mate, dt = start[near], mate[near], dt[near]
+        codes.append((t[start] << 32) | (f[start] << 20) | (f[mate] << 8) | dt)
     return np.sort(np.concatenate(codes)).astype(np.int64)
 
 
@@ -108,7 +121,7 @@ SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lo
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_files: bool = False) -> DataFrame:
     """Per row: id, n_bytes (unpadded), payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes, media_sha256, feature.
 
-    ``feature`` is ``peaks:pairs:SHA-256 of the time-coded array``. With
+    ``feature`` is ``peaks:pairs:SHA-256 of the time-coded array`` (peaks that start a pair). With
     ``keep_files`` two columns follow: media (the WAV file) and fingerprint (the
     array itself).
     """
@@ -123,7 +136,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 codes = fingerprint(np.frombuffer(payload, np.uint8))
                 rows.append((
                     len(t or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(),
-                    f"{len(np.unique(codes >> 32))}:{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()}", stored if keep_files else None,
+                    f"{len(np.unique(codes >> 20))}:{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()}", stored if keep_files else None,
                 ))
                 prints.append(codes if keep_files else codes[:0])
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())

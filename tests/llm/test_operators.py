@@ -278,6 +278,20 @@ def test_peaks_in_blocks():
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
+def test_fingerprint_covers_the_end_and_all_peaks():
+    rng = np.random.default_rng(2)
+    for n in (64, 256, 320, 448, 4160):
+        a = rng.integers(0, 256, n).astype(np.uint8)
+        for at in (0, n - 64):
+            b = a.copy()
+            b[at:] = b[at:] ^ 0x55
+            assert len(media.fingerprint(a)) and media.fingerprint(a).tolist() != media.fingerprint(b).tolist()
+    mag = np.concatenate([m for _, m in media.spectrogram(a)])
+    value = lambda t, f: mag[t, f] if 0 <= t < len(mag) and 1 <= f < mag.shape[1] else -1.0
+    want = [(t, f) for t in range(len(mag)) for f in range(1, mag.shape[1]) if all(value(t, f) > x for x in (value(t - 1, f), value(t + 1, f), value(t, f - 1), value(t, f + 1)))]
+    assert list(zip(*(x.tolist() for x in media.peaks(a)), strict=True)) == want and len(want) > len(mag)
+
+
 # --- 7: pieces -------------------------------------------------------------------------------------------
 
 
