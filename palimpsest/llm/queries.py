@@ -46,7 +46,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.sampled_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES_FILE), seed=SEED, keep_ids=False)
+    return pieces.sampled_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES_FILE), seed=SEED)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

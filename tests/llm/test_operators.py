@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, html_extract, language_id, media, mixing, near_dedup, pieces, secrets, token_counts, url_rules
+from palimpsest.llm import exact_dedup, html_extract, language_id, media, mixing, near_dedup, pieces, queries, secrets, token_counts, url_rules
 from palimpsest.llm.queries import BPE_FILE, PIECES_FILE, URL_RULES
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -309,6 +309,13 @@ def test_pieces(spark, messy):
     assert pieces.sampled_pieces(rows.limit(0), path).count() == 0
 
 
+def test_query_returns_the_pieces(spark):
+    out = queries.op7_sentencepiece_sampling(spark, "/root/testdata/sf0.001").collect()
+    model = pieces.Lattice(public_tokenizers.path(PIECES_FILE), 1.0)
+    want = dict(texts_of(spark.read.parquet(DOCS)))
+    assert len(out) == len(want) and all(len(r["piece_ids"]) == r["n_pieces"] and model.decode(np.array(r["piece_ids"], np.int32)) == (want[r["doc_id"]] or "").encode() for r in out)
+
+
 def test_sampling_follows_the_weights():
     model = pieces.Lattice(public_tokenizers.path(PIECES_FILE), 1.0)
     word = "▁the"
