@@ -27,10 +27,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes in one Arrow batch; a batch of one row may be larger.
+BATCH_BYTES = 16 << 20
+
+
 def prepare(df: DataFrame) -> SparkSession:
     """Session of ``df``, set up so that Arrow batches stay small and workers can import this package."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
@@ -39,9 +44,11 @@ def prepare(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, a temporary one (tests on one machine)."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and all runs on one machine, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -54,13 +61,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage is cut, a lost executor costs nothing."""
+def stored(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: lineage is cut, a lost executor costs nothing.
+
+    ``replaces``: a stored table that nothing reads any more once this one is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_quiet_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        _remove(spark, replaces._stored_at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def _quiet_remove(spark: SparkSession, path: str) -> None:

@@ -12,19 +12,33 @@ a bucket with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, all but some five
 in a million.
 
 Verification: sets with equal fingerprints are one class from the start, so
-copies cost one row each. In every bucket, classes are compared with a leader on
-their full sets; classes linked with it need no further pairs among themselves.
-The first leader is the bucket's most central class, the one that shares the most
-buckets with others. Buckets whose classes are still in several components get
-several more leaders, and what remains after these rounds is compared pair by
-pair between components, whatever its size, each pair in one bucket only. Links are 100 * intersection >= percent * union on full sets;
-components are their transitive closure.
+copies cost one row each. In every bucket all classes are compared with its
+leader on their full sets, the most central class, which shares the most buckets
+with others; classes linked with it need no further pairs among themselves.
+
+What remains are pairs of a bucket between components, which can be many where
+a group holds many near misses. A bucket with few of them (``PAIRS`` a member at
+most) is compared pair by pair. In the others every class x is known by its
+differences from the leader, D(x) = the elements that only one of the two has.
+Since D(x) and D(y) differ exactly where x and y do, a link leaves them at most
+(100 - percent) / (100 + percent) * (|x| + |y|) elements that only one has, and
+so at least O in common; of two sets in one order with O common elements, the
+first |D(x)| - O + 1 and |D(y)| - O + 1 share one. Elements that the leader lacks
+come first in that order: near misses, which differ from the leader each in its
+own way, seldom share one early. Such prefixes are exact, whatever the bucket's
+size. Each (leader, element) again has a leader of its own before the remaining
+pairs between components are compared.
+
+Links are 100 * intersection >= percent * union on full sets; components are
+their transitive closure.
 
 Elements are 64-bit hashes of word shingles; words are `[^\\x20\\x09-\\x0D]+`
 with A-Z lower-cased. A text with fewer words than a shingle is one shingle; one
 without words (or null) has an empty set and is linked with nothing. Repeated
 rows are links of similarity 1. Ids name rows: one id must not stand for two
-texts, and a null id raises.
+texts. A row without an id takes part under a number made of its text, above all
+ids below 2 ** 62; its own id stays null, and so does a component of such rows
+alone, of which each has ``kept``.
 """
 
 from __future__ import annotations
@@ -34,15 +48,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, as_batches, ascii_lower, mix64, stored, texts
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Leaders of a bucket in each round before the rest is compared pair by pair.
-LEADERS = (1, 8)
+#: Pairs between components for each member of a bucket up to which it is compared pair by pair; more go by differences. It decides about cost alone.
+PAIRS = 16
 #: Words whose hashes a worker keeps; on reaching it the store starts anew.
 STORE_WORDS = 500_000
 _U = np.uint64
@@ -102,30 +116,27 @@ def buckets(elements: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def sketched(df: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n_shingles, fingerprint (of the whole set; null if empty), buckets."""
+def sketched(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """Per row (id, text): id, n_shingles, fingerprint (of the whole set; null if empty), buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(b.schema.get_field_index(id_col))
-            if ids.null_count:
-                raise ValueError(f"{id_col} must not be null")
-            sets = [shingles(t, width) for t in texts(b, text_col)]
+            sets = [shingles(t, width) for t in texts(b, "text")]
             yield from as_batches({
-                "id": (ids, pa.int64()), "n_shingles": ([len(s) for s in sets], pa.int64()),
+                "id": (b.column(0), pa.int64()), "n_shingles": ([len(s) for s in sets], pa.int64()),
                 "fingerprint": ([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 "buckets": ([buckets(s, bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
             })
 
-    return arrow_map(df, (id_col, text_col), run, "id long, n_shingles long, fingerprint binary, buckets array<long>")
+    return arrow_map(df, ("id", "text"), run, "id long, n_shingles long, fingerprint binary, buckets array<long>")
 
 
-def full_sets(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def full_sets(df: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from as_batches({"id": (b.column(b.schema.get_field_index(id_col)), pa.int64()), "elements": ([shingles(t, width).tobytes() for t in texts(b, text_col)], pa.binary())})
+            yield from as_batches({"id": (b.column(0), pa.int64()), "elements": ([shingles(t, width).tobytes() for t in texts(b, "text")], pa.binary())})
 
-    return arrow_map(df, (id_col, text_col), run, "id long, elements binary")
+    return arrow_map(df, ("id", "text"), run, "id long, elements binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +180,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sign = None
     while True:
-        edges = stored(star(star(edges, True), False))
+        edges = stored(star(star(edges, True), False), replaces=edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == sign:
             break
@@ -177,45 +188,68 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
+#: Rows without an id are numbered from here on, by a hash of their text.
+NO_ID = 1 << 62
+
+
+def _numbered(id_col: str, text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`")).bitwiseAND(NO_ID - 1) + F.lit(NO_ID))
+
+
 def near_duplicates(
     df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept (id = component_id)."""
+    out = _classified(df, width, percent, id_col, text_col, bands, rows)
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return out.select(real("id").alias(id_col), "n_shingles", real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def _classified(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row of ``df``: id (a number for rows without one), n_shingles, component."""
     spark: SparkSession = df.sparkSession
-    base = stored(sketched(df, width, bands, rows, id_col, text_col))
+    docs = df.select(_numbered(id_col, text_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    base = stored(sketched(docs, width, bands, rows))
     # rows with equal sets: the smallest id stands for the class
-    classes = stored(
-        base.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("id").alias("rep"), F.min_by("buckets", "id").alias("buckets"), F.min("n_shingles").alias("n"))
-    )
+    classes = base.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("id").alias("rep"), F.min_by("buckets", "id").alias("buckets"), F.min("n_shingles").alias("n"))
+    classes = stored(classes)
     member = _shared(classes.select(F.col("rep").alias("id"), "n", F.explode("buckets").alias("bucket")))
     member = stored(member.join(member.groupBy("id").agg(F.sum("size").alias("weight")), "id").drop("size"))
-    wanted = member.select(F.col("id").alias(id_col)).distinct()
-    sets = stored(full_sets(df.select(id_col, text_col).join(wanted, id_col, "left_semi").dropDuplicates([id_col]), width, id_col, text_col))
-
-    links = spark.createDataFrame([], "a long, b long")
-    tried = spark.createDataFrame([], "a long, b long")
-    comp = None
-    for turn, leaders in enumerate((*LEADERS, 0)):
-        rows_left = _open(member, comp)
-        pairs = _leaders(rows_left, turn, leaders) if leaders else _between(rows_left, classes)
-        near_size = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        fresh = stored(near_size.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(fresh)
-        found = stored(verified(fresh, sets, percent))
+    sets = stored(full_sets(docs.join(member.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), width))
+
+    state = _State(spark, sets, percent)
+    state.compare(_with_leader(member.join(_leaders(member), "bucket")))
+    still = stored(_open(state.placed(member), "bucket"))
+    few, many = _by_pairs(still)
+    token = stored(_tokens(many, sets, percent))
+    state.compare(_between(few, "bucket", percent).unionByName(_token_leaders(state.placed(token), percent)))
+    state.compare(_between(_open(state.placed(token), "leader", "element"), ("leader", "element"), percent, prefixes=True))
+
+    joined = classes.select("fingerprint", "rep").join(state.component.withColumnRenamed("id", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component"))
+    return base.drop("buckets").join(joined, "fingerprint", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+
+
+class _State:
+    """Links found so far, the pairs they were found among, and the components they make."""
+
+    def __init__(self, spark: SparkSession, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.links = self.tried = spark.createDataFrame([], "a long, b long")
+        self.component = spark.createDataFrame([], "id long, component long")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with their components."""
+        return rows.drop("component").join(self.component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verifies pairs (a, b, n_a, n_b) whose sizes allow a link and that weren't tried before."""
+        near_size = pairs.filter(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
+        fresh = stored(near_size.select("a", "b").distinct().join(self.tried, ["a", "b"], "left_anti"))
+        self.tried = self.tried.union(fresh)
+        found = stored(verified(fresh, self.sets, self.percent))
         if not found.isEmpty():
-            links = links.union(found)
-            comp = components(links)
-    joined = classes.select("fingerprint", "rep")
-    if comp is not None:
-        joined = joined.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component"))
-    else:
-        joined = joined.select("fingerprint", F.col("rep").alias("component"))
-    return (
-        base.drop("buckets")
-        .join(joined, "fingerprint", "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-        .withColumn("kept", F.col(id_col) == F.col("component_id"))
-    )
+            self.links = self.links.union(found)
+            self.component = components(self.links)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -223,16 +257,19 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket")
 
 
-def _open(member: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Members of buckets that still hold more than one component, with their components."""
-    if comp is None:
-        return member.withColumn("component", F.col("id"))
-    rows = member.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-    return rows.join(several, "bucket", "left_semi")
+def _open(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys still hold more than one component."""
+    several = rows.groupBy(*keys).agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select(*keys)
+    return rows.join(several, list(keys), "left_semi")
+
 
+def _leaders(member: DataFrame) -> DataFrame:
+    """Every bucket's most central class."""
+    lead = member.groupBy("bucket").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("weight"), F.col("id"))).alias("lead"))
+    return lead.select("bucket", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"))
 
-def _pair(x: str, nx: str, y: str, ny: str) -> list:
+
+def _pair(x: str, nx: str, y: str, ny: str) -> list[Column]:
     swap = F.col(x) > F.col(y)
     return [
         F.least(x, y).alias("a"), F.greatest(x, y).alias("b"),
@@ -240,24 +277,83 @@ def _pair(x: str, nx: str, y: str, ny: str) -> list:
     ]
 
 
-def _leaders(rows: DataFrame, turn: int, leaders: int) -> DataFrame:
-    """Every bucket's members with its leaders in other components: the most central class first, later those with the smallest seeded hashes."""
-    me = F.struct("id", "n", "component")
-    orders = [F.struct(-F.col("weight"), F.col("id"))] if turn == 0 else [F.struct(F.xxhash64("id", F.lit(turn * 100 + k)), F.col("id")) for k in range(leaders)]
-    lead = rows.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(me, o) for o in orders])).alias("lead")).select("bucket", F.explode("lead").alias("lead"))
-    lead = lead.select("bucket", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.component").alias("lead_component"))
-    return rows.join(lead, "bucket").filter("component != lead_component").select(*_pair("lead", "lead_n", "id", "n"))
+def _with_leader(rows: DataFrame) -> DataFrame:
+    return rows.filter("id != leader").select(*_pair("leader", "leader_n", "id", "n"))
+
+
+def _by_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets with few pairs between components, and (leader, leader_n, id, n) of the others."""
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    marked = rows.join(sizes.select("bucket", F.expr(f"members * members - squares > {2 * PAIRS} * members").alias("many")), "bucket")
+    many = marked.filter("many").drop("many")
+    return marked.filter("not many").drop("many"), many.join(_leaders(many), "bucket").filter("id != leader").select("leader", "id", "n").distinct()
+
+
+def _tokens(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Per class and leader the first elements of its differences: leader, element, at (from 1 on), id, n, d (all differences).
 
+    Of two classes in different components at least one, x, isn't linked with the
+    leader l. With F(u, v) = (100 - percent) / (100 + percent) * (|u| + |v|), its
+    D(x) has more than F(x, l) elements. A partner y that is linked with l thus
+    needs (|D(y)| + F(x, y) - F(x, l)) / 2 + 1 elements at most. Of others, the
+    larger difference set needs no more than F(x, y) + 1, with |y| * percent <= 100 * |x|.
+    """
 
-def _between(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members that lie in different components, each in the smallest bucket that both are in."""
-    rows = rows.join(classes.select(F.col("rep").alias("id"), "buckets"), "id")
-    left = rows.select("bucket", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("component").alias("ci"), F.col("buckets").alias("bi"))
-    right = rows.select("bucket", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("component").alias("cj"), F.col("buckets").alias("bj"))
-    return left.join(right, "bucket").filter("i < j and ci != cj and bucket = array_min(array_intersect(bi, bj))").select(*_pair("i", "ni", "j", "nj"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, firsts = [], []
+            for p, q in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                lead, own = np.frombuffer(p, dtype=_U), np.frombuffer(q, dtype=_U)
+                new, gone = np.setdiff1d(own, lead, assume_unique=True), np.setdiff1d(lead, own, assume_unique=True)
+                d, n = len(new) + len(gone), len(own)
+                if (100 + percent) * d <= (100 - percent) * (n + len(lead)):
+                    most = (d * (100 + percent) + (100 - percent) * (n - len(lead))) // (2 * (100 + percent)) + 1
+                else:
+                    most = (100 - percent) * (n + n * 100 // percent) // (100 + percent) + 1
+                sizes.append(d)
+                firsts.append(np.concatenate([new, gone])[:most].astype(np.int64))
+            yield from as_batches({
+                "leader": (b.column(0), pa.int64()), "id": (b.column(1), pa.int64()), "n": (b.column(2), pa.int64()),
+                "d": (sizes, pa.int64()), "first": (firsts, pa.list_(pa.int64())),
+            })
+
+    joined = (
+        orbit.join(sets.select("id", F.col("elements").alias("y")), "id")
+        .join(sets.select(F.col("id").alias("leader"), F.col("elements").alias("x")), "leader")
+        .select("leader", "id", "n", "x", "y")
+    )
+    found = joined.mapInArrow(run, "leader long, id long, n long, d long, first array<long>")
+    return found.select("leader", "id", "n", "d", F.posexplode("first").alias("at", "element")).withColumn("at", F.col("at") + 1)
+
+
+def _early(x: str, y: str, percent: int) -> Column:
+    """Whether an element that two difference sets share at these places can be their first of enough common ones."""
+    far = f"floor({100 - percent} * ({x}.n + {y}.n) / {100 + percent})"
+    common = f"ceil(({x}.d + {y}.d - {far}) / 2)"
+    return F.expr(f"{x}.at <= {x}.d - {common} + 1 and {y}.at <= {y}.d - {common} + 1")
+
+
+def _token_leaders(token: DataFrame, percent: int) -> DataFrame:
+    """Every (leader, element)'s classes with the one of them that differs least, where their components differ."""
+    lead = token.groupBy("leader", "element").agg(F.min_by(F.struct("id", "n", "d", "at", "component"), F.struct("d", "id")).alias("lead")).select("leader", "element", "lead.*").alias("x")
+    both = token.alias("y").join(lead, ["leader", "element"]).filter((F.col("x.component") != F.col("y.component")) & _early("x", "y", percent))
+    return both.select(*_pair("x.id", "x.n", "y.id", "y.n"))
+
+
+def _between(rows: DataFrame, keys: str | tuple[str, ...], percent: int, prefixes: bool = False) -> DataFrame:
+    """Pairs of rows with equal keys that lie in different components and whose sizes allow a link."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    both = rows.alias("x").join(rows.alias("y"), keys).filter(
+        (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    )
+    if prefixes:
+        both = both.filter(_early("x", "y", percent))
+    return both.select(*_pair("x.id", "x.n", "y.id", "y.n"))
 
 
 def keep_representatives(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their component, with its own columns."""
-    kept = near_duplicates(df, width, percent, id_col, text_col).filter("kept").select(id_col).distinct()
-    return df.join(kept, id_col, "left_semi").select([F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df`` that stand for their component, with its own columns; of repeated rows one."""
+    kept = _classified(df, width, percent, id_col, text_col).filter("id = component").select(F.col("id").alias("__number")).distinct()
+    # partitioned and sorted by number already, so dropping repeated rows needs no shuffle of its own
+    rows = df.withColumn("__number", _numbered(id_col, text_col)).join(kept, "__number", "left_semi").dropDuplicates(["__number"])
+    return rows.select([F.col(f"`{c}`") for c in df.columns])

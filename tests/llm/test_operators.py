@@ -237,6 +237,42 @@ def test_near_duplicates(spark, messy):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_near_misses_by_differences(spark):
+    """A group with more near misses than are compared pair by pair, some of them linked with each other alone."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(150)]
+
+    def edited(words, n):
+        out = list(words)
+        for k in rng.choice(len(out), n, replace=False):
+            out[k] = f"e{rng.integers(0, 40)}"
+        return out
+
+    second = edited(base, 12)
+    rows = [(k, edited(base, int(rng.integers(1, 16)))) for k in range(150)] + [(1000 + k, edited(second, int(rng.integers(1, 6)))) for k in range(60)] + [(2000, base)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept, near_dedup.PAIRS = near_dedup.PAIRS, 0
+    try:
+        got = near_dedup.near_duplicates(docs, 2).collect()
+    finally:
+        near_dedup.PAIRS = kept
+    want = brute_components(texts_of(docs), 2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and 20 < len({c for _, c in want.values()}) < 200
+    assert got and {tuple(r) for r in got} == {tuple(r) for r in near_dedup.near_duplicates(docs, 2).collect()}
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, text), (7, text), (None, text), (None, "alone here now"), (None, "alone here now"), (None, None), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__number", F.lit("x")).withColumn("component", F.lit(1))
+    out = sorted(map(tuple, near_dedup.near_duplicates(docs, 2).collect()), key=str)
+    want = [(1, 59, 1, True), (1, 59, 1, True), (7, 59, 1, False), (None, 59, 1, False), (None, 2, None, True), (None, 2, None, True), (None, 0, None, True), (3, 0, 3, True), (3, 0, 3, True)]
+    assert out == sorted(want, key=str)
+    kept = near_dedup.keep_representatives(docs, 2)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, text), (None, "alone here now"), (None, None), (3, None)], key=str)
+
+
 def test_empty_near_duplicates(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
