@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: texts may be long, so batches stay far below Spark's default of 10,000.
@@ -84,6 +84,11 @@ def _quiet_remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """Rows as one column ``row`` beside named others, so that no name of theirs can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
 def ascii_lower(data: bytes) -> bytes:
     """UTF-8 bytes with A-Z lower-cased and nothing else changed (``bytes.lower`` is ASCII only)."""
     return data.lower()

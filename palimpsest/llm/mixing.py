@@ -16,7 +16,8 @@ those that still fit, until none does. So the words taken of a pattern stay belo
 its flow by less than its smallest document that isn't taken.
 
 Null and empty texts have size 0 and are never taken; a null source is a source
-of its own. Rows with the same id share their hash and are taken or left alike.
+of its own. Rows of one pattern with the same id, also those without one, share
+their hash; rows of the same size too are taken or left alike.
 Empty tables give empty results.
 """
 

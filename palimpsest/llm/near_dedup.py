@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, as_batches, ascii_lower, mix64, stored, texts
+from palimpsest.llm.common import arrow_map, as_batches, ascii_lower, mix64, packed, stored, texts
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
@@ -353,7 +353,6 @@ def _between(rows: DataFrame, keys: str | tuple[str, ...], percent: int, prefixe
 
 def keep_representatives(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stand for their component, with its own columns; of repeated rows one."""
-    kept = _classified(df, width, percent, id_col, text_col).filter("id = component").select(F.col("id").alias("__number")).distinct()
+    kept = _classified(df, width, percent, id_col, text_col).filter("id = component").select("id").distinct()
     # partitioned and sorted by number already, so dropping repeated rows needs no shuffle of its own
-    rows = df.withColumn("__number", _numbered(id_col, text_col)).join(kept, "__number", "left_semi").dropDuplicates(["__number"])
-    return rows.select([F.col(f"`{c}`") for c in df.columns])
+    return packed(df, id=_numbered(id_col, text_col)).join(kept, "id", "left_semi").dropDuplicates(["id"]).select("row.*")

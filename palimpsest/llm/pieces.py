@@ -29,7 +29,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, as_batches, mix64, texts
 
@@ -229,27 +230,42 @@ def lattice(path: str, theta: float) -> Lattice:
     return Lattice(path, theta)
 
 
-def sampled_pieces(df: DataFrame, path: str, seed: int = 0, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def numbered_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "copy") -> DataFrame:
+    """``df`` with the number of each row among rows with its id and text, from 0 on, so that copies can be sampled apart."""
+    alike = Window.partitionBy(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))).orderBy(F.lit(0))
+    return df.withColumn(name, F.row_number().over(alike) - 1)
+
+
+def sampled_pieces(
+    df: DataFrame, path: str, seed: int = 0, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, copy_col: str | None = None
+) -> DataFrame:
     """Per row: id, n_bytes, n_pieces, ids_sha256 (of the ids as 32-bit little-endian numbers), lossless (decoding gives back the text); with ``keep_ids`` piece_ids follows.
 
-    A null id is keyed like the number 0.
+    A null id is keyed like the number 0. ``copy_col`` names an integer column with a
+    row's number among its copies, which then is part of its key and of the result.
     """
+    columns = (id_col, text_col, *([copy_col] if copy_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path, theta)
         for b in batches:
-            keys = b.column(b.schema.get_field_index(id_col)).to_pylist()
+            keys = b.column(0).to_pylist()
+            copies = b.column(2).to_pylist() if copy_col else [0] * len(keys)
+            names = [f"{k or 0}/{c}" if c else str(k or 0) for k, c in zip(keys, copies, strict=True)]
             rows = [t or b"" for t in texts(b, text_col)]
-            ids = model.sample([t.decode("utf-8", "surrogatepass") for t in rows], [xxhash.xxh64_intdigest(str(k or 0), seed=seed) for k in keys], seed)
+            ids = model.sample([t.decode("utf-8", "surrogatepass") for t in rows], [xxhash.xxh64_intdigest(k, seed=seed) for k in names], seed)
             out = {
                 id_col: (keys, pa.int64()), "n_bytes": ([len(t) for t in rows], pa.int64()), "n_pieces": ([len(x) for x in ids], pa.int64()),
                 "ids_sha256": ([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()), "lossless": ([model.decode(x) == t for x, t in zip(ids, rows, strict=True)], pa.bool_()),
             }
+            if copy_col:
+                out[copy_col] = (copies, pa.int32())
             if keep_ids:
                 out["piece_ids"] = (ids, pa.list_(pa.int32()))
             yield from as_batches(out)
 
-    return arrow_map(df, (id_col, text_col), run, f"`{id_col}` long, n_bytes long, n_pieces long, ids_sha256 string, lossless boolean" + (", piece_ids array<int>" if keep_ids else ""))
+    schema = f"`{id_col}` long, n_bytes long, n_pieces long, ids_sha256 string, lossless boolean" + (f", `{copy_col}` int" if copy_col else "") + (", piece_ids array<int>" if keep_ids else "")
+    return arrow_map(df, columns, run, schema)
 
 
 def decoded(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:

@@ -1,5 +1,7 @@
 """The corpus pipeline's stages against brute force."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -30,3 +32,35 @@ def test_stages(spark):
         if name != "sentencepiece":
             assert docs.columns == before.columns
     assert held["sentencepiece"].filter("not lossless").count() == 0 and held["sentencepiece"].count() == held["source_mixing"].count()
+
+
+ROWS = [
+    (1, "Der Hund läuft über die Straße und bellt die Katze an, die auf dem Zaun sitzt", "de", "a"), (1, "Der Hund läuft über die Straße und bellt die Katze an, die auf dem Zaun sitzt", "de", "a"),
+    (2, "The dog runs over the street and barks at the cat that sits on the fence", "en", "b"), (3, "the dog runs over the street and barks at the CAT that sits on the fence", None, None),
+    (None, "a row without an id has a text of its own", "en", "b"), (None, "a row without an id has a text of its own", "en", "b"), (4, None, None, None), (5, "", "en", "a"), (6, "wort " * 30_000, "de", "a"),
+]
+
+
+def test_stages_on_odd_rows(spark):
+    """Repeated rows, nulls, an empty and a very long text, and columns with the operators' own names."""
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars int")
+    for c in ("__id", "__digest", "__number", "repeats", "copy", "component"):
+        docs = docs.withColumn(c, F.lit("own"))
+    stages = dict(corpus_pipeline.STAGES)
+    as_rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    named = stages["language_id"](spark, docs, SF)
+    assert named.columns == docs.columns and {r["doc_id"] for r in named.collect()}.isdisjoint({4, 5})
+    exact = stored(stages["exact_dedup"](spark, docs, SF))
+    assert exact.columns == docs.columns and as_rows(exact) == sorted([(1, ROWS[0][1]), (3, ROWS[3][1]), (None, ROWS[4][1]), (5, ""), (6, ROWS[8][1])], key=str)
+    near = stored(stages["minhash_near_dedup"](spark, docs, SF))
+    assert near.columns == docs.columns and as_rows(near) == sorted([(1, ROWS[0][1]), (2, ROWS[2][1]), (None, ROWS[4][1]), (4, None), (5, ""), (6, ROWS[8][1])], key=str)
+    mixed = stored(stages["source_mixing"](spark, near, SF))
+    counts = Counter(as_rows(mixed))
+    assert mixed.columns == docs.columns and set(counts.values()) <= {1, 2} and set(counts) <= set(as_rows(near)) and 2 in counts.values()
+    out = stages["sentencepiece"](spark, mixed, SF).collect()
+    assert len(out) == mixed.count() and all(r["lossless"] for r in out)
+    twice = [r for r in out if r["n_pieces"] > 5 and counts[max((k for k in counts if k[0] == r["doc_id"]), key=str)] == 2]
+    assert len({(r["doc_id"], r["ids_sha256"]) for r in twice}) > len(twice) // 2  # copies are sampled apart; short ones may agree by chance
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
