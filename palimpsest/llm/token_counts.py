@@ -10,22 +10,25 @@ Two tokens are compatible when BPE turns their joined bytes back into just the
 two. Words are cut by the tokenizer's own pre-tokenizer rule and never influence
 each other, so counts of a text are running sums over its words.
 
-A text is encoded once. The tokens' ends are the backbone of its table: the
-recurrence along that chain gives the exact count of every prefix that ends with
-a token, as one running sum. The other entries, prefixes that end inside a
-token, follow from the recurrence over the bytes of one word and are filled when
-asked for. Length limits, truncation and budgets are lookups in that table;
-nothing is encoded again.
+That recurrence gives all counts here. A text is cut into words once; a worker
+remembers the totals of words it has met, so a word's recurrence runs once for
+many occurrences. Running sums over the totals give the count of every prefix
+that ends with a word, and the recurrence of one word that of every prefix
+inside it. Length limits, truncation and budgets are lookups; nothing is
+encoded again, and no encoder is called. The candidates at a byte come from one
+Aho-Corasick automaton over the vocabulary, so long words without any break take
+time in proportion to their length.
 
 Null and empty texts have no tokens. Special tokens' strings inside a text count
-as one token, as the library treats them by default. Long words without any
-break are handled like all others, in time proportional to their length.
+as one token, as the library treats them by default. Rows without an id are
+counted like others.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,17 +36,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, as_batches, texts
 
-#: Pairs of tokens whose compatibility a worker remembers; on reaching it the store starts anew.
-STORE_PAIRS = 200_000
+#: Pairs of tokens whose compatibility, and words up to LONG_WORD characters whose totals a worker remembers; on reaching it a store starts anew.
+STORE_PAIRS, STORE_WORDS, LONG_WORD = 500_000, 500_000, 200
 #: The byte-level pre-tokenizer's pattern (a fixed value of this tokenizer family).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Beyond these code points and common marks, Unicode versions differ in what is a letter; the vocabulary file's own library then encodes the text.
+#: Beyond these code points and common marks, Unicode versions differ in what is a letter; the vocabulary file's own library then cuts the text into words.
 _UNSURE = re.compile("[^\x00-Կ‐-⁞₠-₿℀-⅏←-⋿　-。]")
-#: Between two characters that are no white space, a single space always starts a word.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,11 +55,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Totals(dict):
+    """Tokens of each word met; ``table`` is a word's recurrence."""
+
+    def __init__(self, special: frozenset[str], table):
+        super().__init__()
+        self.special, self.table = special, table
+
+    def __missing__(self, word: str) -> int:
+        n = 1 if word in self.special else int(self.table(word)[-1])
+        if len(word) <= LONG_WORD:
+            if len(self) >= STORE_WORDS:
+                self.clear()
+            self[word] = n
+        return n
+
+
 class PrefixCounter:
     """Exact token counts at every prefix for one byte-level BPE vocabulary file."""
 
     def __init__(self, path: str):
-        import tiktoken
+        import ahocorasick
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -67,20 +85,18 @@ class PrefixCounter:
         for k, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rank[as_bytes(a), as_bytes(b)] = k
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.vocabulary = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.longest = max(map(len, self.vocabulary))
-        self.width = np.zeros(max([*self.vocabulary.values(), *special.values()]) + 1, dtype=np.int64)
-        for t, i in self.vocabulary.items():
-            self.width[i] = len(t)
-        for t, i in special.items():
-            self.width[i] = len(t.encode())
+        special = frozenset(t["content"] for t in spec["added_tokens"])
+        # token 0 is the start of a word
+        self.token = [b"", *(as_bytes(t) for t in spec["model"]["vocab"] if t not in special)]
+        self.ends = ahocorasick.Automaton()
+        for i, t in enumerate(self.token[1:], 1):
+            self.ends.add_word(t.decode("latin-1"), (len(t), i))
+        self.ends.make_automaton()
         self.words = regex.compile(PATTERN)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
-        self.allowed = set(special)
-        self.encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=self.vocabulary, special_tokens=special)
         self.path, self.tokenizer = path, None
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.totals = _Totals(special, self.word)
 
     @property
     def library(self):
@@ -90,14 +106,6 @@ class PrefixCounter:
             self.tokenizer = Tokenizer.from_file(self.path)
         return self.tokenizer
 
-    def ends(self, text: str) -> np.ndarray:
-        """Byte ends of the tokens: the prefix up to ends[k] has k + 1 tokens exactly."""
-        if _UNSURE.search(text):
-            ids = np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=np.int64)
-        else:
-            ids = self.encoding.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
-        return np.cumsum(self.width[ids])
-
     def merge(self, data: bytes) -> list[bytes]:
         """Plain BPE: the lowest-ranked pair is joined until none is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -108,90 +116,65 @@ class PrefixCounter:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def compatible(self, left: bytes, right: bytes) -> bool:
-        known = self.pairs.get((left, right))
+    def compatible(self, left: int, right: int) -> bool:
+        known = self.pairs.get(left << 32 | right)
         if known is None:
-            if len(self.pairs) > STORE_PAIRS:
+            if len(self.pairs) >= STORE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == [p for p in (left, right) if p]
+            pair = [self.token[right]] if not left else [self.token[left], self.token[right]]
+            known = self.pairs[left << 32 | right] = self.merge(b"".join(pair)) == pair
         return known
 
-    def word(self, data: bytes) -> list[int]:
-        """count[i] for i = 0..len(data): tokens of each byte prefix of one word."""
-        count, last = [0], [b""]
-        for end in range(1, len(data) + 1):
-            for n in range(min(end, self.longest), 0, -1):
-                token = data[end - n : end]
-                if token in self.vocabulary and self.compatible(last[end - n], token):
-                    count.append(count[end - n] + 1)
-                    last.append(token)
-                    break
+    def word(self, word: str) -> array:
+        """count[i] for i = 0..bytes: tokens of each byte prefix of one word."""
+        data = word.encode("utf-8", "surrogatepass").decode("latin-1")
+        count, last = array("l", bytes(8 * (len(data) + 1))), array("l", bytes(8 * (len(data) + 1)))
+        for at, (n, token) in self.ends.iter(data):
+            if not last[at + 1] and self.compatible(last[at + 1 - n], token):
+                count[at + 1], last[at + 1] = count[at + 1 - n] + 1, token
         return count
 
     def cut(self, text: str) -> list[str]:
         """The words of a text; special strings are words of their own."""
+        if not self.special.search(text):
+            return self._plain(text)
         out: list[str] = []
         at = 0
-        for m in [*self.special.finditer(text), None]:
-            part = text[at : m.start() if m else len(text)]
-            if part:
-                out += [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)] if _UNSURE.search(part) else self.words.findall(part)
-            if m:
-                out.append(m.group())
-                at = m.end()
-        return out
-
-    def prefix(self, text: str, ends: np.ndarray, at: int) -> int:
-        """Exact token count of the prefix of ``at`` bytes, in the text's own segmentation into words."""
-        start, words = self._around(text.encode("utf-8", "surrogatepass"), at)
-        for w in words:
-            data = w.encode("utf-8", "surrogatepass")
-            if start + len(data) > at:
-                if self.special.fullmatch(w):
-                    return int(np.searchsorted(ends, start, "right")) + (at > start)
-                return int(np.searchsorted(ends, start, "right")) + self.word(data)[at - start]
-            start += len(data)
-        return len(ends)
-
-    def _around(self, data: bytes, at: int, reach: int = 256) -> tuple[int, list[str]]:
-        """Words around a byte position, cut between two safe spaces so that no whole text is cut again; and the byte where they start."""
-        low = max(0, at - reach)
-        while low and data[low] & 0xC0 == 0x80:
-            low -= 1
-        high = min(len(data), at + reach)
-        while high < len(data) and data[high] & 0xC0 == 0x80:
-            high += 1
-        window = data[low:high].decode("utf-8", "surrogatepass")
-        before = len(data[low:at].decode("utf-8", "ignore"))
-        spaces = [m.start() for m in _SAFE.finditer(window)]
-        first = max((s for s in spaces if s < before - 1), default=0 if low == 0 else None)
-        final = min((s for s in spaces if s > before), default=len(window) if high == len(data) else None)
-        if first is None or final is None or self.special.search(data[max(0, low - 64) : high + 64].decode("utf-8", "ignore")) and (low or high < len(data)):
-            return self._around(data, at, reach * 4)
-        return low + len(window[:first].encode("utf-8", "surrogatepass")), self.cut(window[first:final])
-
-    def within(self, text: str, ends: np.ndarray, budget: int) -> int:
+        for m in self.special.finditer(text):
+            out += [*self._plain(text[at : m.start()]), m.group()]
+            at = m.end()
+        return out + self._plain(text[at:])
+
+    def _plain(self, text: str) -> list[str]:
+        if _UNSURE.search(text):
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return self.words.findall(text)
+
+    def measured(self, text: str) -> tuple[list[str], list[int]]:
+        """The words of a text and the tokens of each."""
+        words = self.cut(text)
+        return words, list(map(self.totals.__getitem__, words))
+
+    def table(self, text: str) -> np.ndarray:
+        """The token count of every byte prefix, in the text's own segmentation into words; inside a special string it is one more than before it."""
+        parts, total = [np.zeros(1, dtype=np.int32)], 0
+        for w, n in zip(*self.measured(text), strict=True):
+            raw = len(w.encode("utf-8", "surrogatepass"))
+            inside = np.ones(raw) if w in self.totals.special else np.frombuffer(self.word(w), dtype=np.int64)[1:]
+            parts.append((total + inside).astype(np.int32))
+            total += n
+        return np.concatenate(parts)
+
+    def within(self, words: list[str], totals: list[int], budget: int) -> int:
         """Bytes of the longest prefix, cut after a whole character, with at most ``budget`` tokens in the text's own segmentation into words."""
-        if len(ends) <= budget:
-            return int(ends[-1]) if len(ends) else 0
-        data = text.encode("utf-8", "surrogatepass")
-        base = int(ends[budget - 1]) if budget else 0
-        start, words = self._around(data, base)
-        best = 0
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            used = int(np.searchsorted(ends, start, "right"))
-            if used > budget:
-                break
-            if self.special.fullmatch(w):
-                if used + 1 <= budget:
-                    best = start + len(raw)
-            else:
-                for i, n in enumerate(self.word(raw)):
-                    if used + n <= budget and (start + i == len(data) or data[start + i] & 0xC0 != 0x80):
-                        best = max(best, start + i)
-            start += len(raw)
-        return best
+        upto = np.cumsum(totals) if totals else np.zeros(0, dtype=np.int64)
+        k = int(np.searchsorted(upto, budget, "right"))
+        start = sum(len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in words[:k])
+        if k == len(words) or words[k] in self.totals.special:
+            return start
+        left = budget - (int(upto[k - 1]) if k else 0)
+        raw = words[k].encode("utf-8", "surrogatepass")
+        return start + max(i for i, n in enumerate(self.word(words[k])) if n <= left and (i == len(raw) or raw[i] & 0xC0 != 0x80))
 
 
 @cache
@@ -207,14 +190,12 @@ def token_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", t
         for b in batches:
             n_bytes, n_tokens, fit = [], [], []
             for t in texts(b, text_col):
-                text = (t or b"").decode("utf-8", "surrogatepass")
-                ends = c.ends(text)
+                words, totals = c.measured((t or b"").decode("utf-8", "surrogatepass"))
                 n_bytes.append(len(t or b""))
-                n_tokens.append(len(ends))
-                fit.append(c.within(text, ends, limit))
+                n_tokens.append(sum(totals))
+                fit.append(n_bytes[-1] if n_tokens[-1] <= limit else c.within(words, totals, limit))
             yield from as_batches({
-                id_col: (b.column(b.schema.get_field_index(id_col)), pa.int64()),
-                "n_bytes": (n_bytes, pa.int64()), "n_tokens": (n_tokens, pa.int64()),
+                id_col: (b.column(0), pa.int64()), "n_bytes": (n_bytes, pa.int64()), "n_tokens": (n_tokens, pa.int64()),
                 "over_limit": ([n > limit for n in n_tokens], pa.bool_()), "fit_bytes": (fit, pa.int64()),
             })
 
@@ -222,12 +203,18 @@ def token_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", t
 
 
 def prefix_tables(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id and ends (byte ends of its tokens; the k-th entry's prefix has k tokens), to be stored beside the corpus."""
+    """Per row: id and counts, the exact token count of every byte prefix from the empty one on, to be stored beside the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            ends = [c.ends((t or b"").decode("utf-8", "surrogatepass")) for t in texts(b, text_col)]
-            yield from as_batches({id_col: (b.column(b.schema.get_field_index(id_col)), pa.int64()), "ends": (ends, pa.list_(pa.int64()))})
+            for i, t in zip(b.column(0).to_pylist(), texts(b, text_col), strict=True):  # a table is larger than its text: one row at a time
+                yield from as_batches({id_col: ([i], pa.int64()), "counts": ([c.table((t or b"").decode("utf-8", "surrogatepass"))], pa.list_(pa.int32()))})
+
+    return arrow_map(df, (id_col, text_col), run, f"`{id_col}` long, counts array<int>")
+
 
-    return arrow_map(df, (id_col, text_col), run, f"`{id_col}` long, ends array<long>")
+def within_budget(tables: DataFrame, budget: int, id_col: str = "doc_id") -> DataFrame:
+    """Per row of ``prefix_tables``: id and n_bytes, the longest prefix within ``budget`` tokens, a lookup without the text (it may end inside a character)."""
+    last = F.array_max(F.transform("counts", lambda n, i: F.when(n <= budget, i)))
+    return tables.select(id_col, last.cast("long").alias("n_bytes"))

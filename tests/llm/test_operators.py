@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import wave
 import zlib
 from collections import Counter
@@ -182,22 +183,36 @@ def test_token_counts(spark, messy):
     assert token_counts.token_counts(rows.limit(0), public_tokenizers.path(BPE_FILE), 100).count() == 0
 
 
-def test_every_prefix():
-    c = token_counts.counter(public_tokenizers.path(BPE_FILE))
-    for text in ("Thntblere of then, it's 12.5 naïve <|endoftext|> tokens\n\n here", "internationalization " * 3):
-        ends, data = c.ends(text), text.encode()
+def test_every_prefix(spark):
+    path = public_tokenizers.path(BPE_FILE)
+    c = token_counts.counter(path)
+    for text in ("Thntblere of then, it's 12.5 naïve <|endoftext|> tokens\n\n here", "internationalization " * 3, "日本語 \U0001f600", ""):
+        data = text.encode()
         count, at = [0] * (len(data) + 1), 0
         for w in c.cut(text):
             raw, used = w.encode(), count[at]
             for i in range(1, len(raw) + 1):
                 count[at + i] = used + (1 if c.special.fullmatch(w) else len(c.merge(raw[:i])))
             at += len(raw)
-        assert [c.prefix(text, ends, p) for p in range(len(data) + 1)] == count
+        assert c.table(text).tolist() == count
         whole = [p for p in range(len(data) + 1) if p == len(data) or data[p] & 0xC0 != 0x80]
         special = [range(m.start() + 1, m.end()) for m in re.finditer(re.escape("<|endoftext|>"), text)]
         for budget in range(count[-1] + 2):
             best = max(p for p in whole if count[p] <= budget and not any(len(text[: len(data[:p].decode(errors='ignore'))]) in s for s in special))
-            assert c.within(text, ends, budget) == best
+            assert c.within(*c.measured(text), budget) == best
+        tables = token_counts.prefix_tables(spark.createDataFrame([(1, text)], "doc_id long, text string"), path)
+        assert tables.first()["counts"] == count
+        assert token_counts.within_budget(tables, 3).first()["n_bytes"] == max(p for p, n in enumerate(count) if n <= 3)
+
+
+def test_a_long_text_without_a_break_takes_seconds():
+    c = token_counts.counter(public_tokenizers.path(BPE_FILE))
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    began = time.time()
+    words, totals = c.measured(text)
+    assert len(words) == 1 and c.within(words, totals, 1024) < 10_000 and time.time() - began < 60
+    assert sum(c.measured(text[:3000])[1]) == len(c.library.encode(text[:3000], add_special_tokens=False).ids)
 
 
 # --- 5: near duplicates ------------------------------------------------------------------------------
