@@ -1,8 +1,9 @@
 """Operator 3: URL filter by mined association rules. DataFrame functions only.
 
-A URL becomes a set of tokens: the parts of its host, path and query. FP-growth
-over the labelled pages' tokens and their label finds token combinations that
-go with bad pages; a rule stays if its support, confidence and lift reach their
+A URL becomes a set of tokens: the parts of its host, path and query. A page is
+labelled by the labels of its document and, where a given rule fits it, by that
+rule's verdict. FP-growth over the labelled pages' tokens and their label finds
+token combinations that go with bad pages; a rule stays if its support, confidence and lift reach their
 thresholds and no shorter rule over some of its tokens is as confident. Kept
 rules form an inverted index from token to rule: a page's tokens are looked up,
 and a rule fits when all of its tokens were found.
@@ -12,7 +13,7 @@ Mined rules decide about the other pages: blocked if one fits, else allowed.
 
 Null URLs and those without ``://`` have an empty host and path, no token and
 no rule, and are allowed. Labels may be missing, null or repeated (one bad label
-is enough). Without labels, or without a rule that reaches the thresholds,
+is enough). A page whose URL names no document counts under its own number. Without labels, or without a rule that reaches the thresholds,
 given rules decide alone. Repeated rows get the same verdict.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import stored
 
 #: Share of the labelled pages that a combination needs; share of its pages that must be bad; and how many times the usual share that must be.
-SUPPORT, CONFIDENCE, LIFT = 0.002, 0.6, 1.5
+SUPPORT, CONFIDENCE, LIFT = 0.002, 0.8, 1.5
 #: Pages that a combination needs whatever the number of labels; fewer say nothing.
 LEAST_PAGES = 25
 BAD = "=bad"
@@ -83,14 +84,25 @@ def url_tokens(url: Column) -> Column:
     ))
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
-    """Rules (id, tokens, n, confidence) from pages (page_id, url) and labels (doc_id, quality, toxic). Their number depends on the support, not on the corpus."""
+def document_of(page_id: Column, url: Column) -> Column:
+    """The number that ends the URL's path, else the page's own."""
+    return F.coalesce(F.regexp_extract(path_of(url), r"/(\d{1,18})(?:\.\w+)?/?$", 1).try_cast("bigint"), page_id)
+
+
+def labelled(pages: DataFrame, labels: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Per labelled page: page_id, url, bad. A label of its document or a given rule that blocks it makes it bad."""
     is_bad = F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))
-    label = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.max(is_bad).alias("bad"))
-    known = pages.select("page_id", "url").join(label, F.col("page_id") == F.col("__label_id"))
+    label = labels.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max(is_bad).alias("by_label"))
+    known = pages.select("page_id", "url", document_of(F.col("page_id"), F.col("url")).alias("document"), (best_rule(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"] == "block").alias("by_rule"))
+    found = known.join(label, F.col("document") == F.col("labelled_id"), "left").filter("by_label is not null or by_rule is not null")
+    return found.select("page_id", "url", (F.coalesce("by_label", F.lit(False)) | F.coalesce("by_rule", F.lit(False))).alias("bad"))
+
+
+def mine(known: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST_PAGES) -> DataFrame:
+    """Rules (id, tokens, n, confidence) from labelled pages (url, bad). Their number depends on the support, not on the corpus."""
     baskets = known.select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).filter(F.size("items") > 0)
     baskets = stored(baskets)  # read twice by the miner
-    support = max(support, min(1.0, LEAST_PAGES / max(1, baskets.count())))
+    support = max(support, min(1.0, least / max(1, baskets.count())))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("tokens"), "confidence")
     rules = rules.withColumn("n", F.size("tokens")).withColumn("id", F.xxhash64("tokens"))
@@ -118,7 +130,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[Rule], **thresholds:
     """Per page: page_id, host, path, rule (a given rule's text or null), verdict, mined (a mined rule's tokens or null)."""
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     base = base.withColumn("given", best_rule(F.col("host"), F.col("path"), rules))
-    mined = mine(pages, labels, **thresholds)
+    mined = mine(labelled(pages, labels, rules), **thresholds)
     found = fitting(pages, mined).withColumnRenamed("url", "__url")
     return base.join(found, F.col("url") == F.col("__url"), "left").select(
         "page_id", "host", "path", F.col("given.rule").alias("rule"),

@@ -1,12 +1,14 @@
 """The ten operators against brute force, on a messy table and on an empty one."""
 
 import hashlib
+import math
 import re
 import time
 import wave
 import zlib
 from collections import Counter
 from io import BytesIO
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -159,6 +161,19 @@ def test_url_rules(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule and rule.text, rule.verdict if rule else "allow")
 
 
+def brute_mined(known, least, confidence, lift):
+    """Every combination of tokens by counting, pruned like the miner's."""
+    whole, bad, base = Counter(), Counter(), sum(b for _, b in known) / len(known)
+    for tokens, is_bad in known:
+        for n in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), n):
+                whole[c] += 1
+                bad[c] += is_bad
+    share = {c: bad[c] / whole[c] for c in bad if bad[c] >= least}
+    good = {c: x for c, x in share.items() if x >= confidence - 1e-12 and x / base >= lift - 1e-12}
+    return {c for c, x in good.items() if not any(set(d) < set(c) and y >= x for d, y in good.items())}
+
+
 def test_mined_rules(spark):
     pages = spark.createDataFrame([(i, f"http://{'cheap-pills' if i % 4 == 0 else 'fine'}{i % 3}.example/{'buy' if i % 2 else 'read'}/{i}") for i in range(400)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, None) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
@@ -166,6 +181,27 @@ def test_mined_rules(spark):
     assert all((out[i] == "block") == (i % 4 == 0) for i in range(400))
 
 
+def test_mined_rules_by_counting(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"https://{rng.choice(['a', 'b', 'c-d'])}.example.{rng.choice(['com', 'net'])}/{rng.choice(['en', 'de', 'fr'])}/{i + 1000}{rng.choice(['', '.html', '/', '?ref=x'])}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i + 1000, None, int("b." in u and rng.random() < 0.9 or rng.random() < 0.2)) for i, u in rows[:200]], "doc_id long, quality int, toxic int")
+    given = [url_rules.Rule("net", "/de/", "block"), url_rules.Rule("com", "/fr/", "allow")]
+    known = url_rules.labelled(pages, labels, given)
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = {r["page_id"]: r["bad"] for r in known.collect()}
+    for i, u in rows:
+        rule = "net" in u and "/de/" in u, "com" in u and "/fr/" in u
+        assert held.get(i) == ((bool(toxic.get(i + 1000)) or rule[0]) if i + 1000 in toxic or any(rule) else None)
+    baskets = [(r["t"], r["bad"]) for r in known.select(url_rules.url_tokens(F.col("url")).alias("t"), "bad").collect()]
+    want = brute_mined(baskets, 20, 0.6, 1.2)
+    got = {tuple(r["tokens"]) for r in url_rules.mine(known, support=0.0, confidence=0.6, lift=1.2, least=20).collect()}
+    assert got == want and any(len(c) > 1 for c in want)
+    mined = {r["page_id"]: r["mined"] for r in url_rules.judged(pages, labels, given, support=0.0, confidence=0.6, lift=1.2, least=20).collect()}
+    tokens = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", url_rules.url_tokens(F.col("url")).alias("t")).collect()}
+    assert all(mined[i] == min((" ".join(c) for c in want if set(c) <= t), default=None) for i, t in tokens.items())
+
+
 # --- 4: tokens --------------------------------------------------------------------------------------
 
 
@@ -305,7 +341,7 @@ def test_sketch_estimates_similarity():
 
 
 def test_media(spark, messy):
-    rows = {r["doc_id"]: r for r in media.media_columns(messy, keep_files=True).collect()}
+    rows = {r["doc_id"]: r for r in media.media_columns(messy, keep_files=True, keep_codes=True).collect()}
     for i, t in texts_of(messy):
         data = (t or "").encode()
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
@@ -343,6 +379,28 @@ def test_fingerprint_covers_the_end_and_all_peaks():
     assert list(zip(*(x.tolist() for x in media.peaks(a)), strict=True)) == want and len(want) > len(mag)
 
 
+def test_spectrum_and_pairs_by_definition(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 256, 1000).astype(np.uint8)
+    mag = np.concatenate([m for _, m in media.spectrogram(x)])
+    wave_ = np.zeros(media.FRAME + media.HOP * (len(mag) - 1))
+    wave_[media.HOP : media.HOP + len(x)] = x - 128.0
+    angle = -2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    want = np.stack([np.abs(np.exp(angle) @ (wave_[k * media.HOP : k * media.HOP + media.FRAME] * hann)) for k in range(len(mag))])
+    assert np.allclose(mag, want, atol=1e-4)
+    found = list(zip(*(a.tolist() for a in media.peaks(x)), strict=True))
+    codes = []
+    for t, f in found:
+        mates = [p for p in found if p[0] == t and p[1] > f][:1] + [p for p in found if p >= (t + 1, f)][: media.FAN]
+        codes += [t << 32 | f << 20 | g << 8 | u - t for u, g in mates if u - t <= media.SPAN]
+    assert media.fingerprint(x).tolist() == sorted(codes)
+    text = "".join(map(chr, rng.integers(32, 127, 500)))
+    row = media.media_columns(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep_codes=True).first()
+    own = media.fingerprint(np.frombuffer(media.padded(text.encode()), np.uint8))
+    assert row["fingerprint"] == own.tolist() and row["feature"].split(":")[:2] == [str(len(media.peaks(np.frombuffer(media.padded(text.encode()), np.uint8))[0])), str(len(own))]
+
+
 # --- 7: pieces -------------------------------------------------------------------------------------------
 
 
@@ -446,6 +504,65 @@ def test_keys_are_found_in_texts_of_any_length(spark):
     assert all(len(x) == 1 for x in found) and sum(x == {1} for x in found) >= 0.6 * len(keys)
 
 
+def test_tail_probabilities(spark):
+    z = [-6.0, -1.5, 0.0, 0.3, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 20.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secrets.upper_tail(F.col("z"))).collect()]
+    assert np.allclose(got, [math.erfc(x / math.sqrt(2)) / 2 for x in z], rtol=1e-6, atol=0)
+
+
+def brute_battery(run):
+    """The alphabet and the p-values against text and against noise, by their definitions."""
+    alphabet = next((a for p, a in secrets.ENCODINGS if re.search(p, run)), None)
+    if alphabet is None or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+        return None
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    n, k = len(run), len(alphabet)
+    plain = run.replace("-", "+").replace("_", "/")
+    v = np.array([alphabet.index(c) + 1 for c in plain], dtype=float)
+    chi = sum((run.count(c) - n / k) ** 2 / (n / k) for c in alphabet) if "+" not in alphabet else k / n * sum(run.count(c) ** 2 for c in alphabet) - n
+    shape = (k - 1) ** 2 / (2 * (k - 1) * (n - 1) / n)
+    p_chi = tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - 1 + 1 / (9 * shape)) * 3 * math.sqrt(shape))
+    up = v * 2 > k
+    high, low = up.sum(), n - up.sum()
+    runs, mean = 1 + (up[1:] != up[:-1]).sum(), 2 * high * low / n + 1
+    p_runs = 2 * tail(abs(runs - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1))))
+    m = v.mean()
+    r = ((v[1:] - m) * (v[:-1] - m)).sum() / max(1e-9, ((v - m) ** 2).sum())
+    p_serial = 2 * tail(abs(r + 1 / n) * math.sqrt(n))
+    kind = [0 if c in secrets.DIGITS else 1 if c in secrets.SMALL else 2 if c in secrets.CAPITAL else 3 for c in run]
+    changes, places, c = sum(a != b for a, b in zip(kind, kind[1:], strict=False)), n - 1, secrets.CHANGES
+    return tail((changes - places * c - 0.5) / math.sqrt(places * c * (1 - c))), min(1.0, 3 * min(p_chi, p_runs, p_serial))
+
+
+def brute_random(text):
+    """Runs that Benjamini and Hochberg's procedure finds not to be text and doesn't find not to be noise."""
+    runs = [(m.start(), m.end(), *p) for m in re.finditer("[A-Za-z0-9+/_-]+", text) if len(m[0]) >= 20 and (p := brute_battery(m[0]))]
+
+    def limit(values, level):
+        return max((x for i, x in enumerate(sorted(values), 1) if x <= level * i / len(values)), default=-1.0)
+
+    not_text, not_noise = limit([r[2] for r in runs], secrets.FDR), limit([r[3] for r in runs], secrets.ALPHA)
+    base = brute_spans(text)
+    return [(a, b) for a, b, p, q in runs if p <= not_text and q > not_noise and not any(x <= a and b <= y for x, _, y in base)]
+
+
+def test_random_spans_by_definition(spark):
+    rng = np.random.default_rng(12)
+    kinds = (secrets.DIGITS + "ABCDEF", secrets.CAPITAL + "234567", secrets.DIGITS + secrets.SMALL, secrets.CAPITAL + secrets.SMALL + secrets.DIGITS + "+/")
+    plain = ["some-file-name-2024-edition", "aaaaaaaaaaaaaaaaaaaaaaaaa1", "ABABABABABABABABABAB1212", "and/path/to/a/long/place9", "CamelCaseIdentifierNumber77", "0123456789abcdefghij", "x" * 30]
+    rows = []
+    for i in range(60):
+        words = [str(rng.choice(plain)) if rng.random() < 0.4 else "".join(rng.choice(list(kinds[rng.integers(0, 4)]), rng.integers(16, 48))) for _ in range(rng.integers(1, 9))]
+        rows.append((i, " é ".join(words)))
+    got = {r["doc_id"]: r for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    total = 0
+    for i, t in rows:
+        want = brute_random(t)
+        total += len(want)
+        assert [tuple(map(int, x.split(":")[1:])) for x in got[i]["spans"].split(",") if x.startswith("random")] == want and got[i]["n_random"] == len(want), t
+    assert total > 60
+
+
 # --- 10: languages ------------------------------------------------------------------------------------------------
 
 
