@@ -6,7 +6,8 @@ every maximal run of 20 or more encoding characters gets an inferred encoding
 alone have none. Against that alphabet three tests ask whether the run could be
 uniform noise:
 
-- chi-squared of the character counts, standardised with its exact variance,
+- chi-squared of the character counts, by a gamma law with its exact mean and
+  variance (Wilson and Hilferty's cube root),
 - the runs test over characters above and below the alphabet's middle,
 - lag-1 serial correlation of the characters' places in the alphabet.
 
@@ -26,6 +27,9 @@ inside a base span is left out. Repeated rows give equal rows.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,9 @@ ENCODINGS = (
     ("^[0-9a-z]+$", DIGITS + SMALL), ("^[0-9A-Z]+$", DIGITS + CAPITAL), ("^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", CAPITAL + SMALL + DIGITS + "+/"),
 )
 
+#: A fitted polynomial in t = 1 / (1 + x / 2) for log(erfc(x) / t) + x * x, highest power first.
+ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+
 SPAN = "struct<start:int,end:int,text:string>"
 
 
@@ -70,9 +77,11 @@ def _laid(text: Column, pattern: str, found: Column, group: int | None, least: i
 
 
 def upper_tail(z: Column) -> Column:
-    """1 - Phi(z), by a logistic curve that is right to four places."""
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.070566) * z * z * z))
+    """1 - Phi(z), right to six places of its own size in both tails."""
+    x = F.least(F.lit(37.0), F.abs(z)) / math.sqrt(2)
+    t = F.lit(1.0) / (F.lit(1.0) + x / 2)
+    tail = F.lit(0.5) * t * F.exp(reduce(lambda acc, c: acc * t + c, map(F.lit, ERFC[1:]), F.lit(ERFC[0])) - x * x)
+    return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
 
 
 def alphabet_of(run: Column) -> Column:
@@ -90,7 +99,8 @@ def noise_p(run: Column, alphabet: Column) -> Column:
         F.sequence(F.lit(1), F.length(alphabet)), F.lit(0.0),
         lambda acc, j: acc + F.pow((F.length(run) - F.length(F.replace(run, F.substring(alphabet, j, F.lit(1)), F.lit("")))).cast("double"), F.lit(2.0)),
     )
-    chi = (k / n * squares - n - (k - 1)) / F.sqrt(F.lit(2.0) * (k - 1) * (n - 1) / n)
+    shape = (k - 1) / 2 * n / (n - 1)  # mean k - 1, variance 2 (k - 1) (n - 1) / n
+    chi = (F.pow(F.greatest(F.lit(0.0), (k / n * squares - n) / (k - 1)), F.lit(1 / 3)) - 1 + F.lit(1.0) / (F.lit(9.0) * shape)) * 3 * F.sqrt(shape)
     places = F.transform(F.filter(F.split(F.translate(run, "-_", "+/"), ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
     zero = F.struct(*[F.lit(0.0).alias(x) for x in ("last", "high", "runs", "sum", "sq", "cross", "i", "first")])
 
