@@ -99,7 +99,11 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
     """The time-coded array of a sample row."""
-    t, f = peaks(samples)
+    return paired(*peaks(samples))
+
+
+def paired(t: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The codes of all pairs of peaks given by frame and bin, in ascending order."""
     order = t << 12 | f
     after = np.searchsorted(order, (t + 1) << 12 | f)
     codes = []
@@ -118,12 +122,12 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_files: bool = False) -> DataFrame:
+def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_files: bool = False, keep_codes: bool = False) -> DataFrame:
     """Per row: id, n_bytes (unpadded), payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes, media_sha256, feature.
 
-    ``feature`` is ``peaks:pairs:SHA-256 of the time-coded array`` (peaks that start a pair). With
-    ``keep_files`` two columns follow: media (the WAV file) and fingerprint (the
-    array itself).
+    ``feature`` is ``peaks:pairs:SHA-256 of the time-coded array`` (all peaks; pairs are the array's codes). With
+    ``keep_codes`` the array itself follows as fingerprint, with ``keep_files``
+    the WAV file as media.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,19 +137,20 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for t in texts(b, text_col):
                 stored = to_wav(padded(t or b""))
                 payload = from_wav(stored)
-                codes = fingerprint(np.frombuffer(payload, np.uint8))
+                found = peaks(np.frombuffer(payload, np.uint8))
+                codes = paired(*found)
                 rows.append((
                     len(t or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(),
-                    f"{len(np.unique(codes >> 20))}:{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()}", stored if keep_files else None,
+                    f"{len(found[0])}:{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()}", stored if keep_files else None,
                 ))
-                prints.append(codes if keep_files else codes[:0])
+                prints.append(codes if keep_codes else codes[:0])
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")
             out = {id_col: (b.column(b.schema.get_field_index(id_col)), pa.int64())} | {n: ([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))}
-            if keep_files:
-                out["fingerprint"] = (prints, pa.list_(pa.int64()))
-            else:
+            if not keep_files:
                 del out["media"]
+            if keep_codes:
+                out["fingerprint"] = (prints, pa.list_(pa.int64()))
             yield from as_batches(out)
 
-    return arrow_map(df, (id_col, text_col), run, f"`{id_col}` long, {SCHEMA}" + (", media binary, fingerprint array<long>" if keep_files else ""))
+    return arrow_map(df, (id_col, text_col), run, f"`{id_col}` long, {SCHEMA}" + (", media binary" if keep_files else "") + (", fingerprint array<long>" if keep_codes else ""))

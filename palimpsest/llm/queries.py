@@ -42,7 +42,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(read(spark, sf_dir, "documents"))
+    return media.media_columns(read(spark, sf_dir, "documents"), keep_codes=True)
 
 
 def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
