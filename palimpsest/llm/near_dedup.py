@@ -222,8 +222,10 @@ def _classified(df: DataFrame, width: int, percent: int, id_col: str, text_col:
     still = stored(_open(state.placed(member), "bucket"))
     few, many = _by_pairs(still)
     token = stored(_tokens(many, sets, percent))
-    state.compare(_between(few, "bucket", percent).unionByName(_token_leaders(state.placed(token), percent)))
-    state.compare(_between(_open(state.placed(token), "leader", "element"), ("leader", "element"), percent, prefixes=True))
+    token = stored(_open(token, "leader", "element"), replaces=token)
+    state.compare(_between(few, "bucket", percent).unionByName(_token_leaders(token, percent)))
+    token = stored(state.placed(token), replaces=token)
+    state.compare(_between(_open(token, "leader", "element"), ("leader", "element"), percent, prefixes=True))
 
     joined = classes.select("fingerprint", "rep").join(state.component.withColumnRenamed("id", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component"))
     return base.drop("buckets").join(joined, "fingerprint", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
@@ -282,15 +284,15 @@ def _with_leader(rows: DataFrame) -> DataFrame:
 
 
 def _by_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets with few pairs between components, and (leader, leader_n, id, n) of the others."""
+    """Rows of buckets with few pairs between components, and (leader, id, n, component) of the others."""
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"))
     marked = rows.join(sizes.select("bucket", F.expr(f"members * members - squares > {2 * PAIRS} * members").alias("many")), "bucket")
     many = marked.filter("many").drop("many")
-    return marked.filter("not many").drop("many"), many.join(_leaders(many), "bucket").filter("id != leader").select("leader", "id", "n").distinct()
+    return marked.filter("not many").drop("many"), many.join(_leaders(many), "bucket").filter("id != leader").select("leader", "id", "n", "component").distinct()
 
 
 def _tokens(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Per class and leader the first elements of its differences: leader, element, at (from 1 on), id, n, d (all differences).
+    """Per class and leader the first elements of its differences: leader, element, at (from 1 on), id, n, component, d (all differences).
 
     Of two classes in different components at least one, x, isn't linked with the
     leader l. With F(u, v) = (100 - percent) / (100 + percent) * (|u| + |v|), its
@@ -302,7 +304,7 @@ def _tokens(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, firsts = [], []
-            for p, q in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
                 lead, own = np.frombuffer(p, dtype=_U), np.frombuffer(q, dtype=_U)
                 new, gone = np.setdiff1d(own, lead, assume_unique=True), np.setdiff1d(lead, own, assume_unique=True)
                 d, n = len(new) + len(gone), len(own)
@@ -313,17 +315,17 @@ def _tokens(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 sizes.append(d)
                 firsts.append(np.concatenate([new, gone])[:most].astype(np.int64))
             yield from as_batches({
-                "leader": (b.column(0), pa.int64()), "id": (b.column(1), pa.int64()), "n": (b.column(2), pa.int64()),
+                "leader": (b.column(0), pa.int64()), "id": (b.column(1), pa.int64()), "n": (b.column(2), pa.int64()), "component": (b.column(3), pa.int64()),
                 "d": (sizes, pa.int64()), "first": (firsts, pa.list_(pa.int64())),
             })
 
     joined = (
         orbit.join(sets.select("id", F.col("elements").alias("y")), "id")
         .join(sets.select(F.col("id").alias("leader"), F.col("elements").alias("x")), "leader")
-        .select("leader", "id", "n", "x", "y")
+        .select("leader", "id", "n", "component", "x", "y")
     )
-    found = joined.mapInArrow(run, "leader long, id long, n long, d long, first array<long>")
-    return found.select("leader", "id", "n", "d", F.posexplode("first").alias("at", "element")).withColumn("at", F.col("at") + 1)
+    found = joined.mapInArrow(run, "leader long, id long, n long, component long, d long, first array<long>")
+    return found.select("leader", "id", "n", "component", "d", F.posexplode("first").alias("at", "element")).withColumn("at", F.col("at") + 1)
 
 
 def _early(x: str, y: str, percent: int) -> Column:
