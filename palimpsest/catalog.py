@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import fixed, strings, tokens
 from palimpsest.functions.config import Settings
 from palimpsest.operators import benchmarks, dictionary, folding, metrics, phrases, regions, replies, sessions, verifier
-from palimpsest.plans import derived, encode, replay
+from palimpsest.plans import derived, encode, replay, serving
 from palimpsest.plans.derived import quoted, re2, replace_sql, tokens_sql
 from palimpsest.sources import chat
 
@@ -428,8 +428,8 @@ def c19(spark, sf_dir):
     return req.select("conv_id", "original_tokens", "encoded_tokens", "dict_overhead", "eff_overhead", "saved", "saved_effective", "pct", "fallback", "fallback_reason")
 
 
-@query("c20_message_reports")
-def c20(spark, sf_dir):
+@query("c19_message_reports")
+def c19_messages(spark, sf_dir):
     return encode.reports(*_encoded(spark, sf_dir))
 
 
@@ -470,6 +470,77 @@ def g02(spark, sf_dir):
     return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("asked"), (F.count(F.lit(1)) - 1).alias("hits"))
 
 
+_LOG_SQL = "log AS (SELECT doc_id AS seq, text, source AS session, lang AS scope, CASE WHEN doc_id % 5 = 0 THEN 'OFF' ELSE 'MAX' END AS mode, doc_id % 3 = 0 AS fallback, 'm' || doc_id % 2 AS model, 1 + doc_id % 2 AS generations FROM documents)"
+_KEY_SQL = "PARTITION BY text, session, scope, model, generations"
+
+
+def request_log(spark, sf_dir) -> DataFrame:
+    """Documents as requests of one message each."""
+    i = F.col("doc_id")
+    log = table(spark, sf_dir, "documents").select(
+        i.alias("seq"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"), F.col("source").alias("session"), F.col("lang").alias("scope"),
+        F.when(i % 5 == 0, "OFF").otherwise("MAX").alias("mode"), (i % 3 == 0).alias("fallback"), F.concat(F.lit("m"), (i % 2).cast("string")).alias("model"), (1 + i % 2).alias("generations"),
+    )
+    return log.withColumn("key", serving.cache_key(F.col("messages"), F.col("model"), F.col("mode"), F.col("session"), F.col("scope"), F.col("generations"))).drop("messages")
+
+
+@query("g01_cache_keys", f"WITH {_LOG_SQL} SELECT min(seq) AS first, count(*) AS asked FROM log WHERE mode != 'OFF' GROUP BY text, session, scope, model, generations")
+def g01(spark, sf_dir):
+    return request_log(spark, sf_dir).filter("key is not null").groupBy("key").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("asked")).drop("key")
+
+
+@query("g03_cache_fill", f"WITH {_LOG_SQL} SELECT seq, coalesce(mode != 'OFF' AND seq > min(CASE WHEN NOT fallback THEN seq END) OVER ({_KEY_SQL}, mode), false) AS cached FROM log")
+def g03(spark, sf_dir):
+    return serving.with_hits(request_log(spark, sf_dir)).select("seq", "cached")
+
+
+_EPOCHS_SQL = "t AS (SELECT event_id, event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 25 AS epoch FROM events)"
+
+
+@query("a19_mint_epochs", f"WITH {_EPOCHS_SQL} SELECT event_id, event_type, epoch FROM t")
+def a19(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("scope"))
+    return serving.epochs(log).select(F.col("seq").alias("event_id"), F.col("scope").alias("event_type"), "epoch")
+
+
+@query("a18_generation_as_of", f"WITH {_EPOCHS_SQL}, m AS (SELECT DISTINCT event_type, epoch FROM t WHERE epoch % 3 != 0) SELECT event_type, epoch, count(*) AS encodes, 1 + (SELECT count(*) FROM m WHERE m.event_type = t.event_type AND m.epoch < t.epoch) AS generation FROM t GROUP BY event_type, epoch")
+def a18(spark, sf_dir):
+    log = serving.epochs(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("scope")))
+    minted = log.filter("epoch % 3 != 0").select("scope", "epoch")
+    out = serving.with_generation(log, minted)
+    return out.groupBy(F.col("scope").alias("event_type"), "epoch", "generation").agg(F.count(F.lit(1)).alias("encodes"))
+
+
+@query("s10_session_store", rf"{WITH}, u AS (SELECT conv_id, 'hash' AS kind, substr(sha256(content), 1, 16) AS key, idx FROM prompts UNION ALL SELECT conv_id, 'code', unnest(regexp_extract_all(content, '\b([KPE]\d+)\b', 1)), idx FROM prompts UNION ALL SELECT conv_id, 'turn', idx::VARCHAR, idx FROM prompts) SELECT conv_id, kind, key, min(idx) AS first FROM u GROUP BY ALL")
+def s10(spark, sf_dir):
+    said = derived.prompts(spark, sf_dir).select(F.col("conv_id").alias("session"), F.col("idx").alias("seq"), "content")
+    store = None
+    for late in (said.filter("seq % 3 = 1"), said.filter("seq % 3 != 1"), said.filter("seq < 2")):  # out of order, and partly twice
+        store = serving.advance(store, late)
+    return store.withColumnRenamed("session", "conv_id")
+
+
+@query("c20_fail_soft", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'error:MalformedBody' ELSE '' END AS fallback_reason, CASE WHEN turn % 3 = 0 THEN 'no json ' || coalesce(text, '') END AS content FROM conversations")
+def c20(spark, sf_dir):
+    good = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
+    raw = table(spark, sf_dir, "conversations").withColumn("body", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("no json "), strings.text("text"))).otherwise(good))
+    return serving.failed(chat.bodies(raw)).select("conv_id", "turn", "fallback_reason", "content")
+
+
+@query("e10_pending", f"""{WITH}, q AS (SELECT conv_id, idx AS last_idx, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS req_no FROM prompts WHERE role = 'user'),
+    r AS (SELECT p.conv_id, q.req_no, p.idx, p.role, p.content, substr(sha256(p.content), 1, 16) AS hash, row_number() OVER (PARTITION BY p.conv_id, q.req_no ORDER BY p.idx) - 1 AS place, count(*) OVER (PARTITION BY p.conv_id, q.req_no) AS n FROM prompts p JOIN q ON p.conv_id = q.conv_id AND p.idx <= q.last_idx),
+    old AS (SELECT *, place < n - 1 AND place > 0 AND role IN ('user', 'assistant', 'tool') AND content != '' AS is_old FROM r),
+    asked AS (SELECT DISTINCT conv_id, substr(sha256(content), 1, 16) AS hash FROM prompts WHERE idx % 2 = 1),
+    f AS (SELECT o.conv_id, o.hash, min(req_no) AS req_no FROM old o JOIN asked a ON o.conv_id = a.conv_id AND o.hash = a.hash WHERE is_old AND req_no >= 2 GROUP BY ALL)
+    SELECT old.conv_id, old.req_no, old.idx FROM old JOIN f ON old.conv_id = f.conv_id AND old.req_no = f.req_no AND old.hash = f.hash WHERE is_old""")
+def e10(spark, sf_dir):
+    p = derived.prompts(spark, sf_dir)
+    sent = replay.replayed(p, replay.requests(p))
+    asked = p.filter("idx % 2 = 1").select("conv_id", strings.content_hash(F.col("content")).alias("hash"), F.lit(2).alias("since")).distinct()
+    due = serving.pending(asked, encode.routed(sent, Settings()))
+    return encode.routed(sent, Settings(), due).filter("route = 'expanded'").select("conv_id", "req_no", "idx")
+
+
 _EVENTS_SQL = """facts AS (SELECT epoch(ts)::DOUBLE AS ts, event_type AS model, 100 + user_id % 50 AS original_tokens, 40 + event_id % 90 AS encoded_tokens, event_id % 30 AS dict_overhead,
     event_id % 3 AS eff_overhead, (100 + user_id % 50) - (40 + event_id % 90) - event_id % 30 AS saved, ((event_id % 100) * 0.5::DOUBLE) AS pct, ((event_id % 16) * 0.25::DOUBLE) AS latency_ms,
     CASE WHEN event_id % 7 < 2 THEN 1 ELSE 0 END AS fallback, CASE event_id % 7 WHEN 0 THEN 'error:RuntimeError' WHEN 1 THEN 'not-worth-it' ELSE '' END AS fallback_reason,

@@ -52,8 +52,9 @@ def entity_pairs(table: DataFrame, requests: DataFrame) -> DataFrame:
 def repeated(blobs: DataFrame) -> DataFrame:
     """Blobs (conv_id, idx, content) with hash, seen (before in the conversation) and first_idx."""
     rows = blobs.withColumn("hash", content_hash(text("content")))
-    window = Window.partitionBy("conv_id", "hash").orderBy("idx")
-    return rows.withColumn("seen", F.row_number().over(window) > 1).withColumn("first_idx", F.min("idx").over(Window.partitionBy("conv_id", "hash")))
+    # the first place is a minimum, combined before the shuffle; contents aren't sorted
+    first = rows.groupBy("conv_id", "hash").agg(F.min("idx").alias("first_idx"))
+    return rows.join(first.select(F.col("conv_id").alias("__conv"), F.col("hash").alias("__hash"), "first_idx"), F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("hash") == F.col("__hash"))).drop("__conv", "__hash").withColumn("seen", F.col("idx") > F.col("first_idx"))
 
 
 def used_codes(mentions: DataFrame) -> DataFrame:

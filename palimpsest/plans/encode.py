@@ -21,8 +21,8 @@ REQUEST = ["conv_id", "req_no"]
 NO_PAIRS = "array<struct<name:string,code:string>>"
 
 
-def routed(messages: DataFrame, settings: Settings) -> DataFrame:
-    """Adds tokens, hash and route: empty, tool-call, tool-ref, tool, digest, fold or new."""
+def routed(messages: DataFrame, settings: Settings, pending: DataFrame | None = None) -> DataFrame:
+    """Adds tokens, hash and route: empty, tool-call, tool-ref, tool, digest, fold, expanded or new. ``pending`` (conv_id, req_no, hash): old turns that a reply asked for, which ship verbatim."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*REQUEST))
     place = F.row_number().over(Window.partitionBy(*REQUEST).orderBy("idx")) - 1
     rows = messages.withColumns({"content": text("content"), "place": place, "n": n})
@@ -33,7 +33,11 @@ def routed(messages: DataFrame, settings: Settings) -> DataFrame:
         .when(F.col("role") == "tool", F.when(F.length("content") > fixed.LEAST_TOOL_RESULT, "tool-ref").otherwise("tool"))
         .otherwise("digest" if settings.history_style == "digest" else "fold")
     )
-    return rows.withColumn("route", route)
+    rows = rows.withColumn("route", route)
+    if pending is None:
+        return rows
+    asked = rows.join(pending.select(*REQUEST, "hash", F.lit(True).alias("pending")), [*REQUEST, "hash"], "left")
+    return asked.withColumn("route", F.when(F.col("pending") & ~F.col("route").isin("new", "empty"), "expanded").otherwise(F.col("route"))).drop("pending")
 
 
 def digest_lines(rows: DataFrame) -> DataFrame:
@@ -86,14 +90,14 @@ def candidates(rows: DataFrame, rules: list[tuple[str, str]], expansions: Column
     })
 
 
-def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]] | None = None, expansions: Column | None = None, definitions: Column | None = None, provider: str = "", version: int = 1) -> tuple[DataFrame, DataFrame]:
+def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]] | None = None, expansions: Column | None = None, definitions: Column | None = None, provider: str = "", version: int = 1, pending: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(message rows, request rows). Rules, expansions and definitions default to the seed dictionary's."""
     rules = dictionary.seed_rules() if rules is None else rules
     expansions = dictionary.seed_expansions() if expansions is None else expansions
     definitions = dictionary.seed_definitions() if definitions is None else definitions
     asked = messages.select(*REQUEST).distinct()
     known = sessions.entity_pairs(sessions.entities(sessions.sightings(messages)), asked)
-    rows = routed(messages, settings).join(known, REQUEST, "left").withColumn("pairs", F.coalesce("pairs", F.array().cast(NO_PAIRS)))
+    rows = routed(messages, settings, pending).join(known, REQUEST, "left").withColumn("pairs", F.coalesce("pairs", F.array().cast(NO_PAIRS)))
 
     new = candidates(rows.filter("route = 'new'"), rules, expansions, settings)
     old = rows.filter("route != 'new'")
@@ -105,7 +109,7 @@ def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]]
     plain = F.when(F.col("route") == "digest", F.lit(None).cast("string")).when(F.col("route") == "tool-ref", ref).when(F.col("route") == "fold", F.col("folded")).otherwise(F.col("content"))
     old = old.withColumn("plain", plain)
     old = old.withColumn("aliased", F.when(F.col("route") == "fold", dictionary.alias_pass(F.col("plain"), rules, F.col("pairs"))).otherwise(F.col("plain")))
-    old = old.withColumn("label", F.when(F.col("route") == "tool-ref", "fold").when(F.col("route").isin("digest", "tool-call"), F.col("route")))
+    old = old.withColumn("label", F.when(F.col("route") == "tool-ref", "fold").when(F.col("route").isin("digest", "tool-call", "expanded"), F.col("route")))
     columns = [*REQUEST, "idx", "place", "role", "content", "tokens", "hash", "route", "pairs", "entity_codes", "entity_block", "plain", "aliased", "label"]
     both = new.select(columns).unionByName(old.select(columns))
     for track in ("plain", "aliased"):  # never longer than the original
@@ -129,8 +133,10 @@ def decided(req: DataFrame, settings: Settings, definitions: Column, provider: s
     members = F.when(F.array_contains(used, fixed.BUNDLE), F.array(*map(F.lit, fixed.BUNDLE_MEMBERS))).otherwise(F.array().cast("array<string>"))
     req = req.withColumn("mentioned", mentioned).withColumn("used", F.array_distinct(F.concat(used, members)))
     # a code keeps the place of its first use in the conversation
-    first = F.collect_list("used").over(Window.partitionBy("conv_id").orderBy("req_no").rowsBetween(Window.unboundedPreceding, 0))
-    req = req.withColumn("used", F.array_intersect(F.array_distinct(F.flatten(first)), F.col("used")))
+    uses = req.select(*REQUEST, F.posexplode("used").alias("pos", "code"))
+    first = uses.groupBy("conv_id", "code").agg(F.min(F.struct("req_no", "pos")).alias("first"))
+    placed = uses.join(first, ["conv_id", "code"]).groupBy(*REQUEST).agg(F.array_sort(F.collect_list(F.struct("first", "code")))["code"].alias("in_order"))
+    req = req.join(placed, REQUEST, "left").withColumn("used", F.coalesce("in_order", "used")).drop("in_order")
     defined = dictionary.bootstrap_for(F.col("used"), definitions, F.lit(version)) if settings.inject_bootstrap else F.lit("")
     ent = F.when(F.arrays_overlap(F.coalesce("entity_codes", F.array().cast("array<string>")), F.col("mentioned")), F.col("entity_block"))
     req = req.withColumn("block", F.concat_ws("\n", F.when(defined != "", defined), ent))
@@ -190,7 +196,7 @@ def composed(rows: DataFrame, req: DataFrame) -> DataFrame:
 
 def reports(rows: DataFrame, req: DataFrame) -> DataFrame:
     """Per message that has a label: representation, original and encoded tokens as shipped."""
-    out = rows.join(req.select(*REQUEST, "state", "aliases_ship"), REQUEST).filter(F.col("route").isin("new", "digest", "tool-ref", "tool-call"))
+    out = rows.join(req.select(*REQUEST, "state", "aliases_ship"), REQUEST).filter(F.col("route").isin("new", "digest", "tool-ref", "tool-call", "expanded"))
     label = F.when(F.col("state") != "encoded", "original").when((F.col("label") == "terse+alias") & ~F.col("aliases_ship"), "terse").otherwise(F.col("label"))
     sent = F.when(F.col("state") != "encoded", F.col("tokens")).otherwise(estimate(F.when(F.col("aliases_ship"), F.col("aliased")).otherwise(F.col("plain"))))
     return out.select(*REQUEST, "idx", label.alias("representation"), F.col("tokens").alias("original_tokens"), F.coalesce(sent, F.lit(0)).alias("encoded_tokens"))

@@ -1,8 +1,8 @@
 """Incremental decoding of reply streams, per session, with held-back tails.
 
 A delta may end inside a code or a reference; that tail waits for the next
-delta. The last emitted character is kept too, so that a code right after a word
-character is no code, whether or not a chunk ends between them: the stream gives
+delta. Whether a word character came before is kept too, so that a code right
+after one is no code, whether or not a chunk ends between them: the stream gives
 exactly what decoding the whole reply would.
 """
 
@@ -15,42 +15,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# What may still grow into a code or a reference, and how long a reference can be.
-TAIL = re.compile(r"(?:(?<!\w)[KPE]\d*|\[(?:r(?:e(?:f)?)?|c(?:o(?:de?)?)?)?[^\]]*)$")
-CODE = re.compile(r"\b([KPE]\d+)\b")
+# Where a code or a reference begins, what they are, and from which length on an open reference no longer waits.
+BEGIN = re.compile(r"[KPE\[]")
+CODE = re.compile(r"[KPE]\d*")
+HEADS = ("[ref:", "[code:")
+HASHED = re.compile(r"\[(?:ref|code):([0-9a-f]{16})")
 REFERENCE = re.compile(r"\[(?:ref|code):([0-9a-f]{16})[^\]]*\]")
-STARTED = re.compile(r"\[(?:ref|code):[0-9a-f]{16}")
-LONGEST_MARKER = 48
-
-
-class StreamDecoder:
-    def __init__(self, expansions: dict[str, str], originals: dict[str, str] | None = None, held: str = "", last: str = ""):
-        self.expansions, self.originals, self.held, self.last = expansions, originals or {}, held, last
-
-    def _decode(self, text: str) -> str:
-        if not text:
-            return ""
-        whole = self.last + text  # the last character decides whether a code may start here
-        codes = CODE.sub(lambda m: self.expansions.get(m[1], m[0]) if m.start() >= len(self.last) else m[0], whole)[len(self.last) :]
-        self.last = text[-1]
-        return REFERENCE.sub(lambda m: self.originals.get(m[1], m[0]), codes)
-
-    def feed(self, delta: str) -> str:
-        buffer = self.held + delta
-        m = TAIL.search(self.last + buffer)
-        cut = len(buffer)
-        if m:
-            tail = (self.last + buffer)[m.start() :]
-            # white space may only follow a whole hash, and no marker is longer than this
-            lone = tail.startswith("[") and (len(tail) > LONGEST_MARKER or any(c.isspace() for c in tail) and not STARTED.match(tail))
-            if not lone:
-                cut = max(0, m.start() - len(self.last))
-        out, self.held = self._decode(buffer[:cut]), buffer[cut:]
-        return out
-
-    def flush(self) -> str:
-        out, self.held = self._decode(self.held), ""
-        return out
+LONGEST = 48
+
+
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _may_become_reference(rest: str) -> bool:
+    """Whether a text without a closing bracket can still grow into a reference."""
+    if len(rest) > LONGEST:
+        return False
+    return bool(HASHED.match(rest)) or any(h.startswith(rest) or rest.startswith(h) and set(rest[len(h) :]) <= set("0123456789abcdef") for h in HEADS)
+
+
+def scan(source: str, after_word: bool, ended: bool, expansions: dict[str, str], originals: dict[str, str]) -> tuple[str, str, bool]:
+    """One pass over a text: what can be said, what has to wait for more, and whether a word character comes right before that."""
+    out: list[str] = []
+    at = 0
+    while found := BEGIN.search(source, at):
+        start = found.start()
+        if start > at:
+            out.append(source[at:start])
+            after_word = _is_word(source[start - 1])
+        if found[0] == "[":
+            whole = REFERENCE.match(source, start)
+            if not whole and not ended and "]" not in source[start:] and _may_become_reference(source[start:]):
+                return "".join(out), source[start:], after_word
+            known = originals.get(whole[1]) if whole else None
+            out.append("[" if known is None else known)
+            at, after_word = start + 1 if known is None else whole.end(), False
+            continue
+        end = CODE.match(source, start).end()
+        if after_word:  # inside a word
+            end = start + 1
+            out.append(source[start])
+        elif end == len(source) and not ended:
+            return "".join(out), source[start:], False
+        elif end == start + 1 or end < len(source) and _is_word(source[end]):
+            out.append(source[start:end])
+        else:
+            out.append(expansions.get(source[start:end], source[start:end]))
+        at, after_word = end, True
+    out.append(source[at:])
+    return "".join(out), "", _is_word(source[-1]) if at < len(source) else after_word
 
 
 def decode_stream(deltas: DataFrame, expansions: dict[str, str], originals: dict[str, str] | None = None, idle: str = "NoTimeout") -> DataFrame:
@@ -61,36 +75,35 @@ def decode_stream(deltas: DataFrame, expansions: dict[str, str], originals: dict
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last = state.get if state.exists else ("", "")
-        decoder = StreamDecoder(expansions, originals, held, last)
+        held, after_word = state.get if state.exists else ("", False)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"session": [key[0]], "seq": [-1], "text": [decoder.flush()]})
+            yield pd.DataFrame({"session": [key[0]], "seq": [-1], "text": [scan(held, after_word, True, expansions, originals or {})[0]]})
             return
         rows = pd.concat(list(batches)).sort_values("seq")
         out, ended = [], False
         for delta, done in zip(rows["delta"].fillna(""), rows["done"], strict=True):
-            piece = decoder.feed(delta)
-            if done:
-                piece, ended = piece + decoder.flush(), True
+            piece, held, after_word = scan(held + delta, after_word, bool(done), expansions, originals or {})
+            ended = ended or bool(done)
             out.append(piece)
         if ended:
             state.remove()
         else:
-            state.update((decoder.held, decoder.last))
+            state.update((held, after_word))
             if idle == GroupStateTimeout.ProcessingTimeTimeout:
                 state.setTimeoutDuration(600_000)
         yield pd.DataFrame({"session": key[0], "seq": rows["seq"].to_numpy(), "text": out})
 
-    return deltas.groupBy("session").applyInPandasWithState(step, "session string, seq long, text string", "held string, last string", "append", idle)
+    return deltas.groupBy("session").applyInPandasWithState(step, "session string, seq long, text string", "held string, after_word boolean", "append", idle)
 
 
 def decoded(deltas: list[str], expansions: dict[str, str], originals: dict[str, str] | None = None) -> Iterator[str]:
     """The same over an iterable of deltas."""
-    d = StreamDecoder(expansions, originals)
+    held, after_word = "", False
     for delta in deltas:
-        piece = d.feed(delta)
+        piece, held, after_word = scan(held + delta, after_word, False, expansions, originals or {})
         if piece:
             yield piece
-    if tail := d.flush():
-        yield tail
+    rest, _, _ = scan(held, after_word, True, expansions, originals or {})
+    if rest:
+        yield rest

@@ -1,5 +1,7 @@
 """Regions, phrases, invariants, folding and tokens on literal cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,21 @@ def test_stream_equals_batch():
     assert whole == "first fix all bugs found then Board OK1 done ORIGINAL and [ a lone bracket analyze the program; K99"
     for size in range(1, 12):
         assert "".join(decoded([text[i : i + size] for i in range(0, len(text), size)], table, {"0123456789abcdef": "ORIGINAL"})) == whole
+
+
+def test_streams_say_what_whole_replies_say():
+    import random
+
+    from palimpsest.streaming import decoder
+
+    rng = random.Random(5)
+    known, texts = {"K1": "one", "K12": "twelve", "E3": "the Board"}, {"0123456789abcdef": "ORIGINAL K1"}
+    parts = ["K1", "K12", "E3", "K", "P", "xK1", "K1x", " ", "_", "[", "]", "[ref:", "[code:0123456789abcdef", "[ref:0123456789abcdef 3L]", "[ref:ffffffffffffffff K1]", "[re", "é", "1", "\n", "[[ref:0123456789abcdef]"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        codes = re.sub(r"\b[KPE]\d+\b", lambda m: known.get(m[0], m[0]), text)
+        want = decoder.REFERENCE.sub(lambda m: texts.get(m[1], m[0]), codes)
+        if max((len(m) for m in re.findall(r"\[[^\]]*", text)), default=0) > decoder.LONGEST:
+            continue
+        for size in (1, 2, 5, len(text)):
+            assert "".join(decoded([text[i : i + size] for i in range(0, len(text), size)], known, texts)) == want, text
