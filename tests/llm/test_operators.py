@@ -29,7 +29,7 @@ def texts_of(df):
 
 
 def text_of(page, constant=frozenset(), same=None):
-    return html_extract.main_text(html_extract.blocks(html_extract.parse(page), same or {}), constant)
+    return html_extract.main_text(html_extract.blocks(html_extract.parse(page), same or {}), constant, [])
 
 
 def test_html_blocks():
@@ -70,6 +70,74 @@ def test_wrapper_does_not_hang_on_the_first_page(spark):
         assert all(out[i] == f"story number {i} is here" for i in range(6)), (odd, out)
 
 
+def test_wrapper_alone_finds_the_article(spark):
+    """Without any list of tags, roles or names, the learnt slots give the marked articles."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").filter("html is not null").limit(400).collect()
+    usual = {p["page_id"]: html_extract.main_text(html_extract.blocks(html_extract.parse(p["html"]), {}), frozenset(), []) for p in pages}
+    kept = {n: getattr(html_extract, n) for n in ("BOILERPLATE", "MARKED", "LEFT_OUT", "_ROLE", "_HIDDEN")}
+    never = re.compile(r"(?!)")
+    try:
+        for n in ("BOILERPLATE", "MARKED", "LEFT_OUT"):
+            setattr(html_extract, n, frozenset())
+        html_extract._ROLE = html_extract._HIDDEN = never
+        hosts = {}
+        for p in pages:
+            hosts.setdefault(re.sub(r"^[^:]*://([^/?#]*).*", r"\1", p["url"]), []).append((p["page_id"], html_extract.parse(p["html"])))
+        good = 0
+        for trees in hosts.values():
+            wrapper = html_extract.unpack(html_extract.skeleton(trees[0][1]))
+            for _, tree in trees[1:]:
+                html_extract.grow(wrapper, html_extract.unpack(html_extract.skeleton(tree)))
+            means = {}
+            for _, tree in trees:
+                for k, x in html_extract.shares(tree, html_extract.matches(tree, wrapper)).items():
+                    means.setdefault(k, []).append(x)
+            slots = html_extract.main_slots(wrapper, {k: sum(x) / len(x) for k, x in means.items()})
+            for i, tree in trees:
+                good += html_extract.main_text(html_extract.blocks(tree, html_extract.matches(tree, wrapper)), frozenset(), slots) == usual[i]
+    finally:
+        for n, x in kept.items():
+            setattr(html_extract, n, x)
+    assert good >= 0.9 * len(pages), good
+
+
+def test_slots_without_marks(spark):
+    """Two layouts of one host, neither of which marks its article; texts vary everywhere."""
+    one = "<body><div><a>menu {0}</a></div><div><h1>Title {0}</h1><div><p>" + "first layout number {0} says a lot " * 5 + "</p></div></div><div>footer {0}</div></body>"
+    two = "<body><table><tr><td>links {0}</td></tr></table><section><section><h2>Head {0}</h2><p>" + "second layout number {0} is long as well " * 5 + "</p></section></section><p>end {0}</p></body>"
+    rows = [(i, "http://h.example/x", (one if i % 2 else two).format(i)) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        want = f"Title {i}\n" + (f"first layout number {i} says a lot " * 5).strip() if i % 2 else f"Head {i}\n" + (f"second layout number {i} is long as well " * 5).strip()
+        assert out[i] == want, (i, out[i])
+
+
+def test_content_with_telling_names_stays():
+    page = "<main><h1>T</h1><section id='discussion'><p>We discuss</p></section><p class='notice-period'>Notice period</p><p>Euler: <math><mi>e</mi></math> holds</p><div class='comments'>spam</div></main>"
+    assert text_of(page) == "T\nWe discuss\nNotice period\nEuler: e holds"
+
+
+def test_text_after_deep_nesting_stays_in_the_article():
+    n = html_extract.DEPTH + 50
+    page = "<body><div>before</div><article><h1>T</h1>" + "<div>" * n + "deep" + "</div>" * n + "<p>after</p></article><div>beside</div>"
+    assert text_of(page) == "T\ndeep\nafter" and text_of("<nav>" * n + "x" + "</nav>" * n + "<p>y") == "y"
+
+
+def test_deep_and_wide_pages_take_seconds(spark):
+    deep, wide = "<div>" * 20_000 + "deep text" + "</div>" * 20_000, lambda k: "<div>" + "".join(f"<p>line {i} {k}</p>" if (i + k) % 3 else f"<h2>head {i} {k}</h2>" for i in range(20_000)) + "</div>"
+    rows = [(i, "http://h.example/x", f"<body>{deep if i < 3 else wide(i)}</body>") for i in range(6)]
+    began = time.time()
+    out = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("deep text" in out[i] or out[i] == "deep text" for i in range(3)) and all(out[i].count("\n") == 19_999 for i in range(3, 6)) and time.time() - began < 120
+
+
+def test_large_host_tables_are_joined_not_broadcast(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = sorted(map(tuple, html_extract.extracted(pages).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, html_extract.extracted(pages).collect())) == want
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, "http://h.example/x", f"<body><p>Welcome</p><p>story {max(i, 4)}</p></body>") for i in range(8)]
     out = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
