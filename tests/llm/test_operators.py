@@ -8,7 +8,7 @@ import wave
 import zlib
 from collections import Counter
 from io import BytesIO
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -153,6 +153,50 @@ def test_flow_prefers_new_texts():
     assert mixing.pattern_flow([((0,), 100), ((1,), 10)], [150, 15], 2) == [150, 15]
 
 
+def brute_flow(patterns, quotas, repeats):
+    """The largest flow and its smallest cost, by trying all amounts."""
+    best = (0, 0)
+    ranges = [[(a, b) for a in range(repeats * n + 1) for b in range(repeats * n + 1 - a)] if len(m) == 2 else [(a, 0) for a in range(repeats * n + 1)] for m, n in patterns]
+    for amounts in product(*ranges):
+        into = [0] * len(quotas)
+        for (members, _), (a, b) in zip(patterns, amounts, strict=True):
+            into[members[0]] += a
+            into[members[-1]] += b
+        if all(x <= q for x, q in zip(into, quotas, strict=True)):
+            cost = sum(max(0, a + b - r * n) for (_, n), (a, b) in zip(patterns, amounts, strict=True) for r in range(1, repeats))
+            best = max(best, (sum(into), -cost))
+    return best
+
+
+def test_flow_is_largest_and_cheapest():
+    rng = np.random.default_rng(9)
+    for _ in range(25):
+        patterns = [((0,), int(rng.integers(0, 4))), ((0, 1), int(rng.integers(0, 4))), ((1,), int(rng.integers(0, 4)))]
+        quotas = [int(q) for q in rng.integers(0, 9, 2)]
+        flow = mixing.pattern_flow(patterns, quotas, 2)
+        assert (sum(flow), -sum(max(0, f - n) for f, (_, n) in zip(flow, patterns, strict=True))) == brute_flow(patterns, quotas, 2)
+
+
+def test_mixing_of_overlapping_sources(spark):
+    rng = np.random.default_rng(10)
+    kinds = [["a"], ["b"], ["a", "b"], ["b", None], [None]]
+    rows = [(i, "w " * int(rng.integers(1, 12)), kinds[int(rng.integers(0, 5))]) for i in range(3000)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in out:
+        size[tuple(r["sources"])] += r["size"]
+        taken[tuple(r["sources"])] += r["taken"]
+        target[r["sources"][0]] = r["target"]
+        assert r["taken"] == r["repeats"] * r["size"] and 0 <= r["repeats"] <= 2
+    names = ["a", "b", None]
+    patterns = [(tuple(names.index(s) for s in p), n) for p, n in sorted(size.items(), key=str)]
+    flow = mixing.pattern_flow(patterns, [round(target[s]) for s in names], 2)
+    assert sum(flow) == sum(round(t) for t in target.values())  # the targets can be met
+    assert abs(sum(taken.values()) - sum(flow)) <= len(size)  # many short texts: every pattern comes within a word of its flow
+    again = mixing.mixed(spark.createDataFrame(rows[::-1], "doc_id long, text string, sources array<string>")).collect()
+    assert {r["doc_id"]: r["taken"] for r in again} == {r["doc_id"]: r["taken"] for r in out}
+
+
 def test_water_fill():
     from fractions import Fraction
 
