@@ -49,6 +49,13 @@ def replaced_each(c: Column, pattern: str, make) -> Column:
     return F.when(F.size(matches) == 0, c).otherwise(F.array_join(joined, ""))
 
 
-def chained(c: Column, rules) -> Column:
-    """Sequential replacements (pattern, replacement)."""
+def literal(s: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def chained(c: str | Column, rules) -> Column:
+    """Sequential replacements (pattern, replacement). A column's name gives one SQL text, which is built at once and not call by call."""
+    if isinstance(c, str):
+        return F.expr(reduce(lambda out, rule: f"regexp_replace({out}, {literal(rule[0])}, {literal(rule[1])})", rules, f"`{c}`"))
     return reduce(lambda out, rule: F.regexp_replace(out, rule[0], rule[1]), rules, c)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.functions.strings import found, replaced_each, strip
+from palimpsest.functions.strings import chained, found, replaced_each, strip
 from palimpsest.functions.tokens import estimate
 
 ALIASES = "scope string, code string, expansion string, surface_forms array<string>, members array<string>"
@@ -73,11 +73,8 @@ def bundle(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)" + fixed.BUNDLE_GAP.join(rf"\b{m}\b" for m in fixed.BUNDLE_MEMBERS), fixed.BUNDLE)
 
 
-def substitute(c: Column, rules: list[tuple[str, str]]) -> Column:
-    out = c
-    for pattern, code in rules:
-        out = F.regexp_replace(out, pattern, code)
-    return out
+def substitute(c: str | Column, rules: list[tuple[str, str]]) -> Column:
+    return chained(c, rules)
 
 
 def alias_entities(c: Column, pairs: Column, whole_words: bool) -> Column:
@@ -88,7 +85,7 @@ def alias_entities(c: Column, pairs: Column, whole_words: bool) -> Column:
     return F.aggregate(pairs, c, lambda t, p: F.replace(t, p["name"], p["code"]))
 
 
-def alias_pass(c: Column, rules: list[tuple[str, str]], pairs: Column) -> Column:
+def alias_pass(c: str | Column, rules: list[tuple[str, str]], pairs: Column) -> Column:
     return alias_entities(bundle(substitute(c, rules)), pairs, True)
 
 

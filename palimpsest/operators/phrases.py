@@ -9,20 +9,24 @@ from palimpsest.functions import fixed
 from palimpsest.functions.strings import chained, found
 
 
-def delete(c: Column) -> Column:
-    return chained(c, [(f"(?iU){p}", "") for p in fixed.DELETED])
+DELETIONS = [(f"(?iU){p}", "") for p in fixed.DELETED]
+REWRITES = [(f"(?iU){p}", r) for p, r in fixed.REWRITTEN]
 
 
-def rewrite(c: Column) -> Column:
-    return chained(c, [(f"(?iU){p}", r) for p, r in fixed.REWRITTEN])
+def delete(c: str | Column) -> Column:
+    return chained(c, DELETIONS)
 
 
-def tighten(c: Column) -> Column:
+def rewrite(c: str | Column) -> Column:
+    return chained(c, REWRITES)
+
+
+def tighten(c: str | Column) -> Column:
     return chained(c, fixed.TIGHTENED)
 
 
-def compress(skeleton: Column) -> Column:
-    return tighten(rewrite(delete(skeleton)))
+def compress(skeleton: str | Column) -> Column:
+    return chained(skeleton, [*DELETIONS, *REWRITES, *fixed.TIGHTENED])
 
 
 def negations(c: Column) -> Column:

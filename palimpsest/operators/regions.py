@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.functions.strings import found, replaced_each, text
+from palimpsest.functions.strings import found, literal, text
 
 _EMPTY = "array<struct<kind:string,text:string>>"
 
@@ -20,11 +20,14 @@ def extract(df: DataFrame, column: str, skeleton: str = "skeleton", regions: str
     """Adds the skeleton (numbered placeholders) and the regions. Kinds are applied one after the other; later ones may swallow earlier placeholders."""
     out = df.withColumn(skeleton, F.replace(text(column), F.lit(fixed.OPEN), F.lit(fixed.OPEN + fixed.ESCAPE))).withColumn(regions, F.array().cast(_EMPTY))
     for kind, pattern in fixed.REGIONS:
-        sk, done = F.col(skeleton), F.col(regions)
-        new = F.transform(found(sk, pattern), lambda t, kind=kind: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
-        numbered = replaced_each(sk, pattern, lambda m, i: F.when(m.isNotNull(), F.concat(F.lit(fixed.OPEN), (F.size(done) + i).cast("string"), F.lit(fixed.CLOSE))))
+        matches = f"regexp_extract_all(`{skeleton}`, {literal(pattern)}, 0)"
+        number = f"concat('{fixed.OPEN}', cast(size(`{regions}`) + i as string), '{fixed.CLOSE}')"
+        pieces = f"transform(split(`{skeleton}`, {literal(pattern)}, -1), (piece, i) -> concat(piece, if(get({matches}, i) is null, '', {number})))"
         # both new columns come from the old ones
-        out = out.withColumns({skeleton: numbered, regions: F.concat(done, new)})
+        out = out.withColumns({
+            skeleton: F.expr(f"if(size({matches}) = 0, `{skeleton}`, array_join({pieces}, ''))"),
+            regions: F.expr(f"concat(`{regions}`, transform({matches}, t -> named_struct('kind', '{kind}', 'text', t)))"),
+        })
     return out
 
 

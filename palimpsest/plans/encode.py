@@ -48,7 +48,7 @@ def digest_lines(rows: DataFrame) -> DataFrame:
     turns = folding.with_folded_turn(turns, "content", "folded", 2)
     parts = turns.select(*REQUEST, "hash", "ordinal", "role", F.posexplode(lines(F.col("folded"))).alias("pos", "raw")).withColumn("raw", strip(F.col("raw")))
     parts = regions.extract(parts.filter((F.col("raw") != "") & ~F.startswith(F.col("raw"), F.lit("[+"))), "raw")
-    parts = parts.withColumn("skeleton", phrases.compress(F.col("skeleton"))).withColumn("restored", regions.restore(F.col("skeleton"), F.col("regions")))
+    parts = parts.withColumn("skeleton", phrases.compress("skeleton")).withColumn("restored", regions.restore(F.col("skeleton"), F.col("regions")))
     parts = parts.withColumn("full", strip(F.coalesce("restored", "raw"))).withColumn("line", folding.at_word(F.col("full")))
     again = F.row_number().over(Window.partitionBy(*REQUEST, "line").orderBy("ordinal", "pos"))
     newest = F.row_number().over(Window.partitionBy(*REQUEST).orderBy(F.desc("ordinal"), F.desc("pos")))
@@ -68,8 +68,8 @@ def digests(kept: DataFrame, settings: Settings) -> DataFrame:
 def candidates(rows: DataFrame, rules: list[tuple[str, str]], expansions: Column, settings: Settings) -> DataFrame:
     """New messages (with pairs) and their best texts on both tracks: plain, aliased, label, confidence, terse."""
     out = regions.extract(rows, "content")
-    out = out.withColumn("terse", phrases.compress(F.col("skeleton")))
-    out = out.withColumn("coded", dictionary.substitute(F.col("terse"), rules))
+    out = out.withColumn("terse", phrases.compress("skeleton"))
+    out = out.withColumn("coded", dictionary.substitute("terse", rules))
     out = out.withColumn("coded", F.when(F.col("coded") != F.col("terse"), dictionary.bundle(F.col("coded"))).otherwise(F.col("coded")))
     out = out.withColumn("coded", dictionary.alias_entities(F.col("coded"), F.col("pairs"), False))
     whole = F.map_concat(F.map_from_entries(F.transform(F.filter("pairs", lambda p: ~F.map_contains_key(expansions, p["code"])), lambda p: F.struct(p["code"], p["name"]))), expansions)
@@ -108,7 +108,7 @@ def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]]
     ref = F.concat(F.lit("[ref:"), F.col("hash"), F.lit(" tool-result; expand on request]"))
     plain = F.when(F.col("route") == "digest", F.lit(None).cast("string")).when(F.col("route") == "tool-ref", ref).when(F.col("route") == "fold", F.col("folded")).otherwise(F.col("content"))
     old = old.withColumn("plain", plain)
-    old = old.withColumn("aliased", F.when(F.col("route") == "fold", dictionary.alias_pass(F.col("plain"), rules, F.col("pairs"))).otherwise(F.col("plain")))
+    old = old.withColumn("aliased", F.when(F.col("route") == "fold", dictionary.alias_pass("plain", rules, F.col("pairs"))).otherwise(F.col("plain")))
     old = old.withColumn("label", F.when(F.col("route") == "tool-ref", "fold").when(F.col("route").isin("digest", "tool-call", "expanded"), F.col("route")))
     columns = [*REQUEST, "idx", "place", "role", "content", "tokens", "hash", "route", "pairs", "entity_codes", "entity_block", "plain", "aliased", "label"]
     both = new.select(columns).unionByName(old.select(columns))
@@ -122,7 +122,7 @@ def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]]
         F.array_sort(F.collect_list(F.struct("idx", dictionary.codes(text("aliased")).alias("codes")))).alias("mentions"),
         F.first("pairs").alias("pairs"), F.first("entity_codes").alias("entity_codes"), F.first("entity_block").alias("entity_block"),
     )
-    req = sums.join(digest, REQUEST, "left").withColumn("digest_alias", dictionary.alias_pass(F.col("digest"), rules, F.col("pairs")))
+    req = sums.join(digest, REQUEST, "left").withColumn("digest_alias", dictionary.alias_pass("digest", rules, F.col("pairs")))
     return both, decided(req, settings, definitions, provider, version)
 
 
