@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed, strings, tokens
@@ -13,6 +13,7 @@ from palimpsest.operators import benchmarks, dictionary, folding, metrics, phras
 from palimpsest.plans import derived, encode, replay, serving
 from palimpsest.plans.derived import quoted, re2, replace_sql, tokens_sql
 from palimpsest.sources import chat
+from palimpsest.streaming.decoder import decode_stream, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -48,6 +49,10 @@ def joined(array) -> F.Column:
     return F.array_join(array, "|")
 
 
+def joined_by_comma(array) -> F.Column:
+    return F.array_join(array, ",")
+
+
 # --- tokens ------------------------------------------------------------------------------------
 
 
@@ -78,6 +83,16 @@ def t01(spark, sf_dir):
     return ids.select("conv_id", model_column().alias("model")).withColumn("profile", tokens.profile(F.col("model"))["name"])
 
 
+_PROFILE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(model, {quoted('(?i)' + p)}) THEN {quoted(n)}" for p, n, _, _ in fixed.PROFILES) + " ELSE 'o200k' END"
+
+
+@query("t07_model_count", f"WITH m AS (SELECT conv_id, turn, text, {_MODEL_SQL} AS model FROM conversations) SELECT conv_id, turn AS idx, {_PROFILE_SQL} AS profile, CASE WHEN text IS NULL THEN 0 ELSE {tokens_sql('text')} END AS tokens, false AS exact FROM m")
+def t07(spark, sf_dir):
+    """Without vocabulary files every profile is estimated; tests count with a local vocabulary."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("idx"), "text", model_column().alias("model"))
+    return tokens.counted(rows, "text", "model").select("conv_id", "idx", "profile", "tokens", "exact")
+
+
 @query("t06_profiles", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {quoted(n)}, {quoted(kind)}, {str(exact).lower()})" for k, (_, n, kind, exact) in enumerate(fixed.PROFILES)) + ") t(rank, name, kind, exact)")
 def t06(spark, sf_dir):
     return tokens.profiles(spark).select("rank", "name", "kind", "exact")
@@ -345,6 +360,32 @@ def f02(spark, sf_dir):
     return seen.select(F.col("idx").alias("doc_id"), folding.blob_reference(F.col("content"), F.when(F.col("seen"), "doc"), F.col("first_idx")).alias("out"))
 
 
+@query("f05_summaries", f"""{WITH}, q AS (SELECT conv_id, idx AS last_idx, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS req_no FROM prompts WHERE role = 'user'),
+    r AS (SELECT p.conv_id, q.req_no, p.idx FROM prompts p JOIN q ON p.conv_id = q.conv_id AND p.idx <= q.last_idx),
+    s AS (SELECT conv_id, idx AS s_start, idx + 1 AS e, 1 + idx % 2 AS since, substr(content, 1, 20) AS summary FROM prompts WHERE idx % 3 = 1)
+    SELECT r.conv_id, r.req_no, r.idx, (SELECT arg_min(summary, (since, s_start)) FROM s WHERE s.conv_id = r.conv_id AND r.idx BETWEEN s_start AND e AND since < r.req_no) AS summary FROM r""")
+def f05(spark, sf_dir):
+    p = derived.prompts(spark, sf_dir)
+    sent = replay.replayed(p, replay.requests(p)).select("conv_id", "req_no", "idx")
+    i = F.col("idx")
+    made = p.filter(i % 3 == 1).select("conv_id", i.alias("start"), (i + 1).alias("end"), (1 + i % 2).alias("since"), F.substring("content", 1, 20).alias("summary"))
+    return folding.with_summaries(sent, made).select("conv_id", F.col("req_no").cast("long").alias("req_no"), "idx", "summary")
+
+
+@query("f06_compaction", f"""{WITH}, l AS (SELECT conv_id, idx, substr(content, 1, 20) AS line, substr(sha256(content), 1, 16) AS hash, row_number() OVER (PARTITION BY conv_id ORDER BY idx DESC) AS newest, count(*) OVER (PARTITION BY conv_id) AS n FROM prompts),
+    due AS (SELECT conv_id, list_sort(list(DISTINCT hash)) AS hashes, count(*) AS cut FROM l WHERE newest > 1 AND n > 2 GROUP BY conv_id)
+    SELECT l.conv_id, idx AS ordinal, line, hash AS hashes FROM l LEFT JOIN due ON l.conv_id = due.conv_id WHERE due.conv_id IS NULL OR newest <= 1
+    UNION ALL SELECT conv_id, 0, unnest(['first of ' || cut, 'second', 'third', '4']), array_to_string(hashes, ',') FROM due""")
+def f06(spark, sf_dir):
+    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("idx")))
+    kept = derived.prompts(spark, sf_dir).select(
+        "conv_id", F.lit(1).alias("req_no"), F.col("idx").alias("ordinal"), F.lit(0).alias("pos"), F.substring("content", 1, 20).alias("line"), strings.content_hash(F.col("content")).alias("hash"), back.alias("newest"),
+    )
+    due = folding.to_compact(kept, 1)
+    answers = due.select("conv_id", "req_no", F.concat(F.lit("first of "), F.size("lines").cast("string"), F.lit("\n\n second \nthird\n4\nfifth")).alias("text"))
+    return folding.compacted(kept, due, answers, 1).select("conv_id", F.col("place.ordinal").cast("long").alias("ordinal"), "line", joined_by_comma("hashes").alias("hashes"))
+
+
 # --- requests ----------------------------------------------------------------------------------------------
 
 
@@ -443,6 +484,39 @@ def c01(spark, sf_dir):
 
 
 on_prompts("r01_decode", lambda c: {"out": replies.decode(c, dictionary.seed_expansions())}, f"{expand_sql('content')} AS out")
+_STEP = 7
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    """Each prompt as a reply of short newline-delimited frames; those of odd conversations break off without a last frame."""
+    p = derived.prompts(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("idx")).alias("session"), "content", (F.col("conv_id") % 2 == 0).alias("ends"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / _STEP)), lambda k: F.substring("content", (k * _STEP + 1).cast("int"), F.lit(_STEP)))
+    said = p.select("session", "ends", F.posexplode(cut).alias("seq", "piece"))
+    frames = said.select("session", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct(F.struct(F.col("piece").alias("content")).alias("message"), F.lit(False).alias("done"))).alias("frame"))
+    last = p.filter("ends").select("session", F.lit(1 << 40).alias("seq"), F.lit('{"done": true}').alias("frame"))
+    return frames.unionByName(last)
+
+
+@query("s09_ndjson", f"{WITH} SELECT conv_id * 1000 + idx AS session, 1 + (length(content) - 1) // {_STEP} AS pieces, content, 1::BIGINT AS ends FROM prompts")
+def s09(spark, sf_dir):
+    deltas = chat.with_end(chat.ndjson_deltas(_frames(spark, sf_dir)))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("delta").isNotNull(), F.struct("seq", "delta"))))
+    return deltas.groupBy("session").agg(F.count("delta").alias("pieces"), F.array_join(ordered["delta"], "").alias("content"), F.sum(F.col("done").cast("long")).alias("ends"))
+
+
+@query("r05_decode_stream", f"{WITH} SELECT conv_id * 1000 + idx AS session, {expand_sql('content')} AS out FROM prompts")
+def r05(spark, sf_dir):
+    """A streaming query over stored deltas, run until all are read; its output is a table."""
+    folder = shared_folder(spark)
+    chat.with_end(chat.ndjson_deltas(_frames(spark, sf_dir))).withColumn("session", F.col("session").cast("string")).write.parquet(f"{folder}/deltas")
+    deltas = spark.readStream.schema("session string, seq long, delta string, done boolean").parquet(f"{folder}/deltas")
+    said = decode_stream(deltas, dictionary.seed_expansion_texts())
+    said.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    said = spark.read.schema("session string, seq long, text string").parquet(f"{folder}/out")
+    return said.groupBy(F.col("session").cast("long").alias("session")).agg(F.array_join(ordered["text"], "").alias("out"))
+
+
 on_prompts(
     "r02_references",
     lambda c: {"out": replies.expand_references(c, F.create_map(F.lit("0123456789abcdef"), F.lit("the original")))},

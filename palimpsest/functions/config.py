@@ -13,8 +13,10 @@ ROUTES = ("human", "agent")
 
 @dataclass(frozen=True)
 class Settings:
+    # names and defaults are fixed values: files written elsewhere are read with the same meaning
     mode: str = "MAX"
     route_mode: str = "human"
+    min_confidence: float = 0.99
     min_savings_pct: float = fixed.LEAST_PERCENT
     min_savings_abs: int = fixed.LEAST_SAVED
     min_encode_tokens: int = fixed.LEAST_REQUEST
@@ -24,6 +26,8 @@ class Settings:
     fold_history: bool = True
     fold_after_turns: int = 6
     history_style: str = "digest"
+    abstractive_threshold_tokens: int = 8000
+    seed_dictionary: bool = True
     cache_discount: float = fixed.CACHE_DISCOUNT
     scope: str = "global"
 

@@ -34,27 +34,57 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, pattern string, name string, kind string, exact boolean")
 
 
-def bpe_counter(path: str, kind: str):
-    """A pandas UDF that counts a local vocabulary's tokens: ``tiktoken`` (rank file with a pattern beside it in ``kind:pattern`` form) or ``hf`` (JSON)."""
+def _loaded(path: str, kind: str):
+    """A function from texts to their sizes in a local vocabulary: ``hf`` (JSON) or ``tiktoken:<pattern>`` (rank file)."""
     name, _, pattern = kind.partition(":")
+    if name == "hf":
+        from tokenizers import Tokenizer
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if name == "tiktoken":
-            import base64
+        tokenizer = Tokenizer.from_file(path)
+        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    import base64
+
+    import tiktoken
 
-            import tiktoken
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [len(encoding.encode(t, disallowed_special=())) for t in texts]
 
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            size = lambda t: len(tiktoken_encoding.encode(t, disallowed_special=()))
-            tiktoken_encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        else:
-            from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(path)
-            size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
-        for batch in batches:
-            yield batch.fillna("").map(size)
+def vocabulary_counter(files: dict[str, tuple[str, str]]):
+    """A pandas UDF (profile, text) for several local vocabularies (profile -> path, kind) in one pass; null for profiles without one. Each is loaded once per task, when first met."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        loaded = {}
+        for names, texts in batches:
+            names, texts, sizes = names.tolist(), texts.tolist(), [None] * len(texts)
+            for name in files.keys() & set(names):
+                if name not in loaded:
+                    loaded[name] = _loaded(*files[name])
+                rows = [i for i, n in enumerate(names) if n == name]
+                for i, size in zip(rows, loaded[name]([texts[i] or "" for i in rows]), strict=True):
+                    sizes[i] = size
+            yield pd.Series(sizes, dtype="Int64")
 
     return count
+
+
+def counted(df: DataFrame, column: str, model: str, files: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Adds profile, tokens and exact: each text's size for the model of its row.
+
+    ``files`` names the vocabularies at hand. Rows of other profiles are
+    estimated and say so (``exact`` false); without files no Python runs.
+    """
+    rows = df.withColumn("profile", profile(F.col(model))["name"])
+    known = [n for n, (_, _, kind, _) in _by_name().items() if kind != "estimate" and n in (files or {})]
+    if not known:
+        return rows.withColumns({"tokens": estimate(F.col(column)), "exact": F.lit(False)})
+    there = F.col("profile").isin(*known)
+    rows = rows.withColumn("__size", vocabulary_counter({n: files[n] for n in known})(F.col("profile"), F.when(there, F.col(column))))
+    return rows.withColumns({"tokens": F.when(there, F.col("__size")).otherwise(estimate(F.col(column))), "exact": there}).drop("__size")
+
+
+def _by_name() -> dict[str, tuple]:
+    return {p[1]: p for p in fixed.PROFILES}

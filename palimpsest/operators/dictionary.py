@@ -104,10 +104,13 @@ def expansions(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("code", "expansion"))).alias("expansions"))
 
 
-def seed_expansions() -> Column:
+def seed_expansion_texts() -> dict[str, str]:
     by_code = {code: expansion for code, expansion, _ in fixed.SEEDS}
-    by_code[fixed.BUNDLE] = f"{fixed.BUNDLE_LABEL}: " + " + ".join(by_code[m] for m in fixed.BUNDLE_MEMBERS)
-    return F.create_map(*[F.lit(x) for kv in by_code.items() for x in kv])
+    return by_code | {fixed.BUNDLE: f"{fixed.BUNDLE_LABEL}: " + " + ".join(by_code[m] for m in fixed.BUNDLE_MEMBERS)}
+
+
+def seed_expansions() -> Column:
+    return F.create_map(*[F.lit(x) for kv in seed_expansion_texts().items() for x in kv])
 
 
 def clauses(c: Column) -> Column:

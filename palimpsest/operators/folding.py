@@ -54,6 +54,39 @@ def with_folded_turn(df: DataFrame, column: str, out: str, most: int) -> DataFra
     return with_key_lines(df.withColumn("__fenced", fold_fences(F.col(column))), "__fenced", out, most).drop("__fenced")
 
 
+def to_summarise(old: DataFrame, threshold: int, least_chars: int = 800) -> DataFrame:
+    """Old turns (conv_id, req_no, idx, content, tokens) worth a summary: long ones of requests whose history reaches the threshold; conv_id, idx, content, each once."""
+    total = old.groupBy("conv_id", "req_no").agg(F.sum("tokens").alias("history")).filter(F.col("history") >= threshold)
+    return old.join(total, ["conv_id", "req_no"]).filter(F.length("content") > least_chars).groupBy("conv_id", "idx").agg(F.first("content").alias("content"))
+
+
+def with_summaries(old: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Old turns (conv_id, req_no, idx) with ``summary``: of the summaries (conv_id, start, end, since, summary) that cover a turn and were there before its request, the first by since and start; else null. Summaries only come in addition, so a turn keeps its text."""
+    s = summaries.select("conv_id", "since", F.col("start").alias("s_start"), "end", F.col("summary"))
+    keys = old.select("conv_id", "req_no", "idx").distinct()
+    fit = keys.join(s, "conv_id").filter("idx between s_start and end and since < req_no")
+    first = fit.groupBy("conv_id", "req_no", "idx").agg(F.min(F.struct("since", "s_start", "summary"))["summary"].alias("summary"))
+    return old.join(first, ["conv_id", "req_no", "idx"], "left")
+
+
+def to_compact(kept: DataFrame, window: int) -> DataFrame:
+    """Digests that outgrew twice the window: conv_id, req_no, lines (all but the newest ``window``, in order) and the union of their turns' hashes."""
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "pos", "line")))
+    old = kept.filter(F.col("newest") > window).groupBy("conv_id", "req_no").agg(F.max("newest").alias("n"), ordered["line"].alias("lines"), F.array_sort(F.collect_set("hash")).alias("hashes"))
+    return old.filter(F.col("n") > 2 * window).select("conv_id", "req_no", "lines", "hashes")
+
+
+def compacted(kept: DataFrame, due: DataFrame, replies: DataFrame, window: int) -> DataFrame:
+    """Digest lines conv_id, req_no, place, line, hashes: where a reply (conv_id, req_no, text) came, its first four lines stand for the old ones and keep the union of their hashes; elsewhere all stay."""
+    said = F.slice(F.filter(F.transform(lines(F.col("text")), strip), lambda x: x != ""), 1, 4)
+    new = due.join(replies.select("conv_id", "req_no", said.alias("said")), ["conv_id", "req_no"]).filter(F.size("said") > 0)
+    fresh = new.select("conv_id", "req_no", F.posexplode("said").alias("pos", "line"), "hashes")
+    fresh = fresh.select("conv_id", "req_no", F.struct(F.lit(0).alias("ordinal"), F.col("pos").alias("pos")).alias("place"), "line", "hashes")
+    stay = kept.join(new.select("conv_id", "req_no", F.lit(True).alias("done")), ["conv_id", "req_no"], "left").filter(F.col("done").isNull() | (F.col("newest") <= window))
+    stay = stay.select("conv_id", "req_no", F.struct(F.col("ordinal").cast("int").alias("ordinal"), F.col("pos").cast("int").alias("pos")).alias("place"), "line", F.array("hash").alias("hashes"))
+    return stay.unionByName(fresh)
+
+
 def at_word(c: Column) -> Column:
     """Cut to the line length at the last space, unless that would lose half of it."""
     head = F.substring(c, 1, fixed.LINE_LENGTH - 3)

@@ -81,7 +81,7 @@ def candidates(rows: DataFrame, rules: list[tuple[str, str]], expansions: Column
         out = out.withColumn(f"{name}_tokens", estimate(F.col(f"{name}_text")))
         saved = F.col("tokens") - F.col(f"{name}_tokens")
         worth = (saved >= settings.min_savings_abs) | (saved / F.greatest(F.lit(1), F.col("tokens")) * 100 >= settings.min_savings_pct)
-        out = out.withColumn(f"{name}_ok", F.coalesce(F.col(f"{name}_text").isNotNull() & F.col(f"{name}_verdict.ok") & worth & (F.col(f"{name}_tokens") < F.col("tokens")), F.lit(False)))
+        out = out.withColumn(f"{name}_ok", F.coalesce(F.col(f"{name}_text").isNotNull() & F.col(f"{name}_verdict.ok") & (F.col(f"{name}_verdict.confidence") >= settings.min_confidence) & worth & (F.col(f"{name}_tokens") < F.col("tokens")), F.lit(False)))
     alias_wins = F.col("alias_ok") & (F.col("coded") != F.col("terse")) & (~F.col("terse_ok") | (F.col("alias_tokens") < F.col("terse_tokens")))
     return out.withColumns({
         "plain": F.when(F.col("terse_ok"), F.col("terse_text")).otherwise(F.col("content")),
@@ -90,11 +90,13 @@ def candidates(rows: DataFrame, rules: list[tuple[str, str]], expansions: Column
     })
 
 
-def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]] | None = None, expansions: Column | None = None, definitions: Column | None = None, provider: str = "", version: int = 1, pending: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(message rows, request rows). Rules, expansions and definitions default to the seed dictionary's."""
-    rules = dictionary.seed_rules() if rules is None else rules
-    expansions = dictionary.seed_expansions() if expansions is None else expansions
-    definitions = dictionary.seed_definitions() if definitions is None else definitions
+def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]] | None = None, expansions: Column | None = None, definitions: Column | None = None, provider: str = "", version: int = 1, pending: DataFrame | None = None, summaries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(message rows, request rows). Rules, expansions and definitions default to the seed dictionary's, or to nothing where the settings leave that out. ``summaries``: see ``folding.with_summaries``."""
+    seeded = settings.seed_dictionary
+    rules = (dictionary.seed_rules() if seeded else []) if rules is None else rules
+    nothing = F.create_map().cast("map<string,string>")
+    expansions = (dictionary.seed_expansions() if seeded else nothing) if expansions is None else expansions
+    definitions = (dictionary.seed_definitions() if seeded else nothing) if definitions is None else definitions
     asked = messages.select(*REQUEST).distinct()
     known = sessions.entity_pairs(sessions.entities(sessions.sightings(messages)), asked)
     rows = routed(messages, settings, pending).join(known, REQUEST, "left").withColumn("pairs", F.coalesce("pairs", F.array().cast(NO_PAIRS)))
@@ -102,13 +104,17 @@ def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]]
     new = candidates(rows.filter("route = 'new'"), rules, expansions, settings)
     old = rows.filter("route != 'new'")
     if settings.history_style == "folds":
-        old = folding.with_folded_turn(old, "content", "folded", 3 if settings.mode == "MAX" else 6)
+        old = folding.with_folded_turn(noted(old), "content", "folded", 3 if settings.mode == "MAX" else 6)
+        repeat = folding.blob_reference(F.col("content"), F.when((F.col("note.req_no") < F.col("req_no")) | ((F.col("note.req_no") == F.col("req_no")) & (F.col("note.idx") < F.col("idx"))), "tool"), F.col("note.req_no"))
+        old = (folding.with_summaries(old, summaries) if summaries is not None else old.withColumn("summary", F.lit(None).cast("string"))).withColumns({
+            "repeat": repeat, "folded": F.when(repeat != F.col("content"), repeat).otherwise(F.coalesce("summary", "folded")),
+        })
     else:
         old = old.withColumn("folded", F.col("content"))
     ref = F.concat(F.lit("[ref:"), F.col("hash"), F.lit(" tool-result; expand on request]"))
     plain = F.when(F.col("route") == "digest", F.lit(None).cast("string")).when(F.col("route") == "tool-ref", ref).when(F.col("route") == "fold", F.col("folded")).otherwise(F.col("content"))
     old = old.withColumn("plain", plain)
-    old = old.withColumn("aliased", F.when(F.col("route") == "fold", dictionary.alias_pass("plain", rules, F.col("pairs"))).otherwise(F.col("plain")))
+    old = old.withColumn("aliased", F.when((F.col("route") == "fold") & ~F.startswith(F.col("plain"), F.lit("[ref:")), dictionary.alias_pass("plain", rules, F.col("pairs"))).otherwise(F.col("plain")))
     old = old.withColumn("label", F.when(F.col("route") == "tool-ref", "fold").when(F.col("route").isin("digest", "tool-call", "expanded"), F.col("route")))
     columns = [*REQUEST, "idx", "place", "role", "content", "tokens", "hash", "route", "pairs", "entity_codes", "entity_block", "plain", "aliased", "label"]
     both = new.select(columns).unionByName(old.select(columns))
@@ -126,6 +132,12 @@ def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]]
     return both, decided(req, settings, definitions, provider, version)
 
 
+def noted(old: DataFrame) -> DataFrame:
+    """Adds ``note``: request and place at which a tool result of the same text first became a reference in the conversation; null if none did."""
+    first = old.filter("route = 'tool-ref'").groupBy("conv_id", "hash").agg(F.min(F.struct("req_no", "idx")).alias("note"))
+    return old.join(first, ["conv_id", "hash"], "left")
+
+
 def decided(req: DataFrame, settings: Settings, definitions: Column, provider: str, version: int) -> DataFrame:
     """Per request: which set ships, its block, digest and report."""
     mentioned = F.concat(F.flatten("mentions.codes"), dictionary.codes(text("digest_alias")))

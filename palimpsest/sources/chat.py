@@ -77,6 +77,13 @@ def ndjson_deltas(frames: DataFrame, path: str = "$.message.content") -> DataFra
     return frames.select("session", "seq", F.get_json_object("frame", path).alias("delta"), done.alias("done")).filter("done or delta is not null")
 
 
+def with_end(deltas: DataFrame) -> DataFrame:
+    """Deltas of finished streams (session, seq, delta, done), of which those that broke off get a last row with ``done``, so that what a decoder holds comes out."""
+    last = deltas.groupBy("session").agg(F.max("seq").alias("seq"), F.max("done").alias("ended"))
+    ends = last.filter("not ended").select("session", (F.col("seq") + 1).alias("seq"), F.lit(None).cast("string").alias("delta"), F.lit(True).alias("done"))
+    return deltas.unionByName(ends)
+
+
 def write_dictionary(aliases: DataFrame, generations: DataFrame, path: str) -> None:
     """One folder per table, partitioned by scope; only the scopes written are replaced."""
     for name, table in (("aliases", aliases), ("generations", generations)):

@@ -9,10 +9,12 @@ exactly what decoding the whole reply would.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Where a code or a reference begins, what they are, and from which length on an open reference no longer waits.
@@ -67,6 +69,16 @@ def scan(source: str, after_word: bool, ended: bool, expansions: dict[str, str],
     return "".join(out), "", _is_word(source[-1]) if at < len(source) else after_word
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, in ``spark.checkpoint.dir``; a temporary one only where all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
 def decode_stream(deltas: DataFrame, expansions: dict[str, str], originals: dict[str, str] | None = None, idle: str = "NoTimeout") -> DataFrame:
     """Streaming deltas (session, seq, delta, done): session, seq, text. ``done`` empties what is held.
 

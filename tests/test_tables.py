@@ -1,13 +1,15 @@
 """Dictionary, request, metrics and source operators on small tables."""
 
 import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions import config
+from palimpsest.functions import config, tokens
 from palimpsest.functions.config import Settings
-from palimpsest.operators import dictionary, metrics
+from palimpsest.operators import dictionary, folding, metrics
 from palimpsest.plans import encode, replay
 from palimpsest.sources import chat
 from palimpsest.streaming import decoder
@@ -94,3 +96,50 @@ def test_stream_query(spark, tmp_path):
     q.awaitTermination(120)
     out = {s: "".join(r["text"] for r in spark.table("decoded").filter(F.col("session") == s).orderBy("seq").collect()) for s in "ab"}
     assert out == {"a": "first fix all bugs found then", "b": "x OK1"}
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="needs a local vocabulary")
+def test_models_are_counted_with_their_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    said = [("qwen2.5:0.5b", "Hello there, world"), ("claude-sonnet", "x" * 34), ("qwen2.5", None), ("llama3", "y" * 34), (None, "")]
+    rows = tokens.counted(spark.createDataFrame([(i, *r) for i, r in enumerate(said)], "i int, model string, text string"), "text", "model", {"qwen2.5": (VOCABULARY, "hf")})
+    got = {r["i"]: (r["profile"], r["tokens"], r["exact"]) for r in rows.collect()}
+    size = len(Tokenizer.from_file(VOCABULARY).encode("Hello there, world", add_special_tokens=False).ids)
+    assert got == {0: ("qwen2.5", size, True), 1: ("claude-est", 10, False), 2: ("qwen2.5", 0, True), 3: ("llama3", 10, False), 4: ("o200k", 0, False)}
+
+
+def test_reply_frames(spark):
+    frames = lambda rows: spark.createDataFrame(rows, "session string, seq long, frame string")
+    sse = frames([("a", 0, ": ping"), ("a", 1, 'data: {"type": "content_block_delta", "delta": {"type": "text_delta", "text": "K1"}}'), ("a", 2, 'data: {"type": "message_stop"}')])
+    assert [(r["seq"], r["delta"], r["done"]) for r in chat.block_deltas(sse).orderBy("seq").collect()] == [(1, "K1", False), (2, None, True)]
+    lines = frames([
+        ("a", 0, '{"response": "so", "done": false}'), ("a", 1, '{"response": "", "done": true}'), ("b", 0, '{"response": "K", "done": false}'), ("b", 1, "no json"),
+        ("c", 0, '{"response": "x"}'), ("c", 1, '{"error": "gone"}'),
+    ])
+    ended = chat.with_end(chat.ndjson_deltas(lines, "$.response")).filter("done")
+    assert {(r["session"], r["seq"]) for r in ended.collect()} == {("a", 1), ("b", 1), ("c", 1)}
+
+
+def test_old_turns_fold_to_repeats_and_summaries(spark):
+    result, other = "result " * 70, "Plain words of a turn. " * 30
+    said = [(1, n, i, role, text, False) for n in (1, 2) for i, (role, text) in enumerate([("system", "be brief"), ("tool", result), ("user", result), ("assistant", other), ("user", "go on"), ("user", "now then please")])]
+    messages = spark.createDataFrame(said, "conv_id int, req_no int, idx int, role string, content string, has_tool_calls boolean")
+    made = spark.createDataFrame([(1, 3, 3, 1, "short of it")], "conv_id int, start int, end int, since int, summary string")
+    rows, _ = encode.encode(messages, Settings(history_style="folds"), summaries=made)
+    plain = {(r["req_no"], r["idx"]): r["plain"] for r in rows.collect()}
+    assert plain[1, 1].endswith("tool-result; expand on request]") and plain[1, 2].endswith(" tool unchanged from turn 1]")
+    assert plain[1, 3] != "short of it" and plain[2, 3] == "short of it"
+    due = folding.to_summarise(messages.withColumn("tokens", F.lit(100)).filter("idx < 5"), 500, 500)
+    assert {r["idx"] for r in due.collect()} == {3}
+
+
+def test_no_seed_dictionary_no_codes(spark):
+    text = "Please run the full test suite afterwards and preserve all public APIs, keep 3 files. " * 3
+    messages = spark.createDataFrame([(1, 1, 0, "user", text, False)], "conv_id int, req_no int, idx int, role string, content string, has_tool_calls boolean")
+    rows, _ = encode.encode(messages, Settings(seed_dictionary=False))
+    r = rows.first()
+    assert r["plain"] == r["aliased"] and not re.search(r"\bK\d", r["aliased"])
