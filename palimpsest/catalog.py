@@ -428,6 +428,45 @@ def _encoded(spark, sf_dir, **settings):
     return encode.encode(final(spark, sf_dir), Settings(**settings))
 
 
+_SUMS_SQL = """s AS (SELECT o_custkey AS conv_id, o_orderkey AS req_no, o_orderkey % 300 AS original, greatest(0, o_orderkey % 300 - o_orderkey % 40) AS plain, greatest(0, o_orderkey % 300 - o_orderkey % 40 - o_custkey % 90) AS alias,
+    CASE o_orderkey % 4 WHEN 0 THEN ['K14', 'K3', 'K3'] WHEN 1 THEN ['P1'] WHEN 2 THEN ['E1', 'K99'] ELSE []::VARCHAR[] END AS codes, CASE WHEN o_orderkey % 3 = 0 THEN 'HIST of run the tests' END AS digest,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'HIST of K5' END AS digest_alias FROM orders)"""
+_DECISION_SQL = f"""WITH {_SUMS_SQL}, m AS (SELECT *, list_concat(codes, CASE WHEN digest IS NULL THEN []::VARCHAR[] ELSE ['K5'] END) AS mentioned FROM s),
+    u AS (SELECT conv_id, req_no, unnest(list_concat(list_filter(list_transform(range(1, len(mentioned) + 1), lambda i: CASE WHEN list_position(mentioned, mentioned[i]) = i THEN mentioned[i] END), lambda c: c IS NOT NULL AND c NOT IN ('E1', 'K99')), CASE WHEN list_contains(mentioned, 'P1') THEN {list(fixed.BUNDLE_MEMBERS)} ELSE []::VARCHAR[] END)) AS code,
+        generate_subscripts(list_concat(list_filter(list_transform(range(1, len(mentioned) + 1), lambda i: CASE WHEN list_position(mentioned, mentioned[i]) = i THEN mentioned[i] END), lambda c: c IS NOT NULL AND c NOT IN ('E1', 'K99')), CASE WHEN list_contains(mentioned, 'P1') THEN {list(fixed.BUNDLE_MEMBERS)} ELSE []::VARCHAR[] END), 1) AS pos FROM m),
+    d AS (SELECT conv_id, req_no, code, min(pos) AS pos FROM u GROUP BY ALL), f AS (SELECT conv_id, code, min((req_no, pos)) AS first FROM d GROUP BY ALL),
+    b AS (SELECT conv_id, req_no, string_agg({_DEFS_SQL}[code], '; ' ORDER BY first) AS defined FROM d JOIN f USING (conv_id, code) GROUP BY ALL),
+    k AS (SELECT m.*, concat_ws(chr(10), 'DICT v1 (shorthand; expand mentally): ' || defined, CASE WHEN list_contains(mentioned, 'E1') THEN 'ENT: E1=Agent Manager' END) AS block FROM m LEFT JOIN b USING (conv_id, req_no)),
+    o AS (SELECT *, {tokens_sql('block')} AS overhead, row_number() OVER w AS turn, lag(block) OVER w AS previous FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY req_no)),
+    e AS (SELECT *, CASE WHEN block != '' AND (turn >= 2 OR coalesce(block = previous, false)) THEN CAST(round_even(overhead * (1.0::DOUBLE - 0.9::DOUBLE), 0) AS BIGINT) ELSE overhead END AS effective,
+        alias + {tokens_sql("coalesce(digest_alias, '')")} AS total_alias, plain + {tokens_sql("coalesce(digest, '')")} AS total_plain FROM o),
+    x AS (SELECT *, total_plain > total_alias + effective AS ships FROM e),
+    c AS (SELECT *, CASE WHEN ships THEN total_alias ELSE total_plain END AS sent, CASE WHEN ships THEN overhead ELSE 0 END AS own, CASE WHEN ships THEN effective ELSE 0 END AS eff FROM x),
+    t AS (SELECT *, CASE WHEN original < 24 THEN 'small' WHEN sent + eff >= original AND original > 0 THEN 'reverted' ELSE 'encoded' END AS state FROM c)
+    SELECT conv_id, req_no, block, ships AS aliases_ship, state, CASE WHEN state = 'encoded' THEN sent ELSE original END::BIGINT AS encoded_tokens, CASE WHEN state = 'encoded' THEN own ELSE 0 END::BIGINT AS dict_overhead,
+        CASE WHEN state = 'encoded' THEN eff ELSE 0 END::BIGINT AS eff_overhead, CASE WHEN state = 'encoded' THEN original - sent - own ELSE 0 END::BIGINT AS saved, CASE WHEN state = 'encoded' THEN original - sent - eff ELSE 0 END::BIGINT AS saved_effective,
+        CASE WHEN state = 'encoded' THEN (original - sent - own) * 100.0::DOUBLE / original ELSE 0.0::DOUBLE END AS pct, CASE WHEN state = 'reverted' AND sent + eff > original THEN 'not-worth-it' ELSE '' END AS fallback_reason,
+        concat_ws(chr(10), CASE WHEN state = 'encoded' AND ships AND block != '' THEN block END, CASE WHEN state != 'small' THEN {quoted(Settings.terse_style)} || CASE WHEN state = 'encoded' AND ships AND block != '' THEN {quoted(fixed.TERSE_STYLE_CODES)} ELSE '' END END,
+            CASE WHEN state = 'encoded' THEN CASE WHEN ships THEN digest_alias ELSE digest END END) AS head FROM t"""
+
+
+@query("c15_decision_rule", _DECISION_SQL)
+def c15_rule(spark, sf_dir):
+    """The decision, block, head and report of requests whose sums are given: numbers of orders."""
+    i, three = F.col("o_orderkey"), F.col("o_orderkey") % 3 == 0
+    strs = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    codes = F.when(i % 4 == 0, strs("K14", "K3", "K3")).when(i % 4 == 1, strs("P1")).when(i % 4 == 2, strs("E1", "K99")).otherwise(strs())
+    plain = F.greatest(F.lit(0), i % 300 - i % 40)
+    req = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("conv_id"), i.alias("req_no"), (i % 300).alias("original_tokens"), plain.alias("plain_tokens"), F.greatest(F.lit(0), i % 300 - i % 40 - F.col("o_custkey") % 90).alias("alias_tokens"),
+        F.array(F.struct(F.lit(0).alias("idx"), codes.alias("codes"))).alias("mentions"), strs("E1").alias("entity_codes"), F.lit("ENT: E1=Agent Manager").alias("entity_block"),
+        F.when(three, "HIST of run the tests").alias("digest"), F.when(three, "HIST of K5").alias("digest_alias"),
+    )
+    out = encode.decided(req, Settings(), dictionary.seed_definitions(), "", 1)
+    whole = [F.col(c).cast("long").alias(c) for c in ("encoded_tokens", "dict_overhead", "eff_overhead", "saved", "saved_effective")]
+    return out.select("conv_id", "req_no", "block", "aliases_ship", "state", *whole, "pct", "fallback_reason", "head")
+
+
 @query("c07_digest_lines")
 def c07(spark, sf_dir):
     rows = encode.routed(final(spark, sf_dir), Settings())
