@@ -29,6 +29,8 @@ without an id are packed like others. Empty tables give no pieces.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -40,16 +42,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, as_batches, prepare, stored, texts
+from palimpsest.llm.token_counts import byte_letters
 
-#: Words whose ids a worker remembers, and the longest one in bytes; on reaching the number the store starts anew.
-STORE_WORDS, LONG_WORD = 400_000, 100
+#: Words and their parts whose ids a worker remembers, and the longest one in bytes; on reaching the number a store starts anew.
+STORE_WORDS, STORE_PARTS, LONG_WORD = 1_000_000, 500_000, 100
+#: How this family of tokenizers cuts a word into parts (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters are cut here; in them normal forms change nothing and lower case is the same everywhere.
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\x20\x09-\x0da-z0-9ß-öø-ſ]+")
 
 
 class WordIds(dict):
     """Ids of texts as little-endian unsigned 32-bit numbers; every word between ASCII white space is encoded once.
 
-    The vocabulary drops white space and its words never span it, so a text's ids are those of its words. What the
-    tokenizer does inside a word (normal forms, lower case, special strings) is the library's own.
+    The vocabulary drops white space and its words never span it, so a text's ids are those of its words. A plain word
+    is cut into parts, many of which words share, and the vocabulary's own model encodes these; all other words, and
+    all words of vocabularies with other rules, are encoded by the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -59,15 +68,39 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         #: How ids are kept in tables.
         self.kept = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        normal, cut = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        steps = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in cut.get("pretokenizers", [])]
+        known = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and cut["pretokenizers"][0]["pattern"] == {"Regex": PATTERN}
+        # parts of special strings are no parts of words
+        self.special = [t["content"].encode()[:2] for t in spec["added_tokens"]] if known else [b""]
+        self.letters = str.maketrans({b: c for c, b in byte_letters().items()})
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self) >= STORE_WORDS:
-                self.clear()
-            self[word] = ids
+        if len(word) > LONG_WORD:
+            return self.whole(word)
+        text = word.decode("utf-8", "replace")
+        if any(x in word for x in self.special) or not _PLAIN.fullmatch(text):
+            ids = self.whole(word)
+        else:
+            ids = b"".join([self.parts.get(p) or self.part(p) for p in _PARTS.findall(text.lower())])
+        if len(self) >= STORE_WORDS:
+            self.clear()
+        self[word] = ids
         return ids
 
+    def part(self, part: str) -> bytes:
+        ids = np.array([t.id for t in self.library.model.tokenize(part.encode().decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
+        if len(self.parts) >= STORE_PARTS:
+            self.parts.clear()
+        self.parts[part] = ids
+        return ids
+
+    def whole(self, word: bytes) -> bytes:
+        return np.array(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))  # bytes.split cuts at exactly the six ASCII white spaces
 
