@@ -27,13 +27,14 @@ def seeds(spark: SparkSession, scope: str = "global") -> DataFrame:
     return spark.createDataFrame([*rows, (scope, fixed.BUNDLE, label, [], list(fixed.BUNDLE_MEMBERS))], ALIASES)
 
 
-def _definition() -> Column:
+def definition() -> Column:
+    """The line that defines an alias."""
     return F.concat(F.col("code"), F.lit("="), F.when(F.size("members") > 0, F.array_join("members", "+")).otherwise(F.col("expansion")))
 
 
 def generation(aliases: DataFrame, version: int | Column = 1) -> DataFrame:
     """Freezes all aliases of each scope: scope, version, codes (in code order), bootstrap."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.substring("code", 1, 1).alias("family"), F.substring("code", 2, 20).cast("int").alias("number"), "code", _definition().alias("line"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.substring("code", 1, 1).alias("family"), F.substring("code", 2, 20).cast("int").alias("number"), "code", definition().alias("line"))))
     version = F.lit(version) if isinstance(version, int) else version
     head, _, tail = fixed.BOOTSTRAP.partition("{version}")
     return (

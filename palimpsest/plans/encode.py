@@ -8,6 +8,8 @@ that a reply asked for, and generations that were minted meanwhile, are inputs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +47,7 @@ def digest_lines(rows: DataFrame) -> DataFrame:
     first = rows.filter("route = 'digest'").groupBy(*REQUEST, "hash").agg(F.min(F.struct("idx", "role", "content")).alias("m"))
     ordinal = F.row_number().over(Window.partitionBy(*REQUEST).orderBy("m.idx"))
     turns = first.select(*REQUEST, "hash", ordinal.alias("ordinal"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
-    turns = folding.with_folded_turn(turns, "content", "folded", 2)
-    parts = turns.select(*REQUEST, "hash", "ordinal", "role", F.posexplode(lines(F.col("folded"))).alias("pos", "raw")).withColumn("raw", strip(F.col("raw")))
-    parts = regions.extract(parts.filter((F.col("raw") != "") & ~F.startswith(F.col("raw"), F.lit("[+"))), "raw")
-    parts = parts.withColumn("skeleton", phrases.compress("skeleton")).withColumn("restored", regions.restore(F.col("skeleton"), F.col("regions")))
-    parts = parts.withColumn("full", strip(F.coalesce("restored", "raw"))).withColumn("line", folding.at_word(F.col("full")))
+    parts = turn_lines(turns, [*REQUEST, "hash", "ordinal", "role"])
     again = F.row_number().over(Window.partitionBy(*REQUEST, "line").orderBy("ordinal", "pos"))
     newest = F.row_number().over(Window.partitionBy(*REQUEST).orderBy(F.desc("ordinal"), F.desc("pos")))
     # in one condition with the rank: alone, the line would be pushed below all steps that make it, and each step's text written out in full
@@ -58,6 +56,15 @@ def digest_lines(rows: DataFrame) -> DataFrame:
     return kept.select(*REQUEST, "hash", "ordinal", "pos", "newest", label.alias("line"))
 
 
+def turn_lines(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pos, line: what is said of a turn (``content``), a line each. It depends on nothing but its text; lines may be empty."""
+    folded = folding.with_folded_turn(turns, "content", "folded", 2)
+    parts = folded.select(*keys, F.posexplode(lines(F.col("folded"))).alias("pos", "raw")).withColumn("raw", strip(F.col("raw")))
+    parts = regions.extract(parts.filter((F.col("raw") != "") & ~F.startswith(F.col("raw"), F.lit("[+"))), "raw")
+    parts = parts.withColumn("skeleton", phrases.compress("skeleton")).withColumn("restored", regions.restore(F.col("skeleton"), F.col("regions")))
+    return parts.withColumn("full", strip(F.coalesce("restored", "raw"))).withColumn("line", folding.at_word(F.col("full")))
+
+
 def digests(kept: DataFrame, settings: Settings) -> DataFrame:
     """Per request: the digest text of its newest lines."""
     shown = kept.filter(F.col("newest") <= settings.window)
@@ -65,20 +72,33 @@ def digests(kept: DataFrame, settings: Settings) -> DataFrame:
     return shown.groupBy(*REQUEST).agg(F.concat(F.lit(fixed.HISTORY), F.array_join(ordered["line"], " | ")).alias("digest"))
 
 
-def candidates(rows: DataFrame, rules: list[tuple[str, str]], expansions: Column, settings: Settings) -> DataFrame:
-    """New messages (with pairs) and their best texts on both tracks: plain, aliased, label, confidence, terse."""
+def skeletons(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Adds skeleton, regions, terse (the compressed skeleton) and coded (with codes for known phrases), all functions of ``content`` and the rules."""
     out = regions.extract(rows, "content")
     out = out.withColumn("terse", phrases.compress("skeleton"))
-    out = out.withColumn("coded", dictionary.substitute("terse", rules))
-    out = out.withColumn("coded", F.when(F.col("coded") != F.col("terse"), dictionary.bundle(F.col("coded"))).otherwise(F.col("coded")))
-    out = out.withColumn("coded", dictionary.alias_entities(F.col("coded"), F.col("pairs"), False))
+    return bundled(out.withColumn("coded", dictionary.substitute("terse", rules)))
+
+
+def bundled(rows: DataFrame) -> DataFrame:
+    """Runs of the bundle's members become its code where something was coded at all."""
+    return rows.withColumn("coded", F.when(F.col("coded") != F.col("terse"), dictionary.bundle(F.col("coded"))).otherwise(F.col("coded")))
+
+
+def candidates(rows: DataFrame, rules: list[tuple[str, str]], expansions: Column, settings: Settings) -> DataFrame:
+    """New messages (with pairs) and their best texts on both tracks: plain, aliased, label, confidence, terse."""
+    return judged(skeletons(rows, rules), expansions, settings)
+
+
+def judged(rows: DataFrame, expansions: Column, settings: Settings, size: Callable[[Column], Column] = estimate) -> DataFrame:
+    """Rows of ``skeletons`` with tokens and pairs: each track's text, if it verifies and is worth it. ``size`` counts tokens."""
+    out = rows.withColumn("coded", dictionary.alias_entities(F.col("coded"), F.col("pairs"), False))
     whole = F.map_concat(F.map_from_entries(F.transform(F.filter("pairs", lambda p: ~F.map_contains_key(expansions, p["code"])), lambda p: F.struct(p["code"], p["name"]))), expansions)
     out = out.withColumn("expansions", whole)
     for name, skeleton in (("terse", "terse"), ("alias", "coded")):
         out = out.withColumn(f"{name}_text", regions.restore(F.col(skeleton), F.col("regions")))
         out = out.withColumn("decoded", dictionary.expand(F.col(f"{name}_text"), F.col("expansions")))
         out = out.withColumn(f"{name}_verdict", verifier.verify(F.col("content"), F.col("decoded")))
-        out = out.withColumn(f"{name}_tokens", estimate(F.col(f"{name}_text")))
+        out = out.withColumn(f"{name}_tokens", size(F.col(f"{name}_text")))
         saved = F.col("tokens") - F.col(f"{name}_tokens")
         worth = (saved >= settings.min_savings_abs) | (saved / F.greatest(F.lit(1), F.col("tokens")) * 100 >= settings.min_savings_pct)
         out = out.withColumn(f"{name}_ok", F.coalesce(F.col(f"{name}_text").isNotNull() & F.col(f"{name}_verdict.ok") & (F.col(f"{name}_verdict.confidence") >= settings.min_confidence) & worth & (F.col(f"{name}_tokens") < F.col("tokens")), F.lit(False)))
@@ -151,14 +171,18 @@ def decided(req: DataFrame, settings: Settings, definitions: Column, provider: s
     req = req.join(placed, REQUEST, "left").withColumn("used", F.coalesce("in_order", "used")).drop("in_order")
     defined = dictionary.bootstrap_for(F.col("used"), definitions, F.lit(version)) if settings.inject_bootstrap else F.lit("")
     ent = F.when(F.arrays_overlap(F.coalesce("entity_codes", F.array().cast("array<string>")), F.col("mentioned")), F.col("entity_block"))
-    req = req.withColumn("block", F.concat_ws("\n", F.when(defined != "", defined), ent))
+    return priced(req.withColumn("block", F.concat_ws("\n", F.when(defined != "", defined), ent)), settings, provider)
+
+
+def priced(req: DataFrame, settings: Settings, provider: str, size: Callable[[Column], Column] = estimate) -> DataFrame:
+    """Requests with their block, digest (and its coded form) and the tokens of both tracks: which set ships, and the report."""
     turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("req_no"))
     previous = F.lag("block").over(Window.partitionBy("conv_id").orderBy("req_no"))
-    req = req.withColumns({"turn": turn, "overhead": estimate(F.col("block")), "previous": previous})
+    req = req.withColumns({"turn": turn, "overhead": size(F.col("block")), "previous": previous})
     cached = (F.col("block") != "") & F.lit(provider != "ollama") & ((F.col("turn") >= 2) | F.coalesce(F.col("block") == F.col("previous"), F.lit(False)))
     req = req.withColumn("effective", effective_overhead(F.col("overhead"), cached, settings.cache_discount))
     req = req.withColumns({
-        "total_alias": F.coalesce("alias_tokens", F.lit(0)) + estimate(text("digest_alias")), "total_plain": F.coalesce("plain_tokens", F.lit(0)) + estimate(text("digest")),
+        "total_alias": F.coalesce("alias_tokens", F.lit(0)) + size(text("digest_alias")), "total_plain": F.coalesce("plain_tokens", F.lit(0)) + size(text("digest")),
     })
     req = req.withColumn("aliases_ship", F.col("total_plain") > F.col("total_alias") + F.col("effective"))
     ships = F.col("aliases_ship")
