@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed, strings, tokens
 from palimpsest.functions.config import Settings
-from palimpsest.operators import benchmarks, dictionary, folding, metrics, phrases, regions, replies, sessions, verifier
-from palimpsest.plans import derived, encode, replay, serving
+from palimpsest.operators import automaton, benchmarks, dictionary, folding, metrics, phrases, regions, replies, sessions, verifier
+from palimpsest.plans import derived, encode, intervals, replay, serving
 from palimpsest.plans.derived import quoted, re2, replace_sql, tokens_sql
 from palimpsest.sources import chat
 from palimpsest.streaming.decoder import decode_stream, shared_folder
@@ -386,6 +386,41 @@ def f06(spark, sf_dir):
     return folding.compacted(kept, due, answers, 1).select("conv_id", F.col("place.ordinal").cast("long").alias("ordinal"), "line", joined_by_comma("hashes").alias("hashes"))
 
 
+_PHRASES = 20
+_SCOPED_SQL = rf"""{WITH}, raw AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS text FROM conversations),
+    al AS (SELECT conv_id % 2 AS scope, turn % 3 + 1 AS since, conv_id * 10000 + turn * 100 + k AS number, lower(substr(text, CAST(1 + k * 9 AS BIGINT), 14)) AS phrase FROM raw, range(0, {_PHRASES}) r(k)),
+    ok AS (SELECT * FROM al WHERE regexp_full_match(phrase, '[a-z]+( [a-z]+)*') AND length(phrase) >= 12),
+    hit AS (SELECT p.conv_id, p.idx, list(phrase || '|K' || number ORDER BY length(phrase) DESC, number, phrase) AS forms FROM prompts p JOIN ok ON ok.scope = p.conv_id % 2 AND ok.since <= p.idx % 3 + 1 AND contains(lower(p.content), phrase) GROUP BY ALL)
+    SELECT conv_id, idx, CASE WHEN forms IS NULL THEN content ELSE list_reduce(list_prepend(content, forms), lambda t, f: regexp_replace(t, '(?i)' || split_part(f, '|', 1), split_part(f, '|', 2), 'g')) END AS out FROM prompts LEFT JOIN hit USING (conv_id, idx)"""
+
+
+def scoped_aliases(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Aliases of two scopes, phrases cut from the conversations, and three generations each of which knows more of them."""
+    raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(strings.text("text"), r"[^\x00-\x7F]", "x").alias("text"), F.explode(F.sequence(F.lit(0), F.lit(_PHRASES - 1))).alias("k"))
+    cut = raw.select((F.col("conv_id") % 2).cast("string").alias("scope"), (F.col("turn") % 3 + 1).alias("since"), F.concat(F.lit("K"), (F.col("conv_id") * 10000 + F.col("turn") * 100 + F.col("k")).cast("string")).alias("code"), F.lower(F.expr("substr(text, 1 + k * 9, 14)")).alias("expansion"))
+    cut = cut.filter(F.col("expansion").rlike("^[a-z]+( [a-z]+)*$") & (F.length("expansion") >= 12))
+    aliases = cut.select("scope", "code", "expansion", F.array("expansion").alias("surface_forms"), F.lit(None).cast("array<string>").alias("members"))
+    generations = cut.select("scope", "code", F.explode(F.sequence(F.col("since"), F.lit(3))).alias("version")).groupBy("scope", "version").agg(F.collect_list("code").alias("codes"))
+    return aliases, generations
+
+
+@query("a18_scoped_codes", _SCOPED_SQL)
+def a18_scoped(spark, sf_dir):
+    """Every prompt coded by the dictionary of its scope and generation: thousands of forms, found by an automaton each."""
+    known = automaton.Dictionary.scoped(*scoped_aliases(spark, sf_dir))
+    rows = derived.prompts(spark, sf_dir).withColumns({"scope": (F.col("conv_id") % 2).cast("string"), "version": F.col("idx") % 3 + 1})
+    return known.coded(rows, "content", "out").select("conv_id", "idx", "out")
+
+
+@query("a18_scoped_replay")
+def a18_replay(spark, sf_dir):
+    """Every request of every conversation, encoded with the dictionary of its scope and of the generation that is current then."""
+    p = derived.prompts(spark, sf_dir)
+    asked = replay.requests(p).withColumns({"scope": (F.col("conv_id") % 2).cast("string"), "version": F.least(F.lit(3), F.col("req_no"))})
+    _, req = intervals.encoded(p, asked, Settings(mode="BALANCED"), automaton.Dictionary.scoped(*scoped_aliases(spark, sf_dir)))
+    return req.select("conv_id", "req_no", "scope", "version", "original_tokens", "encoded_tokens", "dict_overhead", "eff_overhead", "aliases_ship", joined(F.col("used")).alias("used"))
+
+
 # --- requests ----------------------------------------------------------------------------------------------
 
 
@@ -425,7 +460,11 @@ def c14(spark, sf_dir):
 
 
 def _encoded(spark, sf_dir, **settings):
-    return encode.encode(final(spark, sf_dir), Settings(**settings))
+    """(message rows, request rows) of one request per conversation that sends everything."""
+    p = derived.prompts(spark, sf_dir)
+    asked = replay.final_requests(p)
+    states, req = intervals.encoded(p, asked, Settings(**settings))
+    return intervals.at_requests(states, asked), req
 
 
 _SUMS_SQL = """s AS (SELECT o_custkey AS conv_id, o_orderkey AS req_no, o_orderkey % 300 AS original, greatest(0, o_orderkey % 300 - o_orderkey % 40) AS plain, greatest(0, o_orderkey % 300 - o_orderkey % 40 - o_custkey % 90) AS alias,
@@ -796,7 +835,7 @@ def b04(spark, sf_dir):
 def b04_encoded(spark, sf_dir):
     """Every request of every conversation, encoded: per request original, encoded and effective savings."""
     p = derived.prompts(spark, sf_dir)
-    _, req = encode.encode(replay.replayed(p, replay.requests(p)).drop("last_idx"), Settings())
+    _, req = intervals.encoded(p, replay.requests(p), Settings())
     return req.select("conv_id", "req_no", "original_tokens", "encoded_tokens", "dict_overhead", "eff_overhead", "saved", "saved_effective", "fallback_reason")
 
 

@@ -36,6 +36,12 @@ REGIONS = (
     ("filename", r"(?Ui)\b[\w-]+\.(?:py|js|ts|tsx|jsx|json|yaml|yml|toml|md|txt|csv|xml|html|css|sql|sh|ps1|bat|exe|dll|so|rs|go|java|c|cpp|h|hpp|ipynb|lock|env|cfg|ini)\b"),
 )
 
+#: What every match of a kind holds.
+REGION_SIGNS = {
+    "code_fence": "```", "json_block": "{", "xml_block": "</", "inline_code": "`", "url": "://", "email": "@", "win_path": ":", "unc_path": "\\\\", "posix_path": "/", "uuid": "-",
+    "env_assign": "=", "regex_lit": "/", "semver": ".", "date": "-", "identifier": "_", "dotted_call": ".", "filename": ".",
+}
+
 # --- fixed values: phrases deleted, then rewritten, in order --------------------------------
 DELETED = (
     r"\bplease\b,?\s*", r"\bkindly\s+", r"\bjust\s+(?=go|make|do|run|check|take|try|add|use)", r"\bgo ahead and\s+", r"\bfeel free to\s+",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,8 +55,42 @@ def literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def folded(s: str) -> str:
+    """Case folded character by character, as matching without case compares them; lengths stay."""
+    one = lambda c, d: d if len(d) == 1 else c
+    return "".join(one(c, one(c, c.upper()).lower()) for c in s)
+
+
+def required(pattern: str) -> str:
+    """The longest literal that every match of a pattern holds, case folded; empty if there is none to be sure of."""
+    if pattern.startswith(r"\Q") and pattern.endswith(r"\E"):
+        return folded(pattern[2:-2])
+    try:
+        parts = re._parser.parse(re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern))
+    except re.error:
+        return ""
+    runs, run = [], ""
+    for op, value in parts:
+        if op is re._constants.LITERAL:
+            run += chr(value)
+        else:
+            runs, run = [*runs, run], ""
+    return folded(max([*runs, run], key=len))
+
+
 def chained(c: str | Column, rules) -> Column:
-    """Sequential replacements (pattern, replacement). A column's name gives one SQL text, which is built at once and not call by call."""
-    if isinstance(c, str):
-        return F.expr(reduce(lambda out, rule: f"regexp_replace({out}, {literal(rule[0])}, {literal(rule[1])})", rules, f"`{c}`"))
-    return reduce(lambda out, rule: F.regexp_replace(out, rule[0], rule[1]), rules, c)
+    """Sequential replacements (pattern, replacement). A column's name gives one SQL text, which is built at once and not call by call.
+
+    With a name, the rules run only on texts that hold a literal which some rule's matches need. Without one, no rule
+    can begin, so the text stays. Rules without such a literal always run, after the others or before: a chain is cut
+    into stretches of guarded and unguarded rules, and guards are given to a leading stretch alone.
+    """
+    if not isinstance(c, str):
+        return reduce(lambda out, rule: F.regexp_replace(out, rule[0], rule[1]), rules, c)
+    rules = list(rules)
+    lead = next((k for k, rule in enumerate(rules) if len(required(rule[0])) < 2), len(rules))
+    apply = lambda out, some: reduce(lambda o, rule: f"regexp_replace({o}, {literal(rule[0])}, {literal(rule[1])})", some, out)
+    if lead < 8:
+        return F.expr(apply(f"`{c}`", rules))
+    signs = "|".join(sorted({re.escape(required(p)) for p, _ in rules[:lead]}))
+    return F.expr(f"if(rlike(`{c}`, {literal('(?iu)' + signs)}), {apply(f'`{c}`', rules)}, {apply(f'`{c}`', rules[lead:])})")

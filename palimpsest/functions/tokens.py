@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,5 +86,15 @@ def counted(df: DataFrame, column: str, model: str, files: dict[str, tuple[str,
     return rows.withColumns({"tokens": F.when(there, F.col("__size")).otherwise(estimate(F.col(column))), "exact": there}).drop("__size")
 
 
+def sized(files: dict[str, tuple[str, str]]) -> Callable[[Column], Column]:
+    """A counter for whole plans: the size of a text for the ``profile`` of its row, exact where ``files`` has its vocabulary, else the estimate."""
+    known = [n for n, (_, _, kind, _) in _by_name().items() if kind != "estimate" and n in files]
+    if not known:
+        return estimate
+    exact = vocabulary_counter({n: files[n] for n in known})
+    there = F.col("profile").isin(*known)
+    return lambda c: F.when(c.isNull(), F.lit(None).cast("long")).when(there, exact(F.col("profile"), c)).otherwise(estimate(c))
+
+
 def _by_name() -> dict[str, tuple]:
     return {p[1]: p for p in fixed.PROFILES}

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.config import Settings
+from palimpsest.functions.strings import folded, required
 from palimpsest.operators import dictionary
 
 #: Texts of one scope and generation that one task codes.
@@ -28,38 +29,16 @@ TEXTS = 50_000
 _HITS = "array<struct<rank:int,pattern:string,code:string>>"
 
 
-def folded(s: str) -> str:
-    """Case folded character by character, as matching without case compares them; lengths stay."""
-    one = lambda c, d: d if len(d) == 1 else c
-    return "".join(one(c, one(c, c.upper()).lower()) for c in s)
-
-
-def required(form: str) -> str:
-    """The longest literal that every match of a form holds, case folded; empty if there is none to be sure of."""
-    if form.startswith(r"\Q") and form.endswith(r"\E"):
-        return folded(form[2:-2])
-    try:
-        parts = re._parser.parse(form)
-    except re.error:
-        return ""
-    runs, run = [""], ""
-    for op, value in parts:
-        if op is re._constants.LITERAL:
-            run += chr(value)
-        else:
-            runs, run = [*runs, run], ""
-    return folded(max([*runs, run], key=len))
-
-
 class Finder:
-    """The forms (rank, pattern, code, literal) of one scope and generation."""
+    """The forms (rank, pattern, code) of one scope and generation."""
 
-    def __init__(self, forms: list[tuple[int, str, str, str]]):
+    def __init__(self, forms: list[tuple[int, str, str]]):
         import ahocorasick
 
-        self.forms, self.always = forms, [k for k, (_, _, _, literal) in enumerate(forms) if not literal or re.search(r"[kpe]\d", literal)]
+        literals = [required(pattern) for _, pattern, _ in forms]
+        self.forms, self.always = forms, [k for k, literal in enumerate(literals) if not literal or re.search(r"[kpe]\d", literal)]
         by_literal: dict[str, list[int]] = {}
-        for k, (_, _, _, literal) in enumerate(forms):
+        for k, literal in enumerate(literals):
             if literal:
                 by_literal.setdefault(literal, []).append(k)
         self.words = ahocorasick.Automaton()
@@ -75,15 +54,15 @@ class Finder:
         if self.any:
             for _, ks in self.words.iter(folded(text)):
                 hit.update(ks)
-        return sorted(self.forms[k][:3] for k in hit)
+        return sorted(self.forms[k] for k in hit)
 
 
 def hits(texts: DataFrame, forms: DataFrame, each: int = TEXTS) -> DataFrame:
-    """scope, version, key, hits of the texts (scope, version, key, text) on which a form (scope, version, rank, pattern, code, literal) may match."""
+    """scope, version, key, hits of the texts (scope, version, key, text) on which a form (scope, version, rank, pattern, code) may match."""
     counts = texts.groupBy("scope", "version").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("tasks"))
-    dealt = texts.join(counts, ["scope", "version"]).select("scope", "version", F.pmod(F.xxhash64("key"), F.col("tasks")).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(0).alias("rank"), F.lit("").alias("pattern"), F.lit("").alias("code"), F.lit("").alias("literal"), "key", "text")
+    dealt = texts.join(counts, ["scope", "version"]).select("scope", "version", F.pmod(F.xxhash64("key"), F.col("tasks")).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(0).alias("rank"), F.lit("").alias("pattern"), F.lit("").alias("code"), "key", "text")
     spread = forms.join(counts, ["scope", "version"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    spread = spread.select("scope", "version", "part", F.lit(0).alias("kind"), "rank", "pattern", "code", "literal", F.lit("").alias("key"), F.lit("").alias("text"))
+    spread = spread.select("scope", "version", "part", F.lit(0).alias("kind"), "rank", "pattern", "code", F.lit("").alias("key"), F.lit("").alias("text"))
     place = ["scope", "version", "part"]
     both = spread.unionByName(dealt).repartition(*place).sortWithinPartitions(*place, "kind", "rank")
 
@@ -96,7 +75,7 @@ def hits(texts: DataFrame, forms: DataFrame, each: int = TEXTS) -> DataFrame:
                 if (r["scope"], r["version"], r["part"]) != where:
                     where, forms_, finder = (r["scope"], r["version"], r["part"]), [], None
                 if r["kind"] == 0:
-                    forms_.append((r["rank"], r["pattern"], r["code"], r["literal"]))
+                    forms_.append((r["rank"], r["pattern"], r["code"]))
                     continue
                 if finder is None:
                     finder, forms_ = Finder(forms_), []
@@ -108,19 +87,6 @@ def hits(texts: DataFrame, forms: DataFrame, each: int = TEXTS) -> DataFrame:
     return both.mapInArrow(run, f"scope string, version long, key string, hits {_HITS}")
 
 
-def with_literals(table: DataFrame) -> DataFrame:
-    """Forms (form) with ``literal``, what each match of them must hold."""
-
-    @F.pandas_udf("string")
-    def literal(forms: Iterator) -> Iterator:  # forms are few beside texts
-        import pandas as pd
-
-        for batch in forms:
-            yield pd.Series([required(f) for f in batch], dtype="object")
-
-    return table.withColumn("literal", literal("form"))
-
-
 @dataclass(frozen=True)
 class Dictionary:
     """What texts are coded by. ``rules``: one chain for all rows; or ``forms`` by scope and version. ``lines`` (scope, version, code, line) are the definitions, ``meanings`` (scope, code, expansion) what codes stand for; without a scope in ``rules`` dictionaries, they hold for all."""
@@ -143,7 +109,7 @@ class Dictionary:
         known = aliases.join(usable, ["scope", "code"])
         forms = known.select("scope", "version", "code", F.explode("surface_forms").alias("form"))
         order = Window.partitionBy("scope", "version").orderBy(F.length("form").desc(), F.substring("code", 1, 1), F.substring("code", 2, 20).cast("int"), "form")
-        forms = with_literals(forms.withColumn("rank", F.row_number().over(order))).withColumn("pattern", F.concat(F.lit("(?iU)"), F.col("form")))
+        forms = forms.withColumns({"rank": F.row_number().over(order), "pattern": F.concat(F.lit("(?iU)"), F.col("form"))})
         return Dictionary(known.select("scope", "version", "code", dictionary.definition().alias("line")), aliases.select("scope", "code", "expansion"), None, forms)
 
     def coded(self, df: DataFrame, source: str, out: str) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.functions.strings import found, literal, text
+from palimpsest.functions.strings import found, literal
 
 _EMPTY = "array<struct<kind:string,text:string>>"
+#: Kinds in one selection: each is three columns that name earlier ones, and the analyzer resolves a bounded number of them at a time.
+TOGETHER = 6
 
 
 def count_of(c: Column, kind: str) -> Column:
@@ -17,18 +19,25 @@ def count_of(c: Column, kind: str) -> Column:
 
 
 def extract(df: DataFrame, column: str, skeleton: str = "skeleton", regions: str = "regions") -> DataFrame:
-    """Adds the skeleton (numbered placeholders) and the regions. Kinds are applied one after the other; later ones may swallow earlier placeholders."""
-    out = df.withColumn(skeleton, F.replace(text(column), F.lit(fixed.OPEN), F.lit(fixed.OPEN + fixed.ESCAPE))).withColumn(regions, F.array().cast(_EMPTY))
-    for kind, pattern in fixed.REGIONS:
-        matches = f"regexp_extract_all(`{skeleton}`, {literal(pattern)}, 0)"
-        number = f"concat('{fixed.OPEN}', cast(size(`{regions}`) + i as string), '{fixed.CLOSE}')"
-        pieces = f"transform(split(`{skeleton}`, {literal(pattern)}, -1), (piece, i) -> concat(piece, if(get({matches}, i) is null, '', {number})))"
-        # both new columns come from the old ones
-        out = out.withColumns({
-            skeleton: F.expr(f"if(size({matches}) = 0, `{skeleton}`, array_join({pieces}, ''))"),
-            regions: F.expr(f"concat(`{regions}`, transform({matches}, t -> named_struct('kind', '{kind}', 'text', t)))"),
-        })
-    return out
+    """Adds the skeleton (numbered placeholders) and the regions. Kinds are applied one after the other; later ones may swallow earlier placeholders.
+
+    Matches, skeleton and regions of each kind are columns of their own, built in one selection whose later columns name
+    earlier ones. A pattern runs only on texts that hold what each of its matches must.
+    """
+    old = [f"`{c}`" for c in df.columns if c not in (skeleton, regions)]
+    out = df.selectExpr(*old, f"replace(coalesce(`{column}`, ''), '{fixed.OPEN}', '{fixed.OPEN}{fixed.ESCAPE}') as __s0", f"cast(array() as {_EMPTY}) as __r0")
+    for first in range(0, len(fixed.REGIONS), TOGETHER):
+        steps, k = [], first
+        for k, (kind, pattern) in enumerate(fixed.REGIONS[first : first + TOGETHER], first):
+            s, r, m = f"__s{k}", f"__r{k}", f"__m{k}"
+            matches, sign = f"regexp_extract_all({s}, {literal(pattern)}, 0)", fixed.REGION_SIGNS.get(kind)
+            steps.append(f"if(contains({s}, {literal(sign)}), {matches}, cast(array() as array<string>)) as {m}" if sign else f"{matches} as {m}")
+            number = f"concat('{fixed.OPEN}', cast(size({r}) + i as string), '{fixed.CLOSE}')"
+            pieces = f"transform(arrays_zip(split({s}, {literal(pattern)}, -1), {m}), (z, i) -> concat(z['0'], if(z['{m}'] is null, '', {number})))"
+            steps.append(f"if(size({m}) = 0, {s}, array_join({pieces}, '')) as __s{k + 1}")
+            steps.append(f"if(size({m}) = 0, {r}, concat({r}, transform({m}, t -> named_struct('kind', '{kind}', 'text', t)))) as __r{k + 1}")
+        out = out.selectExpr(*old, f"__s{first}", f"__r{first}", *steps).selectExpr(*old, f"__s{k + 1}", f"__r{k + 1}")
+    return out.selectExpr(*old, f"__s{len(fixed.REGIONS)} as `{skeleton}`", f"__r{len(fixed.REGIONS)} as `{regions}`")
 
 
 def lost(skeleton: Column, regions: Column) -> Column:

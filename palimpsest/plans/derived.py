@@ -22,9 +22,15 @@ OPENINGS = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt to all of them before costly work on its texts; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, idx, role, content, has_tool_calls."""
-    raw = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    raw = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     number = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(OPENINGS)))
     opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (number + 1).cast("int"))
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x")

@@ -156,7 +156,7 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
     known = known if known is not None else Dictionary.seeded(spark, settings)
     for column, default in (("scope", "global"), ("version", 1), ("profile", "")):
         asked = asked if column in asked.columns else asked.withColumn(column, F.lit(default))
-    rows = spans(messages, asked, settings)
+    rows = written(spans(messages, asked, settings))
     end = F.col("last_req") + 1
     until_new = F.coalesce("old_from", end)
     is_new = (F.col("content") != "") & (F.col("from_req") < until_new)
@@ -168,7 +168,7 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
     made = written(encode.skeletons(texts, []).select("key", "profile", F.col("whole").alias("content"), "tokens", "skeleton", "regions", "terse", sessions.entity_names(F.col("whole")).alias("names")))
     said = written(encode.turn_lines(flags.filter("old").select("key", "content").dropDuplicates(["key"]).repartition(parts, "key"), ["key"]).select("key", "pos", "line")).filter("line != ''")
 
-    rows = rows.drop("content").join(made.select("key", "profile", "content", "tokens", "names"), ["key", "profile"])
+    rows = written(rows.join(made.select("key", "profile", "tokens", "names"), ["key", "profile"]))
     entities = written(learnt(rows))
 
     # new texts: coded by their scope's generation, then judged for each set of entities that touches them
