@@ -121,17 +121,20 @@ _ORDER = ("hash", "id")
 _LAST = (1 << 63) - 1
 
 
-def sized(df: DataFrame, id_col: str, text_col: str, sources_col: str) -> DataFrame:
-    """Per row: id, sources (its pattern), size (words of the whole text)."""
+def sized(df: DataFrame, id_col: str, text_col: str, sources_col: str, carry: str | None = None) -> DataFrame:
+    """Per row: id, sources (its pattern), size (words of the whole text), and the column ``carry`` as it is."""
+    names = (id_col, text_col, sources_col, *([carry] if carry else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from as_batches({
-                "id": (b.column(b.schema.get_field_index(id_col)), pa.int64()), "sources": (b.column(b.schema.get_field_index(sources_col)), pa.list_(pa.string())),
+                "id": (b.column(0), pa.int64()), "sources": (b.column(2), pa.list_(pa.string())),
                 "size": ([len((t or b"").split()) for t in texts(b, text_col)], pa.int64()),  # bytes.split cuts at exactly the six ASCII white spaces
+                **({carry: (b.column(3), b.column(3).type)} if carry else {}),
             })
 
-    return arrow_map(df, (id_col, text_col, sources_col), run, "id long, sources array<string>, size long")
+    kept = f", `{carry}` {df.schema[carry].dataType.simpleString()}" if carry else ""
+    return arrow_map(df, names, run, "id long, sources array<string>, size long" + kept)
 
 
 def by_code_point(names: set[str | None]) -> list[str | None]:
@@ -200,15 +203,16 @@ def first_fit(docs: DataFrame, gaps: dict[int, int], fill: int = FILL) -> tuple[
 
 def mixed(
     df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 17,
-    id_col: str = "doc_id", text_col: str = "text", sources_col: str = "sources",
+    id_col: str = "doc_id", text_col: str = "text", sources_col: str = "sources", carry: str | None = None,
 ) -> DataFrame:
     """Per row: id, sources, size, source_size and target (both of the row's first source), repeats (how often it is taken), taken (words).
 
-    ``sources_col`` is an array of the sources that a document belongs to.
+    ``sources_col`` is an array of the sources that a document belongs to; none at all if null. ``carry`` names a column that
+    comes out with each row, so that nothing has to be joined back by ids, which rows may share.
     ``weights`` repeat over the sources in code point order.
     """
     spark = df.sparkSession
-    rows = stored(sized(df, id_col, text_col, sources_col).withColumn("hash", F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1)))
+    rows = stored(sized(df.withColumn(sources_col, F.coalesce(F.col(sources_col), F.array().cast("array<string>"))), id_col, text_col, sources_col, carry).withColumn("hash", F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1)))
     found = rows.groupBy("sources").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -240,4 +244,4 @@ def mixed(
     inside = F.exists("spans", lambda s: (at > low(s)) & (at <= high(s)) & (F.col("size") <= s["most"]))
     extra = F.when(F.coalesce(inside, F.lit(False)) | F.coalesce("single", F.lit(False)), 1).otherwise(0)
     times = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + extra).cast("long")
-    return out.select(F.col("id").alias(id_col), "sources", "size", "source_size", "target", times.alias("repeats"), (times * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "sources", "size", "source_size", "target", times.alias("repeats"), (times * F.col("size")).alias("taken"), *([F.col(carry)] if carry else []))

@@ -64,3 +64,21 @@ def test_stages_on_odd_rows(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_mix_carries_rows(spark):
+    """Rows that share an id, or have none, are taken each by its own plan: none is multiplied, none comes in for another."""
+    rows = [(7, "w " * 100, "a"), (7, "x", "a"), (7, "y", "a"), (None, "v " * 60, "b"), (None, "u", "b"), (None, "u", "b"), *[(i, "t " * (i % 40), "c") for i in range(300)], (5, "other " * 9, "c")]
+    docs = spark.createDataFrame([(i, t, None, s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs = docs.withColumn("row", F.lit("own")).withColumn("sources", F.lit("own"))
+    mixed = dict(corpus_pipeline.STAGES)["source_mixing"](spark, docs, SF)
+    assert mixed.columns == docs.columns
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in mixed.collect()]
+    there, taken = Counter(rows), Counter(kept)
+    assert set(taken) <= set(there) and all(n <= 2 * there[k] for k, n in taken.items())
+    words = Counter()
+    for _, t, s in kept:
+        words[s] += len(t.split())
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    total = sum(sizes.values())
+    assert all(words[s] <= 2 * sizes[s] for s in "abc") and abs(sum(words.values()) - 1.5 * total) <= 0.05 * total
