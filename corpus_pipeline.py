@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, language_id, mixing, near_dedup, pieces
-from palimpsest.llm.common import packed, read, stored
+from palimpsest.llm.common import read, stored
 from palimpsest.llm.queries import PIECES_FILE, SEED
 
 
@@ -33,11 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a document taken twice is two rows."""
-    plan = mixing.mixed(docs.select("doc_id", "text", F.array("source").alias("sources")))
-    # rows with one id but different sources are taken each by its own source's share
-    taken = plan.filter("repeats > 0").select(F.col("doc_id").alias("id"), F.col("sources")[0].alias("name"), "repeats").distinct()
-    rows = packed(docs).join(taken, F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("name")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("row.*")
+    rows = docs.select("doc_id", "text", F.array("source").alias("sources"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = mixing.mixed(rows, carry="row").filter("repeats > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("row.*")
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
