@@ -8,6 +8,13 @@ thresholds and no shorter rule over some of its tokens is as confident. Kept
 rules form an inverted index from token to rule: a page's tokens are looked up,
 and a rule fits when all of its tokens were found.
 
+Tokens that occur on exactly the same labelled pages (the constant parts of a
+site's URLs, say) are one item for the miner, named by its smallest token, so that
+it doesn't list all their subsets: n such tokens give one item, not 2^n sets. Rules
+over one of them hold for any of them, so a page has the item if it has one of
+its tokens. Whether a shorter rule is as confident is found level by level: a set
+looks at the sets with one item less, and takes over the best that those know.
+
 Given rules (host and path prefixes) go first; the longest that fits wins.
 Mined rules decide about the other pages: blocked if one fits, else allowed.
 
@@ -19,8 +26,10 @@ given rules decide alone. Repeated rows get the same verdict.
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -98,30 +107,67 @@ def labelled(pages: DataFrame, labels: DataFrame, rules: list[Rule]) -> DataFram
     return found.select("page_id", "url", (F.coalesce("by_label", F.lit(False)) | F.coalesce("by_rule", F.lit(False))).alias("bad"))
 
 
-def mine(known: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST_PAGES) -> DataFrame:
-    """Rules (id, tokens, n, confidence) from labelled pages (url, bad). Their number depends on the support, not on the corpus."""
-    baskets = known.select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).filter(F.size("items") > 0)
-    baskets = stored(baskets)  # read twice by the miner
-    support = max(support, min(1.0, least / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("tokens"), "confidence")
-    rules = rules.withColumn("n", F.size("tokens")).withColumn("id", F.xxhash64("tokens"))
-    index = rules.select("id", "n", "confidence", F.explode("tokens").alias("token"))
-    # a rule goes if a shorter one over some of its tokens is as confident: found by the tokens that they share
-    short = index.select(F.col("id").alias("short_id"), F.col("n").alias("short_n"), F.col("confidence").alias("short_confidence"), "token")
-    redundant = (
-        index.join(short, "token").filter("short_n < n and short_confidence >= confidence")
-        .groupBy("id", "short_id", "short_n").agg(F.count(F.lit(1)).alias("found")).filter("found = short_n").select("id").distinct()
-    )
-    return rules.join(redundant, "id", "left_anti")
-
-
-def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct URLs of ``urls`` that a mined rule fits: (url, mined), the smallest rule text being named."""
-    index = rules.select("id", "n", F.array_join("tokens", " ").alias("text"), F.explode("tokens").alias("token"))
+def items(known: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(baskets, classes): per labelled page its items (array, with ``=bad`` where it is), and token, item of all tokens on ``least`` pages or more. Tokens of equal page sets share an item."""
+    rows = stored(known.select(F.monotonically_increasing_id().alias("row"), "bad", url_tokens(F.col("url")).alias("tokens")))
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    # pages as sums of two hashes: equal for equal sets, whatever their order, and combined before the shuffle
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(20,0)")).alias(f"mark{seed}")
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), mark(1), mark(2)).filter(F.col("n") >= least)
+    named = counts.groupBy("n", "mark1", "mark2").agg(F.min("token").alias("item"))
+    classes = stored(counts.join(named, ["n", "mark1", "mark2"]).select("token", "item"))
+    found = each.join(classes, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    none = F.array().cast("array<string>")
+    baskets = rows.join(found, "row", "left").select(F.concat(F.coalesce("items", none), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none)).alias("items"))
+    return baskets, classes
+
+
+def shortest(sets: DataFrame) -> DataFrame:
+    """Of sets (tokens, n, confidence, rule: whether thresholds are reached) the rules that no shorter rule over some of their tokens matches in confidence.
+
+    Every subset of a set is among them, so ``best``, the highest confidence of a rule inside a set, goes from level to level.
+    """
+    own = F.when(F.col("rule"), F.col("confidence"))
+    sets = stored(sets.withColumn("id", F.xxhash64("tokens")))
+    depth = sets.agg(F.max("n")).first()[0] or 0
+    below, kept = None, []
+    for n in range(1, depth + 1):
+        level = sets.filter(F.col("n") == n)
+        if below is None:
+            level = level.withColumn("inside", F.lit(None).cast("double"))
+        else:
+            parts = level.select("id", F.explode(F.transform("tokens", lambda t: F.xxhash64(F.array_remove(F.col("tokens"), t)))).alias("part"))
+            inside = parts.join(below.select(F.col("id").alias("part"), "best"), "part").groupBy("id").agg(F.max("best").alias("inside"))
+            level = level.join(inside, "id", "left")
+        below = stored(level.withColumn("best", F.greatest(own, "inside")))
+        kept.append(below.filter("rule and (inside is null or inside < confidence)").select("id", "tokens", "n", "confidence"))
+    if not kept:
+        return sets.select("id", "tokens", "n", "confidence")
+    return reduce(DataFrame.unionByName, kept)
+
+
+def mine(known: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST_PAGES) -> tuple[DataFrame, DataFrame]:
+    """Rules (id, tokens: their items, n, confidence) from labelled pages (url, bad), and the items (token, item). Their number depends on the support, not on the corpus."""
+    total = known.count()
+    share = max(support, min(1.0, least / max(1, total)))
+    baskets, classes = items(known, math.ceil(share * total))
+    baskets = stored(baskets.filter(F.size("items") > 0))  # read twice by the miner
+    share = max(support, min(1.0, least / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=0.0).fit(baskets)
+    sets = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    reached = (F.col("confidence") >= confidence) & (F.col("lift") >= lift)
+    return shortest(sets.select(F.array_sort("antecedent").alias("tokens"), F.size("antecedent").alias("n"), "confidence", reached.alias("rule"))), classes
+
+
+def fitting(urls: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct URLs of ``urls`` that a mined rule fits: (url, mined), the smallest rule text being named, in the URL's own tokens."""
+    index = rules.select("id", "n", F.explode("tokens").alias("item"))
+    usable = classes.join(index.select("item").distinct(), "item", "left_semi")
     tokens = urls.select("url").distinct().withColumn("token", F.explode(url_tokens(F.col("url"))))
+    own = tokens.join(usable, "token").groupBy("url", "item").agg(F.min("token").alias("token"))
+    text = F.array_join(F.array_sort(F.collect_list("token")), " ")
     return (
-        tokens.join(index, "token").groupBy("url", "id", "n", "text").agg(F.count(F.lit(1)).alias("found"))
+        own.join(index, "item").groupBy("url", "id", "n").agg(F.count(F.lit(1)).alias("found"), text.alias("text"))
         .filter("found = n").groupBy("url").agg(F.min("text").alias("mined"))
     )
 
@@ -130,8 +176,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[Rule], **thresholds:
     """Per page: page_id, host, path, rule (a given rule's text or null), verdict, mined (a mined rule's tokens or null)."""
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     base = base.withColumn("given", best_rule(F.col("host"), F.col("path"), rules))
-    mined = mine(labelled(pages, labels, rules), **thresholds)
-    found = fitting(pages, mined).withColumnRenamed("url", "__url")
+    found = fitting(pages, *mine(stored(labelled(pages, labels, rules)), **thresholds)).withColumnRenamed("url", "__url")
     return base.join(found, F.col("url") == F.col("__url"), "left").select(
         "page_id", "host", "path", F.col("given.rule").alias("rule"),
         F.coalesce("given.verdict", F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined",
