@@ -93,9 +93,11 @@ def t07(spark, sf_dir):
     return tokens.counted(rows, "text", "model").select("conv_id", "idx", "profile", "tokens", "exact")
 
 
-@query("t06_profiles", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {quoted(n)}, {quoted(kind)}, {str(exact).lower()})" for k, (_, n, kind, exact) in enumerate(fixed.PROFILES)) + ") t(rank, name, kind, exact)")
+@query("t06_profiles", "WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {quoted(n)}, {quoted(kind)}, {str(exact).lower()})" for k, (_, n, kind, exact) in enumerate(fixed.PROFILES)) + f") t(rank, name, kind, exact)), m AS (SELECT {_PROFILE_SQL} AS name, count(*) AS messages FROM (SELECT {_MODEL_SQL} AS model FROM conversations) GROUP BY 1) SELECT rank, name, kind, exact, coalesce(messages, 0) AS messages FROM p LEFT JOIN m USING (name)")
 def t06(spark, sf_dir):
-    return tokens.profiles(spark).select("rank", "name", "kind", "exact")
+    """All profiles, and how many messages each would count."""
+    rows = table(spark, sf_dir, "conversations").select(tokens.profile(model_column())["name"].alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("messages"))
+    return tokens.profiles(spark).join(rows, "name", "left").select("rank", "name", "kind", "exact", F.coalesce("messages", F.lit(0)).alias("messages"))
 
 
 # --- protected regions --------------------------------------------------------------------------
@@ -202,21 +204,57 @@ on_prompts("a08_find_codes", lambda c: {"codes": joined(dictionary.codes(c))}, r
 on_prompts("a09_expand", lambda c: {"out": dictionary.expand(c, dictionary.seed_expansions())}, f"{expand_sql('content')} AS out")
 
 
-@query("a01_established", "SELECT 'global' AS scope, 1 AS version, 16 AS n, " + quoted("|".join([*(c for c, _, _ in fixed.SEEDS), fixed.BUNDLE])) + " AS codes")
+_PHRASES = 20
+_ALIASES_SQL = rf"""raw AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS text FROM conversations),
+    al AS (SELECT conv_id % 2 AS scope, turn % 3 + 1 AS since, conv_id * 10000 + turn * 100 + k AS number, lower(substr(text, CAST(1 + k * 9 AS BIGINT), 14)) AS phrase FROM raw, range(0, {_PHRASES}) r(k)),
+    ok AS (SELECT * FROM al WHERE regexp_full_match(phrase, '[a-z]+( [a-z]+)*') AND length(phrase) >= 12)"""
+_SCOPED_SQL = f"""{WITH}, {_ALIASES_SQL},
+    hit AS (SELECT p.conv_id, p.idx, list(phrase || '|K' || number ORDER BY length(phrase) DESC, number, phrase) AS forms FROM prompts p JOIN ok ON ok.scope = p.conv_id % 2 AND ok.since <= p.idx % 3 + 1 AND contains(lower(p.content), phrase) GROUP BY ALL)
+    SELECT conv_id, idx, CASE WHEN forms IS NULL THEN content ELSE list_reduce(list_prepend(content, forms), lambda t, f: regexp_replace(t, '(?i)' || split_part(f, '|', 1), split_part(f, '|', 2), 'g')) END AS out FROM prompts LEFT JOIN hit USING (conv_id, idx)"""
+
+
+def cut_aliases(spark, sf_dir) -> DataFrame:
+    """Aliases of two scopes: phrases cut from the conversations; ``since`` is the first of three generations that knows them."""
+    raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(strings.text("text"), r"[^\x00-\x7F]", "x").alias("text"), F.explode(F.sequence(F.lit(0), F.lit(_PHRASES - 1))).alias("k"))
+    code = F.concat(F.lit("K"), (F.col("conv_id") * 10000 + F.col("turn") * 100 + F.col("k")).cast("string"))
+    cut = raw.select((F.col("conv_id") % 2).cast("string").alias("scope"), code.alias("code"), F.lower(F.expr("substr(text, 1 + k * 9, 14)")).alias("expansion"), (F.col("turn") % 3 + 1).alias("since"))
+    cut = cut.filter(F.col("expansion").rlike("^[a-z]+( [a-z]+)*$") & (F.length("expansion") >= 12))
+    return cut.select("scope", "code", "expansion", F.array("expansion").alias("surface_forms"), F.lit(None).cast("array<string>").alias("members"), "since")
+
+
+def scoped_aliases(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Those aliases and their generations, each of which knows more, written to a dictionary store and read from it."""
+    cut = cut_aliases(spark, sf_dir)
+    generations = cut.select("scope", "code", F.explode(F.sequence(F.col("since"), F.lit(3))).alias("version")).groupBy("scope", "version").agg(F.collect_list("code").alias("codes"))
+    folder = shared_folder(spark)
+    chat.write_dictionary(cut.drop("since"), generations, folder)
+    return chat.read_dictionary(spark, folder)
+
+
+@query("a01_established", f"WITH {_ALIASES_SQL} SELECT scope::VARCHAR AS scope, 3 AS version, count(*) AS n, md5(string_agg('K' || number, '|' ORDER BY number)) AS codes FROM ok GROUP BY scope")
 def a01(spark, sf_dir):
-    live = dictionary.active(dictionary.generation(dictionary.seeds(spark)))
-    return live.select("scope", "version", F.size("codes").alias("n"), joined(F.col("codes")).alias("codes"))
+    live = dictionary.active(dictionary.generation(scoped_aliases(spark, sf_dir)[0], 3))
+    return live.select("scope", "version", F.size("codes").cast("long").alias("n"), F.md5(joined(F.col("codes")).cast("binary")).alias("codes"))
 
 
-@query("a02_substitutable", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {quoted(code)}, {quoted(form[5:])})" for k, (form, code) in enumerate(SEED_RULES, 1)) + ") t(rank, code, form)")
+@query("a02_substitutable", f"WITH {_ALIASES_SQL} SELECT scope::VARCHAR AS scope, row_number() OVER (PARTITION BY scope ORDER BY length(phrase) DESC, number, phrase) AS rank, 'K' || number AS code, phrase AS form FROM ok")
 def a02(spark, sf_dir):
-    aliases = dictionary.seeds(spark)
-    return dictionary.substitutable(aliases, dictionary.generation(aliases)).select("rank", "code", "form")
+    aliases = scoped_aliases(spark, sf_dir)[0]
+    return dictionary.substitutable(aliases, dictionary.generation(aliases)).select("scope", F.col("rank").cast("long").alias("rank"), "code", "form")
 
 
-@query("a07_expansions", "SELECT * FROM (VALUES " + ", ".join(f"('global', {quoted(k)}, {quoted(v)})" for k, v in _LINES.items()) + ") t(scope, code, expansion)")
+@query("a07_expansions", f"WITH {_ALIASES_SQL} SELECT scope::VARCHAR AS scope, 'K' || number AS code, phrase AS expansion FROM ok")
 def a07(spark, sf_dir):
-    return dictionary.expansions(dictionary.seeds(spark)).select("scope", F.explode("expansions").alias("code", "expansion"))
+    return dictionary.expansions(scoped_aliases(spark, sf_dir)[0]).select("scope", F.explode("expansions").alias("code", "expansion"))
+
+
+@query("a16_manual", f"WITH {_ALIASES_SQL}, now AS (SELECT *, CASE WHEN number % 5 = 0 THEN 'manual ' || phrase ELSE phrase END AS e FROM ok WHERE number % 7 != 0) SELECT scope::VARCHAR AS scope, 'K' || number AS code, e AS expansion FROM now")
+def a16(spark, sf_dir):
+    """Aliases put in by hand replace those of their codes; others are taken out."""
+    aliases = scoped_aliases(spark, sf_dir)[0]
+    number = F.substring("code", 2, 20).cast("int")
+    new = aliases.filter(number % 5 == 0).withColumn("expansion", F.concat(F.lit("manual "), F.col("expansion")))
+    return dictionary.removed(dictionary.upserted(aliases, new), aliases.filter(number % 7 == 0).select("scope", "code")).select("scope", "code", "expansion")
 
 
 def document_clauses(spark, sf_dir) -> DataFrame:
@@ -265,10 +303,13 @@ def a13(spark, sf_dir):
 _BOOT = "DICT v1 (shorthand; expand mentally): " + "; ".join([*(f"{c}={e}" for c, e, _ in fixed.SEEDS), f"{fixed.BUNDLE}={'+'.join(fixed.BUNDLE_MEMBERS)}"])
 
 
-@query("a14_bootstrap", f"SELECT 'global' AS scope, 1 AS version, {quoted(_BOOT)} AS bootstrap, {tokens_sql(quoted(_BOOT))} AS tokens")
+_BOOT_SQL = "'DICT v3 (shorthand; expand mentally): ' || string_agg('K' || number || '=' || phrase, '; ' ORDER BY number)"
+
+
+@query("a14_bootstrap", f"WITH {_ALIASES_SQL}, b AS (SELECT scope, {_BOOT_SQL} AS bootstrap FROM ok GROUP BY scope) SELECT scope::VARCHAR AS scope, 3 AS version, md5(bootstrap) AS bootstrap, {tokens_sql('bootstrap')} AS tokens FROM b")
 def a14(spark, sf_dir):
-    g = dictionary.generation(dictionary.seeds(spark))
-    return g.select("scope", "version", "bootstrap", tokens.estimate(F.col("bootstrap")).alias("tokens"))
+    g = dictionary.generation(scoped_aliases(spark, sf_dir)[0], 3)
+    return g.select("scope", "version", F.md5(F.col("bootstrap").cast("binary")).alias("bootstrap"), tokens.estimate(F.col("bootstrap")).alias("tokens"))
 
 
 _DEFS_SQL = "MAP {" + ", ".join(f"{quoted(c)}: {quoted(c + '=' + e)}" for c, e, _ in fixed.SEEDS) + f", 'P1': {quoted('P1=' + '+'.join(fixed.BUNDLE_MEMBERS))}" + "}"
@@ -279,11 +320,32 @@ on_prompts(
 )
 
 
-@query("s12_import", "SELECT code, expansion FROM (VALUES " + ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in [*_LINES.items(), ("K201", "ship it")]) + ") t(code, expansion)")
+@query("s12_import", f"WITH {_ALIASES_SQL} SELECT scope::VARCHAR AS scope, 'K' || number AS code, CASE WHEN since = 3 THEN 'new ' ELSE '' END || phrase AS expansion FROM ok")
 def s12(spark, sf_dir):
-    pack = spark.createDataFrame([("global", "K201", "ship it", ["ship it"], None), ("global", "K1", "other", ["other"], None)], dictionary.ALIASES)
-    again = chat.pack_aliases(chat.exported(pack))
-    return dictionary.imported(dictionary.seeds(spark), again).select("code", "expansion")
+    """A pack written as JSON and read again: its codes that are known already keep their aliases."""
+    cut = cut_aliases(spark, sf_dir)
+    pack = cut.filter("since >= 2").drop("since").withColumn("expansion", F.concat(F.lit("new "), F.col("expansion")))
+    return dictionary.imported(cut.filter("since <= 2").drop("since"), chat.pack_aliases(chat.exported(pack))).select("scope", "code", "expansion")
+
+
+@query("s13_events_sink", "SELECT ts::DATE::VARCHAR AS day, count(*) AS events, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def s13(spark, sf_dir):
+    """Events appended in two batches, read from the sink by day."""
+    rows, path = table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"), "event_id").select((F.col("micros") / 1e6).alias("ts"), "event_id"), f"{shared_folder(spark)}/events"
+    for part in (rows.filter("event_id % 3 = 0"), rows.filter("event_id % 3 != 0")):
+        chat.append_events(part, path)
+    return spark.read.schema("ts double, event_id long, day date").parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"))
+
+
+@query("r09_supplement", f"""{WITH}, h AS (SELECT conv_id, substr(sha256(content), 1, 16) AS hash, min(idx) AS first, any_value(content) AS content FROM prompts GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS n FROM h)
+    SELECT conv_id, string_agg('[' || hash || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY n) AS supplement FROM r WHERE n <= 3 GROUP BY conv_id""".replace("GROUP BY ALL)", "GROUP BY conv_id, 2)"))
+def r09(spark, sf_dir):
+    """A reply asks for every message of its conversation; the retry brings the first three."""
+    p = derived.prompts(spark, sf_dir).withColumn("hash", strings.content_hash(F.col("content")))
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "hash")))
+    said = p.groupBy("conv_id").agg(F.concat(F.lit("I would need more.\nPlease expand "), F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("[ref: "), x["hash"], F.lit("]"))), " and ")).alias("reply")).withColumn("seq", F.lit(1))
+    originals = p.select("conv_id", "hash", F.col("content").alias("text")).dropDuplicates(["conv_id", "hash"])
+    return replies.supplement(replies.expansion_requests(said, originals)).select("conv_id", "supplement")
 
 
 # --- sessions -----------------------------------------------------------------------------------------
@@ -386,24 +448,6 @@ def f06(spark, sf_dir):
     return folding.compacted(kept, due, answers, 1).select("conv_id", F.col("place.ordinal").cast("long").alias("ordinal"), "line", joined_by_comma("hashes").alias("hashes"))
 
 
-_PHRASES = 20
-_SCOPED_SQL = rf"""{WITH}, raw AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS text FROM conversations),
-    al AS (SELECT conv_id % 2 AS scope, turn % 3 + 1 AS since, conv_id * 10000 + turn * 100 + k AS number, lower(substr(text, CAST(1 + k * 9 AS BIGINT), 14)) AS phrase FROM raw, range(0, {_PHRASES}) r(k)),
-    ok AS (SELECT * FROM al WHERE regexp_full_match(phrase, '[a-z]+( [a-z]+)*') AND length(phrase) >= 12),
-    hit AS (SELECT p.conv_id, p.idx, list(phrase || '|K' || number ORDER BY length(phrase) DESC, number, phrase) AS forms FROM prompts p JOIN ok ON ok.scope = p.conv_id % 2 AND ok.since <= p.idx % 3 + 1 AND contains(lower(p.content), phrase) GROUP BY ALL)
-    SELECT conv_id, idx, CASE WHEN forms IS NULL THEN content ELSE list_reduce(list_prepend(content, forms), lambda t, f: regexp_replace(t, '(?i)' || split_part(f, '|', 1), split_part(f, '|', 2), 'g')) END AS out FROM prompts LEFT JOIN hit USING (conv_id, idx)"""
-
-
-def scoped_aliases(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Aliases of two scopes, phrases cut from the conversations, and three generations each of which knows more of them."""
-    raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(strings.text("text"), r"[^\x00-\x7F]", "x").alias("text"), F.explode(F.sequence(F.lit(0), F.lit(_PHRASES - 1))).alias("k"))
-    cut = raw.select((F.col("conv_id") % 2).cast("string").alias("scope"), (F.col("turn") % 3 + 1).alias("since"), F.concat(F.lit("K"), (F.col("conv_id") * 10000 + F.col("turn") * 100 + F.col("k")).cast("string")).alias("code"), F.lower(F.expr("substr(text, 1 + k * 9, 14)")).alias("expansion"))
-    cut = cut.filter(F.col("expansion").rlike("^[a-z]+( [a-z]+)*$") & (F.length("expansion") >= 12))
-    aliases = cut.select("scope", "code", "expansion", F.array("expansion").alias("surface_forms"), F.lit(None).cast("array<string>").alias("members"))
-    generations = cut.select("scope", "code", F.explode(F.sequence(F.col("since"), F.lit(3))).alias("version")).groupBy("scope", "version").agg(F.collect_list("code").alias("codes"))
-    return aliases, generations
-
-
 @query("a18_scoped_codes", _SCOPED_SQL)
 def a18_scoped(spark, sf_dir):
     """Every prompt coded by the dictionary of its scope and generation: thousands of forms, found by an automaton each."""

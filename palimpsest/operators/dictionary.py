@@ -149,7 +149,7 @@ def mint(table: DataFrame, aliases: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("scope", "net").orderBy("first_seen", "phrase"))
     rows = cands.join(total, "scope", "left_semi").withColumn("rank", rank).join(offset, ["scope", "net"]).join(last, "scope", "left")
     code = F.concat(F.lit("K"), (F.coalesce("last", F.lit(0)) + F.col("before") + F.col("rank")).cast("string"))
-    return rows.select("scope", code.alias("code"), F.col("phrase").alias("expansion"), F.array(F.concat(F.lit(r"\Q"), F.col("phrase"), F.lit(r"\E"))).alias("surface_forms"), F.lit(None).cast("array<string>").alias("members"), "net")
+    return rows.select("scope", code.alias("code"), F.col("phrase").alias("expansion"), F.array(escaped(F.col("phrase"))).alias("surface_forms"), F.lit(None).cast("array<string>").alias("members"), "net")
 
 
 def left_in_nursery(table: DataFrame, minted: DataFrame) -> DataFrame:
@@ -182,6 +182,8 @@ def seed_definitions() -> Column:
     return F.create_map(*[F.lit(x) for kv in lines.items() for x in kv])
 
 
-def escaped(phrase: str) -> str:
-    """A manual alias's surface form."""
-    return re.escape(phrase)
+def escaped(phrase: str | Column) -> str | Column:
+    """A literal phrase's surface form: what would mean something in a pattern stands for itself."""
+    if isinstance(phrase, str):
+        return re.escape(phrase)
+    return F.regexp_replace(phrase, r"([\\.\[\]{}()*+?^$|#&~\s-])", r"\\$1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BODY = "model string, stream boolean, system string, prompt string, messages array<struct<role:string,content:string,tool_calls:string,tool_call_id:string>>"
 PARTS = "array<struct<type:string,text:string>>"
@@ -91,7 +92,13 @@ def write_dictionary(aliases: DataFrame, generations: DataFrame, path: str) -> N
 
 
 def read_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/aliases"), spark.read.parquet(f"{path}/generations")
+    """(aliases, generations); scopes are strings, whatever their names look like."""
+
+    def table(name: str) -> DataFrame:
+        found = spark.read.parquet(f"{path}/{name}").schema
+        return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if f.name == "scope" else f.dataType) for f in found])).parquet(f"{path}/{name}")
+
+    return table("aliases"), table("generations")
 
 
 def exported(aliases: DataFrame) -> DataFrame:

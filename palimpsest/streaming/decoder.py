@@ -40,7 +40,7 @@ def _may_become_reference(rest: str) -> bool:
 def scan(source: str, after_word: bool, ended: bool, expansions: dict[str, str], originals: dict[str, str]) -> tuple[str, str, bool]:
     """One pass over a text: what can be said, what has to wait for more, and whether a word character comes right before that."""
     out: list[str] = []
-    at = 0
+    at, close = 0, -1
     while found := BEGIN.search(source, at):
         start = found.start()
         if start > at:
@@ -48,7 +48,10 @@ def scan(source: str, after_word: bool, ended: bool, expansions: dict[str, str],
             after_word = _is_word(source[start - 1])
         if found[0] == "[":
             whole = REFERENCE.match(source, start)
-            if not whole and not ended and "]" not in source[start:] and _may_become_reference(source[start:]):
+            if not whole and close is not None and close < start:  # the next closing bracket is looked for once, not for every opening one
+                close = source.find("]", start)
+                close = None if close < 0 else close
+            if not whole and not ended and close is None and len(source) - start <= LONGEST and _may_become_reference(source[start:]):
                 return "".join(out), source[start:], after_word
             known = originals.get(whole[1]) if whole else None
             out.append("[" if known is None else known)
