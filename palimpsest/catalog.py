@@ -723,6 +723,18 @@ def c20(spark, sf_dir):
     return serving.failed(chat.bodies(raw)).select("conv_id", "turn", "fallback_reason", "content")
 
 
+@query("c20_failed_requests", f"""{WITH}, q AS (SELECT conv_id, idx AS last_idx, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS req_no FROM prompts WHERE role = 'user'),
+    s AS (SELECT q.conv_id, q.req_no, sum({tokens_sql('content')})::BIGINT AS original_tokens, arg_min(CASE (conv_id + idx) % 23 WHEN 4 THEN 'MalformedBody' WHEN 11 THEN 'UnknownRole' END, idx) FILTER ((conv_id + idx) % 23 IN (4, 11)) AS error FROM q JOIN prompts p USING (conv_id) WHERE p.idx <= q.last_idx GROUP BY ALL)
+    SELECT conv_id, req_no, original_tokens, error IS NOT NULL AS failed, CASE WHEN error IS NOT NULL THEN 'error:' || error END AS reason, CASE WHEN error IS NOT NULL THEN original_tokens END AS encoded_tokens FROM s""")
+def c20_requests(spark, sf_dir):
+    """Every request of every conversation; those that send a poisoned message fail alone and ship unchanged."""
+    poison = (F.col("conv_id") + F.col("idx")) % 23
+    p = derived.prompts(spark, sf_dir).withColumn("error", F.when(poison == 4, "MalformedBody").when(poison == 11, "UnknownRole"))
+    _, req = intervals.encoded(p, replay.requests(p), Settings())
+    fails = F.col("state") == "error"
+    return req.select("conv_id", F.col("req_no").cast("long").alias("req_no"), "original_tokens", fails.alias("failed"), F.when(fails, F.col("fallback_reason")).alias("reason"), F.when(fails, F.col("encoded_tokens")).alias("encoded_tokens"))
+
+
 @query("e10_pending", f"""{WITH}, q AS (SELECT conv_id, idx AS last_idx, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS req_no FROM prompts WHERE role = 'user'),
     r AS (SELECT p.conv_id, q.req_no, p.idx, p.role, p.content, substr(sha256(p.content), 1, 16) AS hash, row_number() OVER (PARTITION BY p.conv_id, q.req_no ORDER BY p.idx) - 1 AS place, count(*) OVER (PARTITION BY p.conv_id, q.req_no) AS n FROM prompts p JOIN q ON p.conv_id = q.conv_id AND p.idx <= q.last_idx),
     old AS (SELECT *, place < n - 1 AND place > 0 AND role IN ('user', 'assistant', 'tool') AND content != '' AS is_old FROM r),

@@ -52,8 +52,30 @@ def _loaded(path: str, kind: str):
     return lambda texts: [len(encoding.encode(t, disallowed_special=())) for t in texts]
 
 
+def _caught(path: str, kind: str):
+    """``_loaded``, with null for texts that can't be counted, or for all where the vocabulary can't be read."""
+    try:
+        count = _loaded(path, kind)
+    except Exception:  # whatever a library raises for a missing or broken file
+        return lambda texts: [None] * len(texts)
+
+    def one(text: str) -> int | None:
+        try:
+            return count([text])[0]
+        except Exception:
+            return None
+
+    def sizes(texts: list[str]) -> list[int | None]:
+        try:
+            return count(texts)
+        except Exception:  # one text must not fail the others
+            return [one(t) for t in texts]
+
+    return sizes
+
+
 def vocabulary_counter(files: dict[str, tuple[str, str]]):
-    """A pandas UDF (profile, text) for several local vocabularies (profile -> path, kind) in one pass; null for profiles without one. Each is loaded once per task, when first met."""
+    """A pandas UDF (profile, text) for several local vocabularies (profile -> path, kind) in one pass; null for profiles without one, and where counting fails. Each is loaded once per task, when first met."""
 
     @F.pandas_udf("long")
     def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -62,7 +84,7 @@ def vocabulary_counter(files: dict[str, tuple[str, str]]):
             names, texts, sizes = names.tolist(), texts.tolist(), [None] * len(texts)
             for name in files.keys() & set(names):
                 if name not in loaded:
-                    loaded[name] = _loaded(*files[name])
+                    loaded[name] = _caught(*files[name])
                 rows = [i for i, n in enumerate(names) if n == name]
                 for i, size in zip(rows, loaded[name]([texts[i] or "" for i in rows]), strict=True):
                     sizes[i] = size

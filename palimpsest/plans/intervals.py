@@ -21,6 +21,10 @@ encoded with, and the profile that counts their tokens. Scope and profile are
 those of a conversation, the generation may change with every request. Request
 numbers run from 1 without gaps; ``last_idx`` is the place of a message.
 
+A message may carry an ``error`` (what is wrong with it, as its reader found), and a counter may fail on a text, which
+gives null. Requests that send such a message fail alone: they ship what they were given, with ``error:`` and the kind
+of the first one as their reason. All others go on.
+
 Results equal ``encode.encode`` on the replayed prefixes (tested row by row).
 """
 
@@ -57,7 +61,8 @@ def spans(messages: DataFrame, asked: DataFrame, settings: Settings) -> DataFram
     order = conv.orderBy("idx")
     sent = asked.select("conv_id", F.col("last_idx").alias("idx"), "req_no").groupBy("conv_id", "idx").agg(F.min("req_no").alias("req_no"))
     whole = asked.groupBy("conv_id").agg(F.max("req_no").alias("last_req"), F.first("scope").alias("scope"), F.first("profile").alias("profile"))
-    rows = messages.select("conv_id", "idx", "role", text("content").alias("content"), F.coalesce("has_tool_calls", F.lit(False)).alias("has_tool_calls")).join(sent, ["conv_id", "idx"], "left")
+    error = (F.col("error") if "error" in messages.columns else F.lit(None)).cast("string").alias("error")
+    rows = messages.select("conv_id", "idx", "role", text("content").alias("content"), F.coalesce("has_tool_calls", F.lit(False)).alias("has_tool_calls"), error).join(sent, ["conv_id", "idx"], "left")
     rows = rows.withColumns({"place": F.row_number().over(order) - 1, "from_req": F.min("req_no").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
     old = F.lit(settings.fold_history) & (F.col("place") > 0) & F.col("role").isin("user", "assistant", "tool") & (F.col("content") != "")
     rows = rows.withColumn("old_from", F.when(old, F.lead("from_req", settings.keep).over(order))).drop("req_no").filter("from_req is not null")
@@ -164,11 +169,11 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
 
     # per distinct text: what depends on nothing else; a text that is never new, or never old, is spared the other part
     flags = rows.groupBy("key", "profile").agg(F.first("content").alias("content"), F.max(is_new).alias("new"), F.max(F.coalesce(F.col("old_from").isNotNull() & (old_route() == "digest"), F.lit(False))).alias("old"))
-    texts = flags.repartition(parts, "key", "profile").withColumns({"tokens": size(F.col("content")), "whole": F.col("content"), "content": F.when(F.col("new"), F.col("content"))})
-    made = written(encode.skeletons(texts, []).select("key", "profile", F.col("whole").alias("content"), "tokens", "skeleton", "regions", "terse", sessions.entity_names(F.col("whole")).alias("names")))
+    texts = flags.repartition(parts, "key", "profile").withColumns({"counted": size(F.col("content")), "whole": F.col("content"), "content": F.when(F.col("new"), F.col("content"))})
+    made = written(encode.skeletons(texts, []).select("key", "profile", F.col("whole").alias("content"), "counted", F.coalesce("counted", estimate(F.col("whole"))).alias("tokens"), "skeleton", "regions", "terse", sessions.entity_names(F.col("whole")).alias("names")))
     said = written(encode.turn_lines(flags.filter("old").select("key", "content").dropDuplicates(["key"]).repartition(parts, "key"), ["key"]).select("key", "pos", "line")).filter("line != ''")
 
-    rows = written(rows.join(made.select("key", "profile", "tokens", "names"), ["key", "profile"]))
+    rows = written(rows.join(made.select("key", "profile", "tokens", "counted", "names"), ["key", "profile"]))
     entities = written(learnt(rows))
 
     # new texts: coded by their scope's generation, then judged for each set of entities that touches them
@@ -236,7 +241,20 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
     defined = F.when(F.size("definitions") > 0, F.concat(F.lit(head), F.col("version").cast("string"), F.lit(tail), F.array_join("definitions", "; "))) if settings.inject_bootstrap else F.lit(None).cast("string")
     lines = F.transform(F.filter("entities", lambda e: e["since"] <= F.col("req_no")), lambda e: e["line"])
     req = req.withColumn("used", F.coalesce("used", F.array().cast("array<string>"))).withColumn("block", F.concat_ws("\n", defined, F.when(F.col("named"), F.concat(F.lit("ENT: "), F.array_join(lines, "; "))))).drop("entities", "named", "definitions")
-    return states.drop("plain_size", "aliased_size"), encode.priced(req, settings, provider, size)
+    return states.drop("plain_size", "aliased_size"), failed(encode.priced(req, settings, provider, size), rows)
+
+
+def failed(req: DataFrame, rows: DataFrame) -> DataFrame:
+    """Requests as they are, but for those that send a message with an error (conv_id, idx, from_req, error, counted): they ship unchanged, and say why."""
+    error = F.coalesce("error", F.when(F.col("counted").isNull(), "CountError"))
+    # later requests send the message again, so all from the first one on fail
+    first = rows.withColumn("error", error).filter("error is not null").groupBy("conv_id").agg(F.min(F.struct("from_req", "idx", "error")).alias("__failed"))
+    out = req.join(first, "conv_id", "left")
+    fails = F.coalesce(F.col("__failed.from_req") <= F.col("req_no"), F.lit(False))
+    reason = F.concat(F.lit("error:"), F.col("__failed.error"))
+    plain = {"state": F.lit("error"), "fallback": F.lit(True), "fallback_reason": reason, "encoded_tokens": F.col("original_tokens"), "head": F.lit(""), "aliases_ship": F.lit(False), "pct": F.lit(0.0)}
+    plain |= {c: F.lit(0).cast("long") for c in ("dict_overhead", "eff_overhead", "saved", "saved_effective")}
+    return out.withColumns({c: F.when(fails, v).otherwise(F.col(c)) for c, v in plain.items()}).drop("__failed")
 
 
 def over(requests: DataFrame, digests: DataFrame) -> DataFrame:

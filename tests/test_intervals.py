@@ -124,3 +124,21 @@ def test_decision_counts_by_vocabulary(spark):
     assert got[100_001, 3]["plain_tokens"] == sum(exact(r["plain"]) for r in shipped) and got[100_001, 3]["alias_tokens"] == sum(exact(r["aliased"]) for r in shipped)
     cost = got[100_001, 3]["total_alias"] + got[100_001, 3]["effective"]
     assert got[100_001, 3]["aliases_ship"] == (got[100_001, 3]["total_plain"] > cost)
+
+
+def test_poisoned_requests_fail_alone(spark, tmp_path):
+    """A message with an error, a vocabulary that is missing and one that is broken: three kinds inside one encode, the rest goes on."""
+    (tmp_path / "broken.json").write_text("{ no vocabulary")
+    talk = [(c, i, "user", f"Please run the tests afterwards {c} {i}. " * 9, False, "MalformedBody" if (c, i) == (1, 2) else None) for c in range(1, 5) for i in range(4)]
+    messages = spark.createDataFrame(talk, "conv_id long, idx long, role string, content string, has_tool_calls boolean, error string")
+    profile = F.element_at(F.array(*map(F.lit, ("claude-est", "qwen2.5", "llama3", "claude-est"))), F.col("conv_id").cast("int"))
+    size = tokens.sized({"qwen2.5": (str(tmp_path / "missing.json"), "hf"), "llama3": (str(tmp_path / "broken.json"), "hf")})
+    asked = replay.requests(messages)
+    states, req = intervals.encoded(messages, asked.withColumn("profile", profile), Settings(), size=size)
+    got = {(r["conv_id"], r["req_no"]): r for r in req.collect()}
+    reasons = {k: r["fallback_reason"] for k, r in got.items() if r["state"] == "error"}
+    assert reasons == {(1, 3): "error:MalformedBody", (1, 4): "error:MalformedBody"} | {(c, n): "error:CountError" for c in (2, 3) for n in range(1, 5)}
+    assert all(got[k]["encoded_tokens"] == got[k]["original_tokens"] > 0 and got[k]["saved"] == 0 and got[k]["fallback"] and got[k]["head"] == "" for k in reasons)
+    assert all(got[4, n]["state"] == "encoded" for n in range(1, 5)) and got[1, 2]["state"] == "encoded"
+    shipped = encode.composed(intervals.at_requests(states, asked), req).filter("conv_id = 1 and req_no = 3").orderBy("idx").collect()
+    assert [r["content"] for r in shipped] == [t for c, i, _, t, *_ in talk if c == 1 and i <= 2]
