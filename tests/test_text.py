@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions import tokens
+from palimpsest.functions import fixed, strings, tokens
 from palimpsest.operators import dictionary, folding, phrases, regions, replies, sessions, verifier
+from palimpsest.plans import derived
 from palimpsest.streaming.decoder import decoded
 
 CASES = [
@@ -108,3 +109,31 @@ def test_streams_say_what_whole_replies_say():
             continue
         for size in (1, 2, 5, len(text)):
             assert "".join(decoded([text[i : i + size] for i in range(0, len(text), size)], known, texts)) == want, text
+
+
+GOLDENS = {
+    "json_block": ('send {"a": {"b": [1]}} now, not {x nor w{"c": 1}', ['{"a": {"b": [1]}}']),
+    "xml_block": ('a <b>x</b> and <c d="1">y\nz</c> but <e>z</f>', ["<b>x</b>", '<c d="1">y\nz</c>']),
+    "posix_path": ("see /usr/local/bin and ~/work/x.txt or a/b and /one", ["/usr/local/bin", "~/work/x.txt"]),
+    "regex_lit": ("match /ab+c/gi or /a\\/b/ but not 1/2/3", ["/ab+c/gi", "/a\\/b/"]),
+}
+
+
+@pytest.mark.parametrize("kind", GOLDENS)
+def test_regions_without_twin(spark, kind):
+    """Literal cases of the kinds whose patterns look around or back."""
+    text, want = GOLDENS[kind]
+    assert one(spark, text, lambda c: strings.found(c, dict(fixed.REGIONS)[kind])) == want
+
+
+def test_extract_equals_one_kind_after_the_other(spark):
+    """The guarded single selection against plain replacements, kind by kind, on prompts and on texts made of all signs."""
+    odd = ["", None, "```a\n```", "⟦0⟧ {x} ⟦​", "a@b.co C:\\x \\\\h\\s x_y aB.c() 'q q' \"r r\" /a/b 1.2.3 2024-01-02 5 ms f.py A_B=1", *[t for t, _ in GOLDENS.values()]]
+    df = spark.createDataFrame([(t,) for t in odd], "content string").union(derived.prompts(spark, "/root/testdata/sf0.001").select("content"))
+    want = df.withColumn("s", F.replace(F.coalesce("content", F.lit("")), F.lit(fixed.OPEN), F.lit(fixed.OPEN + fixed.ESCAPE))).withColumn("r", F.array().cast("array<string>"))
+    for _, pattern in fixed.REGIONS:
+        number = lambda m, i: F.when(m.isNotNull(), F.concat(F.lit(fixed.OPEN), (F.size("r") + i).cast("string"), F.lit(fixed.CLOSE)))
+        want = want.withColumns({"s": strings.replaced_each(F.col("s"), pattern, number), "r": F.concat("r", strings.found(F.col("s"), pattern))})
+    got = regions.extract(df, "content").select("content", "skeleton", "regions.text")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("content", F.col("s").alias("skeleton"), F.col("r").alias("text")).collect()))
+    assert all(sign in fixed.REGION_SIGNS.values() for sign in ("```", "://")) and set(fixed.REGION_SIGNS) <= {k for k, _ in fixed.REGIONS}
