@@ -48,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, as_batches, ascii_lower, mix64, packed, stored, texts
@@ -292,18 +292,23 @@ def _by_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _tokens(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Per class and leader the first elements of its differences: leader, element, at (from 1 on), id, n, component, d (all differences).
+    """Per class and leader the first elements of its differences, the rarest of the leader's group first: leader, element, at (from 1 on), id, n, component, d (all differences).
 
     Of two classes in different components at least one, x, isn't linked with the
     leader l. With F(u, v) = (100 - percent) / (100 + percent) * (|u| + |v|), its
     D(x) has more than F(x, l) elements. A partner y that is linked with l thus
     needs (|D(y)| + F(x, y) - F(x, l)) / 2 + 1 elements at most. Of others, the
     larger difference set needs no more than F(x, y) + 1, with |y| * percent <= 100 * |x|.
+    Sizes of difference sets of a pair differ by F(x, y) at most, and none is below the
+    group's smallest, so no class needs more than (|D(x)| - least |D(y)| + F(x, y)) / 2 + 1.
+
+    What many classes share, such as the header of another template, comes last in this
+    order, and classes that differ each in its own way don't meet at all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, firsts = [], []
+            sizes, mosts, alls = [], [], []
             for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
                 lead, own = np.frombuffer(p, dtype=_U), np.frombuffer(q, dtype=_U)
                 new, gone = np.setdiff1d(own, lead, assume_unique=True), np.setdiff1d(lead, own, assume_unique=True)
@@ -313,10 +318,11 @@ def _tokens(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 else:
                     most = (100 - percent) * (n + n * 100 // percent) // (100 + percent) + 1
                 sizes.append(d)
-                firsts.append(np.concatenate([new, gone])[:most].astype(np.int64))
+                mosts.append(most)
+                alls.append(np.concatenate([new, gone]).astype(np.int64))
             yield from as_batches({
                 "leader": (b.column(0), pa.int64()), "id": (b.column(1), pa.int64()), "n": (b.column(2), pa.int64()), "component": (b.column(3), pa.int64()),
-                "d": (sizes, pa.int64()), "first": (firsts, pa.list_(pa.int64())),
+                "d": (sizes, pa.int64()), "most": (mosts, pa.int64()), "elements": (alls, pa.list_(pa.int64())),
             })
 
     joined = (
@@ -324,8 +330,16 @@ def _tokens(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(sets.select(F.col("id").alias("leader"), F.col("elements").alias("x")), "leader")
         .select("leader", "id", "n", "component", "x", "y")
     )
-    found = joined.mapInArrow(run, "leader long, id long, n long, component long, d long, first array<long>")
-    return found.select("leader", "id", "n", "component", "d", F.posexplode("first").alias("at", "element")).withColumn("at", F.col("at") + 1)
+    found = stored(joined.mapInArrow(run, "leader long, id long, n long, component long, d long, most long, elements array<long>"))
+    far = F.expr(f"{100 - percent} * (n + n * 100 div {percent}) div {100 + percent}")
+    low = found.groupBy("leader").agg(F.min("d").alias("low"))
+    rows = found.join(low, "leader").withColumn("far", far)
+    rows = rows.withColumn("most", F.least("most", F.expr("(d - greatest(low, d - far) + far) div 2 + 1"))).drop("low", "far")
+    each = rows.select("leader", "id", "n", "component", "d", "most", F.explode("elements").alias("element"))
+    often = each.groupBy("leader", "element").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("leader", "id").orderBy("often", "element")
+    ranked = each.join(often, ["leader", "element"]).withColumn("at", F.row_number().over(order))
+    return ranked.filter("at <= most").drop("most", "often")
 
 
 def _early(x: str, y: str, percent: int) -> Column:

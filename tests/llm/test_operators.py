@@ -707,3 +707,22 @@ def test_languages(spark, messy):
     assert language_id.identified(messy, language_id.fit(messy.limit(0))).filter("lang_pred != 'und'").count() == 0
     kept = language_id.accepted(docs.withColumn("score", F.lit(1)))
     assert kept.columns == [*docs.columns, "score"] and kept.count() >= 0.99 * docs.count()
+
+
+def test_two_headers_in_one_group(spark, monkeypatch):
+    """Documents of one body under one of two headers, with words of their own: components are those of all pairs, and what is compared grows with the documents, not with their square."""
+    import random
+
+    def family(n, own):
+        rng = random.Random(n)
+        word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+        body, heads = [word() for _ in range(70)], [[word() for _ in range(6)] for _ in range(2)]
+        return [(i, " ".join(heads[i % 5 > 1] + body + [word() for _ in range(own(i))])) for i in range(n)]
+
+    pairs, between = [], near_dedup._between
+    monkeypatch.setattr(near_dedup, "_between", lambda *a, **k: (lambda out: (pairs.append(out.count()), out)[1])(between(*a, **k)) if k.get("prefixes") else between(*a, **k))
+    for n, own in ((160, lambda i: 24), (320, lambda i: 24), (200, lambda i: 4 + i % 19)):
+        docs = family(n, own)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=2).collect()}
+        assert got == {i: c for i, (_, c) in brute_components(docs, 2).items()}
+    assert pairs[1] <= 2.2 * max(pairs[0], 160)
