@@ -13,7 +13,10 @@ from palimpsest.operators import automaton, benchmarks, dictionary, folding, met
 from palimpsest.plans import derived, encode, intervals, replay, serving
 from palimpsest.plans.derived import quoted, re2, replace_sql, tokens_sql
 from palimpsest.sources import chat
+from palimpsest.streaming import cube
 from palimpsest.streaming.decoder import decode_stream, shared_folder
+from palimpsest.streaming.sessions import Sessions
+from palimpsest.streaming.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -716,6 +719,17 @@ def s10(spark, sf_dir):
     return store.withColumnRenamed("session", "conv_id")
 
 
+@query("s10_incremental_requests", f"""{WITH}, q AS (SELECT conv_id, idx AS last_idx, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS req_no FROM prompts WHERE role = 'user')
+    SELECT q.conv_id, q.req_no, q.last_idx, sum({tokens_sql('content')})::BIGINT AS original_tokens, true AS never_larger FROM q JOIN prompts p ON p.conv_id = q.conv_id AND p.idx <= q.last_idx GROUP BY ALL""")
+def s10_requests(spark, sf_dir):
+    """Every request of every conversation, encoded as its messages come: in two batches, the second of which is late for much of the first and repeats some of it."""
+    p = derived.prompts(spark, sf_dir)
+    kept = Sessions(Store(spark, shared_folder(spark)), Settings())
+    kept.advance(p.filter("idx % 3 != 1"), 0)
+    kept.advance(p.filter("idx % 3 = 1 or idx < 2"), 1)
+    return kept.answers().select("conv_id", F.col("req_no").cast("long").alias("req_no"), "last_idx", "original_tokens", (F.col("encoded_tokens") <= F.col("original_tokens")).alias("never_larger"))
+
+
 @query("c20_fail_soft", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'error:MalformedBody' ELSE '' END AS fallback_reason, CASE WHEN turn % 3 = 0 THEN 'no json ' || coalesce(text, '') END AS content FROM conversations")
 def c20(spark, sf_dir):
     good = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
@@ -795,6 +809,20 @@ def m05(spark, sf_dir):
     return metrics.reductions(metrics.summary(facts(spark, sf_dir))).select("original", "saved", "saved_effective", "reduction_pct", "reduction_effective_pct")
 
 
+@query("m03_stored_cube", f"""WITH {_EVENTS_SQL} SELECT CASE grouping(model, representation) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS level, model, representation, {_IN.partition(", avg(latency_ms)")[0]}, avg(latency_ms) AS avg_latency_ms, round(avg(pct), 1) AS avg_pct,
+    count(*) FILTER (fallback = 1) * 100.0::DOUBLE / count(*) AS fallback_pct, count(*) FILTER (fallback_reason LIKE 'error:%') * 100.0::DOUBLE / count(*) AS error_pct, count(*) FILTER (fallback_reason = 'not-worth-it') * 100.0::DOUBLE / count(*) AS reverted_pct
+    FROM facts WHERE direction = 'in' GROUP BY ROLLUP (model, representation)""")
+def m03_cube(spark, sf_dir):
+    """The summary by model and representation, by model, and in total, from a cube that a streaming query built out of events in no order of time."""
+    folder = shared_folder(spark)
+    events = facts(spark, sf_dir)
+    events.repartition(4, "original_tokens").write.parquet(f"{folder}/events")
+    store = Store(spark, f"{folder}/cube")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    cube.follow(store, arriving).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return metrics.rolled_up(cube.cube(store), "model", "representation")
+
+
 @query("m06_since", f"WITH {_EVENTS_SQL}, t AS (SELECT max(ts) AS now FROM facts) SELECT {_IN} FROM facts, t WHERE direction = 'in' AND ts >= now - 24 * 3600")
 def m06(spark, sf_dir):
     f = facts(spark, sf_dir)

@@ -77,3 +77,35 @@ def cached(puts: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     """The result cache after insert-or-replace: the latest value of each key."""
     others = [c for c in puts.columns if c != key]
     return puts.groupBy(key).agg(F.max_by(F.struct(*others), seq).alias("x")).select(key, "x.*")
+
+
+#: What the cells of a cube are told apart by.
+CELL = ["hour", "direction", "model", "representation"]
+_SUMMED = {"original": "original_tokens", "encoded": "encoded_tokens", "overhead": "dict_overhead", "eff_overhead": "eff_overhead", "saved": "saved"}
+
+
+def cells(events: DataFrame) -> DataFrame:
+    """The events as sums and counts by hour, direction, model and representation. Cells of parts of the events add up, in any order, so events may come as late as they like."""
+    when = lambda condition: F.count(F.when(condition, 1))
+    effective = F.col("original_tokens") - F.col("encoded_tokens") - F.col("eff_overhead")
+    return events.withColumn("hour", F.floor(F.col("ts") / 3600)).groupBy(*CELL).agg(
+        F.count(F.lit(1)).alias("requests"), *[_total(c).alias(out) for out, c in _SUMMED.items()], F.coalesce(F.sum(effective), F.lit(0)).alias("saved_effective"),
+        F.count("latency_ms").alias("timed"), F.sum("latency_ms").alias("latency"), F.count("pct").alias("rated"), F.sum("pct").alias("pct"), F.count("fallback").alias("flagged"),
+        when(F.col("fallback") == 1).alias("fallbacks"), F.count("fallback_reason").alias("reasoned"),
+        when(F.col("fallback_reason").startswith("error:")).alias("errors"), when(F.col("fallback_reason") == "not-worth-it").alias("reverted"),
+    )
+
+
+def rolled_up(cube: DataFrame, *by: str) -> DataFrame:
+    """The summary of requests by each prefix of ``by``, the total included, in one pass over the cells; ``level`` is the number of columns that a row is of.
+
+    Times and ratings are sums of doubles: their averages are those of ``summary`` up to the order of adding.
+    """
+    share = lambda part, whole: F.try_divide(F.sum(part) * 100.0, F.sum(whole))
+    level = (F.lit(len(by)) - F.bit_count(F.grouping_id())) if by else F.lit(0)
+    asked = cube.filter("direction = 'in'")
+    return (asked.rollup(*by) if by else asked.groupBy()).agg(
+        level.cast("long").alias("level"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("requests", *_SUMMED, "saved_effective")],
+        F.try_divide(F.sum("latency"), F.sum("timed")).alias("avg_latency_ms"), F.round(F.try_divide(F.sum("pct"), F.sum("rated")), 1).alias("avg_pct"),
+        share("fallbacks", "flagged").alias("fallback_pct"), share("errors", "reasoned").alias("error_pct"), share("reverted", "reasoned").alias("reverted_pct"),
+    )

@@ -25,6 +25,10 @@ A message may carry an ``error`` (what is wrong with it, as its reader found), a
 gives null. Requests that send such a message fail alone: they ship what they were given, with ``error:`` and the kind
 of the first one as their reason. All others go on.
 
+With a ``memo``, what was computed for a text (its skeleton, its lines, its codes, its form for a set of entities) is
+kept from call to call, so that a conversation that goes on costs the patterns of its new texts only. A memo belongs to
+one dictionary, whose generations don't change, one counter and one set of settings.
+
 Results equal ``encode.encode`` on the replayed prefixes (tested row by row).
 """
 
@@ -45,6 +49,7 @@ from palimpsest.operators import dictionary, sessions
 from palimpsest.operators.automaton import Dictionary
 from palimpsest.plans import encode
 from palimpsest.streaming.decoder import shared_folder
+from palimpsest.streaming.store import Memo
 
 #: What a text's rewriting depends on beside the text.
 CONTEXT = ["scope", "version", "profile"]
@@ -159,7 +164,7 @@ def active_codes(mentions: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id", "code", "stretch").agg(F.min("from_req").alias("from_req"), F.max("until_req").alias("until_req"), F.first("first").alias("first")).drop("stretch")
 
 
-def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Dictionary | None = None, provider: str = "", size: Callable[[Column], Column] = estimate) -> tuple[DataFrame, DataFrame]:
+def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Dictionary | None = None, provider: str = "", size: Callable[[Column], Column] = estimate, memo: Memo | None = None) -> tuple[DataFrame, DataFrame]:
     """(states, requests) of all requests (conv_id, req_no, last_idx, and if need be scope, version, profile).
 
     States: conv_id, idx, place, role, content, tokens, route, plain, aliased, label, from_req, until_req. Requests: as
@@ -179,29 +184,39 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
 
     # per distinct text: what depends on nothing else; a text that is never new, or never old, is spared the other part
     flags = rows.groupBy("key", "profile").agg(F.first("content").alias("content"), F.max(is_new).alias("new"), F.max(F.coalesce(F.col("old_from").isNotNull() & (old_route() == "digest"), F.lit(False))).alias("old"))
-    texts = flags.repartition(parts, "key", "profile").withColumns({"counted": size(F.col("content")), "whole": F.col("content"), "content": F.when(F.col("new"), F.col("content"))})
-    made = written(encode.skeletons(texts, []).select("key", "profile", F.col("whole").alias("content"), "counted", F.coalesce("counted", estimate(F.col("whole"))).alias("tokens"), "skeleton", "regions", "terse", sessions.entity_names(F.col("whole")).alias("names")))
-    said = written(encode.turn_lines(flags.filter("old").select("key", "content").dropDuplicates(["key"]).repartition(parts, "key"), ["key"]).select("key", "pos", "line")).filter("line != ''")
+    fill = memo.filled if memo is not None else lambda name, wanted, on, make: written(make(wanted))
+
+    def skeletons(flags: DataFrame) -> DataFrame:
+        texts = flags.repartition(parts, "key", "profile").withColumns({"counted": size(F.col("content")), "whole": F.col("content"), "content": F.when(F.col("new"), F.col("content"))})
+        return encode.skeletons(texts, []).select("key", "profile", "new", F.col("whole").alias("content"), "counted", F.coalesce("counted", estimate(F.col("whole"))).alias("tokens"), "skeleton", "regions", "terse", sessions.entity_names(F.col("whole")).alias("names"))
+
+    def all_lines(texts: DataFrame) -> DataFrame:
+        return encode.turn_lines(texts.repartition(parts, "key"), ["key"]).select("key", "pos", "line")
+
+    made = fill("texts", flags, ["key", "profile", "new"], skeletons).drop("new")
+    said = fill("lines", flags.filter("old").select("key", "content").dropDuplicates(["key"]), ["key"], all_lines).filter("line != ''")
 
     rows = written(rows.join(made.select("key", "profile", "tokens", "counted", "names"), ["key", "profile"]))
     entities = written(learnt(rows))
 
     # new texts: coded by their scope's generation, then judged for each set of entities that touches them
     fresh = by_version(rows.filter(is_new).withColumn("until_req", until_new).select("conv_id", "idx", "key", "scope", "profile", "from_req", "until_req"), asked)
-    coded = fresh.select("key", *CONTEXT).distinct().join(made, ["key", "profile"])
-    coded = written(known.with_expansions(encode.bundled(known.coded(coded, "terse", "coded")), F.col("content"), F.col("terse"), F.col("coded")))
+
+    def codes(texts: DataFrame) -> DataFrame:
+        coded = texts.join(made, ["key", "profile"])
+        return known.with_expansions(encode.bundled(known.coded(coded, "terse", "coded")), F.col("content"), F.col("terse"), F.col("coded"))
+
+    def judgements(texts: DataFrame) -> DataFrame:
+        out = encode.judged(texts.join(coded, ["key", *CONTEXT]).repartition(parts, "key"), F.col("expansions"), settings, size).select("key", *CONTEXT, "pairs", "plain", "aliased", "label")
+        out = out.withColumns({f"{track}_size": size(F.col(track)) for track in ("plain", "aliased")}).join(made.select("key", "profile", "content", "tokens"), ["key", "profile"])
+        for track in ("plain", "aliased"):  # never longer than the original
+            long = F.col(f"{track}_size") >= F.col("tokens")
+            out = out.withColumns({track: F.when(long, F.col("content")).otherwise(F.col(track)), f"{track}_size": F.when(long, F.col("tokens")).otherwise(F.col(f"{track}_size"))})
+        return out.drop("content", "tokens")
+
+    coded = fill("codes", fresh.select("key", *CONTEXT).distinct(), ["key", *CONTEXT], codes)
     fresh = touched(fresh.join(coded.select("key", *CONTEXT, "content", F.col("coded").alias("said")), ["key", *CONTEXT]), entities, F.col("said"), F.col("content")).drop("said", "content")
-    variants = fresh.select("key", *CONTEXT, "pairs").distinct().join(coded, ["key", *CONTEXT]).repartition(parts, "key")
-    variants = encode.judged(variants, F.col("expansions"), settings, size)
-    variants = variants.select("key", *CONTEXT, "pairs", "plain", "aliased", "label")
-    sizes = {}
-    for track in ("plain", "aliased"):  # never longer than the original
-        sizes[track] = size(F.col(track))
-    variants = variants.withColumns({f"{track}_size": s for track, s in sizes.items()}).join(made.select("key", "profile", "content", "tokens"), ["key", "profile"])
-    for track in ("plain", "aliased"):
-        long = F.col(f"{track}_size") >= F.col("tokens")
-        variants = variants.withColumns({track: F.when(long, F.col("content")).otherwise(F.col(track)), f"{track}_size": F.when(long, F.col("tokens")).otherwise(F.col(f"{track}_size"))})
-    variants = written(variants.drop("content", "tokens"))
+    variants = fill("judgements", fresh.select("key", *CONTEXT, "pairs").distinct(), ["key", *CONTEXT, "pairs"], judgements)
     about = rows.select("conv_id", "idx", "place", "role", "content", "tokens", "last_req", "profile")
     new = fresh.join(variants, ["key", *CONTEXT, "pairs"]).drop("key", "profile", "scope", "version", "pairs").join(about, ["conv_id", "idx"]).withColumn("route", F.lit("new"))
 
