@@ -418,6 +418,24 @@ def f01(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("idx"), folding.fold_fences(F.concat(body, F.lit(" and "), body)).alias("out"))
 
 
+@query("c09_fence_repeats", """WITH m AS (SELECT conv_id, turn AS idx, role, '```py' || chr(10) || coalesce(text, '') || chr(10) || '```' AS own, '```py' || chr(10) || coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') || chr(10) || '```' AS prev FROM conversations),
+    q AS (SELECT conv_id, idx AS last_idx, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS req_no FROM m WHERE role = 'user'),
+    r AS (SELECT m.conv_id, q.req_no, m.idx, substr(sha256(own), 1, 16) AS own, substr(sha256(prev), 1, 16) AS prev FROM m JOIN q ON m.conv_id = q.conv_id AND m.idx < q.last_idx),
+    f AS (SELECT conv_id, req_no, idx, prev AS hash, 1 AS pos FROM r UNION ALL SELECT conv_id, req_no, idx, own, 0 FROM r WHERE idx % 2 = 0),
+    o AS (SELECT conv_id, hash, min((req_no, idx)) AS at FROM f GROUP BY ALL),
+    s AS (SELECT f.conv_id, f.req_no, f.idx, string_agg(DISTINCT f.hash, '|' ORDER BY f.hash) AS seen FROM f JOIN o USING (conv_id, hash) WHERE o.at < (f.req_no, f.idx) GROUP BY ALL)
+    SELECT r.conv_id, r.req_no, r.idx, coalesce(seen, '') AS seen, CASE WHEN r.idx % 2 = 1 AND o.at < (r.req_no, r.idx) THEN 'code ' || o.at[1] ELSE '' END AS note FROM r LEFT JOIN s USING (conv_id, req_no, idx) LEFT JOIN o ON o.conv_id = r.conv_id AND o.hash = r.prev""")
+def c09_fences(spark, sf_dir):
+    """Every message is a fence: those of even places hold their own and repeat the one before inside a text, the others are the one before, sent again as a whole."""
+    fence = lambda c: F.concat(F.lit("```py\n"), strings.text(c), F.lit("\n```"))
+    rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    content = F.when(F.col("turn") % 2 == 0, F.concat(fence("text"), F.lit(" as "), fence("before"))).otherwise(fence("before"))
+    said = rows.select("conv_id", F.col("turn").alias("idx"), "role", content.alias("content"), strings.content_hash(content).alias("hash"), F.lit("fold").alias("route"), F.lit(None).cast("string").alias("summary"))
+    old = replay.replayed(said, replay.requests(said)).filter("idx < last_idx")
+    note = F.concat_ws(" ", "note.kind", F.col("note.req_no").cast("string"))
+    return folding.with_notes(old).select("conv_id", F.col("req_no").cast("long").alias("req_no"), "idx", joined(F.col("seen")).alias("seen"), note.alias("note"))
+
+
 @query("f02_dedup", "WITH h AS (SELECT doc_id, coalesce(text, '') AS t, substr(sha256(coalesce(text, '')), 1, 16) AS hash FROM documents), w AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) > 1 AS seen, min(doc_id) OVER (PARTITION BY hash) AS f FROM h) SELECT doc_id, CASE WHEN length(t) >= 400 AND seen THEN '[ref:' || hash || ' doc unchanged from turn ' || f || ']' ELSE t END AS out FROM w")
 def f02(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("conv_id"), F.col("doc_id").alias("idx"), strings.text("text").alias("content"))
@@ -739,14 +757,14 @@ def c20(spark, sf_dir):
 
 @query("c20_failed_requests", f"""{WITH}, q AS (SELECT conv_id, idx AS last_idx, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS req_no FROM prompts WHERE role = 'user'),
     s AS (SELECT q.conv_id, q.req_no, sum({tokens_sql('content')})::BIGINT AS original_tokens, arg_min(CASE (conv_id + idx) % 23 WHEN 4 THEN 'MalformedBody' WHEN 11 THEN 'UnknownRole' END, idx) FILTER ((conv_id + idx) % 23 IN (4, 11)) AS error FROM q JOIN prompts p USING (conv_id) WHERE p.idx <= q.last_idx GROUP BY ALL)
-    SELECT conv_id, req_no, original_tokens, error IS NOT NULL AS failed, CASE WHEN error IS NOT NULL THEN 'error:' || error END AS reason, CASE WHEN error IS NOT NULL THEN original_tokens END AS encoded_tokens FROM s""")
+    SELECT conv_id, req_no, original_tokens, error IS NOT NULL AS failed, CASE WHEN error IS NOT NULL THEN 'error:' || error END AS reason, CASE WHEN error IS NOT NULL THEN original_tokens ELSE 0 END AS unchanged_tokens FROM s""")
 def c20_requests(spark, sf_dir):
     """Every request of every conversation; those that send a poisoned message fail alone and ship unchanged."""
     poison = (F.col("conv_id") + F.col("idx")) % 23
     p = derived.prompts(spark, sf_dir).withColumn("error", F.when(poison == 4, "MalformedBody").when(poison == 11, "UnknownRole"))
     _, req = intervals.encoded(p, replay.requests(p), Settings())
     fails = F.col("state") == "error"
-    return req.select("conv_id", F.col("req_no").cast("long").alias("req_no"), "original_tokens", fails.alias("failed"), F.when(fails, F.col("fallback_reason")).alias("reason"), F.when(fails, F.col("encoded_tokens")).alias("encoded_tokens"))
+    return req.select("conv_id", F.col("req_no").cast("long").alias("req_no"), "original_tokens", fails.alias("failed"), F.when(fails, F.col("fallback_reason")).alias("reason"), F.when(fails, F.col("encoded_tokens")).otherwise(F.lit(0).cast("long")).alias("unchanged_tokens"))
 
 
 @query("e10_pending", f"""{WITH}, q AS (SELECT conv_id, idx AS last_idx, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS req_no FROM prompts WHERE role = 'user'),

@@ -49,9 +49,34 @@ def with_key_lines(df: DataFrame, column: str, out: str, most: int) -> DataFrame
     return rows.withColumn(out, F.when(F.size(units) <= most, F.array_join(units, "\n")).otherwise(folded)).drop("__plain", "__units", "__scored")
 
 
-def with_folded_turn(df: DataFrame, column: str, out: str, most: int) -> DataFrame:
-    """Fences become references, then the key lines stay."""
-    return with_key_lines(df.withColumn("__fenced", fold_fences(F.col(column))), "__fenced", out, most).drop("__fenced")
+def with_folded_turn(df: DataFrame, column: str, out: str, most: int, seen: Column | None = None) -> DataFrame:
+    """Fences become references (``seen``: hashes of those that earlier messages had), then the key lines stay."""
+    return with_key_lines(df.withColumn("__fenced", fold_fences(F.col(column), seen)), "__fenced", out, most).drop("__fenced")
+
+
+def with_notes(old: DataFrame) -> DataFrame:
+    """Adds to old turns (conv_id, req_no, idx, content, hash, route, summary) what their conversation had noted before them.
+
+    A tool result is noted where it becomes a reference, a fence where the message that holds it is folded. The first
+    note of a text counts: ``note`` (req_no, idx, pos, kind) of the turn's whole text, null if none came before the
+    turn, and ``seen``, the hashes of the turn's own fences that earlier turns had. Turns that are references
+    themselves, or have a summary, note none of their fences; those that repeat a fence come after its note anyway.
+    """
+    turn = ["conv_id", "req_no", "idx"]
+    at = lambda pos, kind: F.struct("req_no", "idx", pos.cast("int").alias("pos"), F.lit(kind).alias("kind")).alias("note")
+    before = lambda note: F.col(note).isNotNull() & (F.struct(F.col(f"{note}.req_no"), F.col(f"{note}.idx")) < F.struct("req_no", "idx"))
+    tools = old.filter("route = 'tool-ref'").select("conv_id", "hash", at(F.lit(-1), "tool"))
+    results = tools.groupBy("conv_id", "hash").agg(F.min("note").alias("result"))
+    folds = old.filter("route = 'fold'").select(*turn, "hash", "content", "summary").join(results, ["conv_id", "hash"], "left")
+    folds = folds.filter(F.col("summary").isNull() & F.contains("content", F.lit("```")) & ~((F.length("content") >= fixed.LEAST_BLOB) & before("result")))
+    # the fences of a text are found once, however often it is sent
+    fences = folds.groupBy("hash").agg(F.first("content").alias("content")).select("hash", F.posexplode(found(F.col("content"), fixed.FENCE)).alias("pos", "fence"))
+    fences = folds.select(*turn, "hash").join(fences.select("hash", "pos", content_hash(F.col("fence")).alias("fence")), "hash")
+    fences = fences.select(*turn, F.col("fence").alias("hash"), at(F.col("pos"), "code"))
+    first = tools.union(fences.select("conv_id", "hash", "note")).groupBy("conv_id", "hash").agg(F.min("note").alias("first"))
+    seen = fences.join(first, ["conv_id", "hash"]).filter(before("first")).groupBy(*turn).agg(F.array_sort(F.collect_set("hash")).alias("seen"))
+    rows = old.join(first, ["conv_id", "hash"], "left").join(seen, turn, "left")
+    return rows.withColumns({"note": F.when(before("first"), F.col("first")), "seen": F.coalesce("seen", F.array().cast("array<string>"))}).drop("first")
 
 
 def to_summarise(old: DataFrame, threshold: int, least_chars: int = 800) -> DataFrame:

@@ -124,11 +124,10 @@ def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]]
     new = candidates(rows.filter("route = 'new'"), rules, expansions, settings)
     old = rows.filter("route != 'new'")
     if settings.history_style == "folds":
-        old = folding.with_folded_turn(noted(old), "content", "folded", 3 if settings.mode == "MAX" else 6)
-        repeat = folding.blob_reference(F.col("content"), F.when((F.col("note.req_no") < F.col("req_no")) | ((F.col("note.req_no") == F.col("req_no")) & (F.col("note.idx") < F.col("idx"))), "tool"), F.col("note.req_no"))
-        old = (folding.with_summaries(old, summaries) if summaries is not None else old.withColumn("summary", F.lit(None).cast("string"))).withColumns({
-            "repeat": repeat, "folded": F.when(repeat != F.col("content"), repeat).otherwise(F.coalesce("summary", "folded")),
-        })
+        old = folding.with_summaries(old, summaries) if summaries is not None else old.withColumn("summary", F.lit(None).cast("string"))
+        old = folding.with_folded_turn(folding.with_notes(old), "content", "folded", 3 if settings.mode == "MAX" else 6, F.col("seen"))
+        repeat = folding.blob_reference(F.col("content"), F.col("note.kind"), F.col("note.req_no"))
+        old = old.withColumn("folded", F.when(repeat != F.col("content"), repeat).otherwise(F.coalesce("summary", "folded")))
     else:
         old = old.withColumn("folded", F.col("content"))
     ref = F.concat(F.lit("[ref:"), F.col("hash"), F.lit(" tool-result; expand on request]"))
@@ -152,12 +151,6 @@ def encode(messages: DataFrame, settings: Settings, rules: list[tuple[str, str]]
     return both, decided(req, settings, definitions, provider, version)
 
 
-def noted(old: DataFrame) -> DataFrame:
-    """Adds ``note``: request and place at which a tool result of the same text first became a reference in the conversation; null if none did."""
-    first = old.filter("route = 'tool-ref'").groupBy("conv_id", "hash").agg(F.min(F.struct("req_no", "idx")).alias("note"))
-    return old.join(first, ["conv_id", "hash"], "left")
-
-
 def decided(req: DataFrame, settings: Settings, definitions: Column, provider: str, version: int) -> DataFrame:
     """Per request: which set ships, its block, digest and report."""
     mentioned = F.concat(F.flatten("mentions.codes"), dictionary.codes(text("digest_alias")))
