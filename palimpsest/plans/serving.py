@@ -45,9 +45,13 @@ def epochs(log: DataFrame, every: int = fixed.MINT_EVERY) -> DataFrame:
 
 def with_generation(log: DataFrame, minted: DataFrame, first: int = 1) -> DataFrame:
     """Adds ``generation``, as of each encode: ``first`` and one for every earlier epoch whose minting succeeded (scope, epoch). A new generation is used from the epoch after on."""
-    epochs_ = log.select("scope", "epoch").distinct()
-    earlier = minted.select("scope", F.col("epoch").alias("minted_in")).distinct()
-    number = epochs_.join(earlier, "scope", "left").groupBy("scope", "epoch").agg(F.count(F.when(F.col("minted_in") < F.col("epoch"), 1)).alias("n"))
+    marks = log.select("scope", "epoch", F.lit(0).alias("new")).union(minted.select("scope", "epoch", F.lit(1))).filter("epoch is not null")
+    steps = marks.groupBy("scope", "epoch").agg(F.max("new").alias("new")).withColumn("part", F.floor(F.col("epoch") / RANGE))
+    counts = steps.groupBy("scope", "part").agg(F.sum("new").alias("n"))
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select("scope", "part", so_far("n", Window.partitionBy("scope").orderBy("part")).alias("before"))
+    within = steps.withColumn("within", so_far("new", Window.partitionBy("scope", "part").orderBy("epoch")))
+    number = within.join(before, ["scope", "part"]).select("scope", "epoch", (F.col("before") + F.col("within")).alias("n"))
     return log.join(number, ["scope", "epoch"]).withColumn("generation", F.col("n") + first).drop("n")
 
 
