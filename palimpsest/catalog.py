@@ -255,7 +255,7 @@ def a07(spark, sf_dir):
 def a16(spark, sf_dir):
     """Aliases put in by hand replace those of their codes; others are taken out."""
     aliases = scoped_aliases(spark, sf_dir)[0]
-    number = F.substring("code", 2, 20).cast("int")
+    number = F.substring("code", 2, 20).cast("long")
     new = aliases.filter(number % 5 == 0).withColumn("expansion", F.concat(F.lit("manual "), F.col("expansion")))
     return dictionary.removed(dictionary.upserted(aliases, new), aliases.filter(number % 7 == 0).select("scope", "code")).select("scope", "code", "expansion")
 

@@ -34,7 +34,7 @@ def definition() -> Column:
 
 def generation(aliases: DataFrame, version: int | Column = 1) -> DataFrame:
     """Freezes all aliases of each scope: scope, version, codes (in code order), bootstrap."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.substring("code", 1, 1).alias("family"), F.substring("code", 2, 20).cast("int").alias("number"), "code", definition().alias("line"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.substring("code", 1, 1).alias("family"), F.substring("code", 2, 20).cast("long").alias("number"), "code", definition().alias("line"))))
     version = F.lit(version) if isinstance(version, int) else version
     head, _, tail = fixed.BOOTSTRAP.partition("{version}")
     return (
@@ -52,7 +52,7 @@ def substitutable(aliases: DataFrame, generations: DataFrame) -> DataFrame:
     """Usable surface forms of each scope, the longest form text first, then by code and form."""
     usable = active(generations).select("scope", F.explode("codes").alias("code"))
     forms = aliases.join(usable, ["scope", "code"]).select("scope", "code", F.explode("surface_forms").alias("form"))
-    order = Window.partitionBy("scope").orderBy(F.length("form").desc(), F.substring("code", 1, 1), F.substring("code", 2, 20).cast("int"), "form")
+    order = Window.partitionBy("scope").orderBy(F.length("form").desc(), F.substring("code", 1, 1), F.substring("code", 2, 20).cast("long"), "form")
     return forms.withColumn("rank", F.row_number().over(order))
 
 
@@ -142,7 +142,7 @@ def mint(table: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     cands = promotable(table)
     total = cands.groupBy("scope").agg(F.sum("net").alias("total")).filter(F.col("total") > fixed.MINT_COST).select("scope")
-    last = aliases.filter(F.col("code").startswith("K")).groupBy("scope").agg(F.max(F.substring("code", 2, 20).cast("int")).alias("last"))
+    last = aliases.filter(F.col("code").startswith("K")).groupBy("scope").agg(F.max(F.substring("code", 2, 20).cast("long")).alias("last"))
     groups = cands.groupBy("scope", "net").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("scope").orderBy(F.col("net").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = groups.select("scope", "net", before.alias("before"))

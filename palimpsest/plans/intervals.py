@@ -34,11 +34,9 @@ Results equal ``encode.encode`` on the replayed prefixes (tested row by row).
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
@@ -48,28 +46,12 @@ from palimpsest.functions.tokens import estimate
 from palimpsest.operators import dictionary, sessions
 from palimpsest.operators.automaton import Dictionary
 from palimpsest.plans import encode
-from palimpsest.streaming.decoder import shared_folder
-from palimpsest.streaming.store import Memo
+from palimpsest.streaming.store import Memo, written
 
 #: What a text's rewriting depends on beside the text.
 CONTEXT = ["scope", "version", "profile"]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, until the program ends: computed once, and no lineage behind it."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/memo"
-    df.write.parquet(path)
-    atexit.register(_removed, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _removed(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone by then, and its folder with it
-        if spark.sparkContext._jsc is not None:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 def spans(messages: DataFrame, asked: DataFrame, settings: Settings) -> DataFrame:
     """Messages (conv_id, idx, role, content, has_tool_calls) that some request sends, with place, key (of the text), from_req, old_from (null: never old), last_req, and the conversation's scope and profile."""
     conv = Window.partitionBy("conv_id")

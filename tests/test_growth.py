@@ -2,6 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from palimpsest.functions import strings
+from palimpsest.operators import automaton, dictionary
 from palimpsest.plans import serving
 
 
@@ -20,3 +24,26 @@ def test_generations_are_counted_without_pairs_of_a_scope(spark):
             before[s] += (s, e) in known
     got = sorted(tuple(r) for r in out.collect())
     assert got == sorted((s, e, want[s, e]) for s, e in log)
+
+
+def test_scoped_forms_meet_texts_by_keys(spark):
+    """Equal forms count once, long ones share their first characters, numbers pass 2 ** 31; results are those of the chain and of an automaton of all forms."""
+    rng = random.Random(3)
+    words = ["run", "the", "tests", "before", "anything", "elsé", "back"]
+    phrases = ["run the tests", *{" ".join(rng.choices(words, k=k)) for k in (2, 3, 6, 6, 6) for _ in range(30)}]
+    forms = [("run the tests", f"K{i}") for i in range(1, 200)] + [(p, f"K{3_000_000_000 + i}") for i, p in enumerate(phrases)]
+    aliases = spark.createDataFrame([("s", c, f, [f], None) for f, c in forms], dictionary.ALIASES)
+    known = automaton.Dictionary.scoped(aliases, spark.createDataFrame([("s", 1, [c for _, c in forms])], "scope string, version int, codes array<string>"))
+    texts = [" ".join(rng.choices([*words, "RUN", "ELSÉ"], k=rng.randint(0, 14))) for _ in range(80)]
+    df = spark.createDataFrame([("s", 1, i, t) for i, t in enumerate(texts)], "scope string, version long, id long, text string")
+    found = {r["id"]: r["hits"] for r in automaton.hits(df.filter("text != ''"), known.forms).collect()}
+    finder = automaton.Finder([(k, "(?iU)" + f, c) for k, (f, c) in enumerate(forms)])
+    for i, t in enumerate(texts):
+        assert {h["pattern"] for h in found.get(i, [])} >= {h[1] for h in finder.of(t)}
+        assert sum(h["pattern"] == "(?iU)run the tests" for h in found.get(i, [])) <= 1
+    ordered = sorted(forms, key=lambda x: (-len(x[0]), int(x[1][1:]), x[0]))
+    hit = [[(f, c) for f, c in ordered if strings.folded(f) in strings.folded(t)] for t in texts]
+    plain = [df.filter(F.col("id") == i).withColumn("want", strings.chained(F.col("text"), [(f"(?iU){f}", c) for f, c in h])) for i, h in enumerate(hit[:12])]
+    want = {r["id"]: r["want"] for p in plain for r in p.collect()}
+    got = {r["id"]: r["out"] for r in known.coded(df, "text", "out").collect()}
+    assert {i: got[i] for i in want} == want
