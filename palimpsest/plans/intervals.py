@@ -29,7 +29,8 @@ With a ``memo``, what was computed for a text (its skeleton, its lines, its code
 kept from call to call, so that a conversation that goes on costs the patterns of its new texts only. A memo belongs to
 one dictionary, whose generations don't change, one counter and one set of settings.
 
-Results equal ``encode.encode`` on the replayed prefixes (tested row by row).
+Results equal ``encode.encode`` on the replayed prefixes (tested row by row); in mode OFF nothing is rewritten, so there is
+no rewritten text to report either.
 """
 
 from __future__ import annotations
@@ -159,6 +160,8 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
     for column, default in (("scope", "global"), ("version", 1), ("profile", "")):
         asked = asked if column in asked.columns else asked.withColumn(column, F.lit(default))
     rows = written(spans(messages, asked, settings))
+    if settings.mode == "OFF":
+        return unchanged(rows, asked, settings, provider, size)
     end = F.col("last_req") + 1
     until_new = F.coalesce("old_from", end)
     is_new = (F.col("content") != "") & (F.col("from_req") < until_new)
@@ -251,6 +254,19 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
     return states.drop("plain_size", "aliased_size"), failed(encode.priced(req, settings, provider, size), rows)
 
 
+def unchanged(rows: DataFrame, asked: DataFrame, settings: Settings, provider: str, size: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """States and requests in mode OFF: messages are counted and go out as they came, no text is rewritten."""
+    content = F.col("content")
+    rows = rows.withColumn("counted", size(content)).withColumn("tokens", F.coalesce("counted", estimate(content)))
+    route = F.when(content == "", "empty").otherwise("new")
+    states = rows.select("conv_id", "idx", "place", "role", "content", "tokens", route.alias("route"), content.alias("plain"), content.alias("aliased"), F.when(content != "", "original").alias("label"), "from_req", (F.col("last_req") + 1).alias("until_req"))
+    upto = Window.partitionBy("conv_id").orderBy("req_no").rowsBetween(Window.unboundedPreceding, 0)
+    sums = asked.select("conv_id", "req_no", *CONTEXT).join(rows.groupBy("conv_id", F.col("from_req").alias("req_no")).agg(F.sum("tokens").alias("n")), ["conv_id", "req_no"], "left")
+    req = sums.withColumn("original_tokens", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    req = req.withColumns({"plain_tokens": F.col("original_tokens"), "alias_tokens": F.col("original_tokens"), "used": F.array().cast("array<string>"), "block": F.lit(""), "digest": F.lit(None).cast("string"), "digest_alias": F.lit(None).cast("string")})
+    return states, failed(encode.priced(req, settings, provider, size), rows)
+
+
 def failed(req: DataFrame, rows: DataFrame) -> DataFrame:
     """Requests as they are, but for those that send a message with an error (conv_id, idx, from_req, error, counted): they ship unchanged, and say why."""
     error = F.coalesce("error", F.when(F.col("counted").isNull(), "CountError"))

@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest.functions import strings
+from palimpsest.functions.config import Settings
 from palimpsest.operators import automaton, dictionary
-from palimpsest.plans import serving
+from palimpsest.plans import encode, intervals, replay, serving
 
 
 def test_generations_are_counted_without_pairs_of_a_scope(spark):
@@ -47,3 +48,22 @@ def test_scoped_forms_meet_texts_by_keys(spark):
     want = {r["id"]: r["want"] for p in plain for r in p.collect()}
     got = {r["id"]: r["out"] for r in known.coded(df, "text", "out").collect()}
     assert {i: got[i] for i in want} == want
+
+
+def test_mode_off_rewrites_nothing(spark, monkeypatch):
+    """Messages are counted and go out as they came; no pattern of the encoder runs. Shipped requests equal those of ``encode.encode``."""
+    talk = [(c, i, "user" if i % 2 == 0 else "assistant", "" if (c, i) == (2, 1) else f"Please run the tests afterwards {c} {i}. " * (i + 1), False) for c in (1, 2) for i in range(6)]
+    messages = spark.createDataFrame(talk, "conv_id long, idx long, role string, content string, has_tool_calls boolean")
+    asked, settings = replay.requests(messages), Settings(mode="OFF")
+    shipped = ["conv_id", "req_no", "original_tokens", "encoded_tokens", "dict_overhead", "eff_overhead", "saved", "saved_effective", "pct", "fallback", "fallback_reason", "state", "head"]
+    sent, whole = encode.encode(replay.replayed(messages, asked).drop("last_idx"), settings)
+    want, out = sorted(map(tuple, whole.select(shipped).collect())), sorted(map(tuple, encode.composed(sent, whole).collect()))
+
+    def never(*_, **__):
+        raise AssertionError("a text is rewritten")
+
+    for name in ("skeletons", "judged", "turn_lines"):
+        monkeypatch.setattr(encode, name, never)
+    states, req = intervals.encoded(messages, asked, settings)
+    assert sorted(map(tuple, req.select(shipped).collect())) == want
+    assert sorted(map(tuple, encode.composed(intervals.at_requests(states, asked), req).collect())) == out
