@@ -471,7 +471,7 @@ def f06(spark, sf_dir):
 
 @query("a18_scoped_codes", _SCOPED_SQL)
 def a18_scoped(spark, sf_dir):
-    """Every prompt coded by the dictionary of its scope and generation: thousands of forms, found by an automaton each."""
+    """Every prompt coded by the dictionary of its scope and generation: thousands of forms, found by keys."""
     known = automaton.Dictionary.scoped(*scoped_aliases(spark, sf_dir))
     rows = derived.prompts(spark, sf_dir).withColumns({"scope": (F.col("conv_id") % 2).cast("string"), "version": F.col("idx") % 3 + 1})
     return known.coded(rows, "content", "out").select("conv_id", "idx", "out")

@@ -53,6 +53,13 @@ from palimpsest.streaming.store import Memo, written
 CONTEXT = ["scope", "version", "profile"]
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt before costly work on their texts, to more tasks than there are cores: hashed once more, or a grouping by the same keys would lend its few large partitions."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, F.xxhash64(*keys))
+
+
 def spans(messages: DataFrame, asked: DataFrame, settings: Settings) -> DataFrame:
     """Messages (conv_id, idx, role, content, has_tool_calls) that some request sends, with place, key (of the text), from_req, old_from (null: never old), last_req, and the conversation's scope and profile."""
     conv = Window.partitionBy("conv_id")
@@ -155,8 +162,7 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
     """
     if settings.history_style != "digest":
         raise ValueError("intervals are for digests; folds depend on what each request sends")
-    spark = messages.sparkSession
-    known = known if known is not None else Dictionary.seeded(spark, settings)
+    known = known if known is not None else Dictionary.seeded(messages.sparkSession, settings)
     for column, default in (("scope", "global"), ("version", 1), ("profile", "")):
         asked = asked if column in asked.columns else asked.withColumn(column, F.lit(default))
     rows = written(spans(messages, asked, settings))
@@ -165,18 +171,17 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
     end = F.col("last_req") + 1
     until_new = F.coalesce("old_from", end)
     is_new = (F.col("content") != "") & (F.col("from_req") < until_new)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     # per distinct text: what depends on nothing else; a text that is never new, or never old, is spared the other part
     flags = rows.groupBy("key", "profile").agg(F.first("content").alias("content"), F.max(is_new).alias("new"), F.max(F.coalesce(F.col("old_from").isNotNull() & (old_route() == "digest"), F.lit(False))).alias("old"))
     fill = memo.filled if memo is not None else lambda name, wanted, on, make: written(make(wanted))
 
     def skeletons(flags: DataFrame) -> DataFrame:
-        texts = flags.repartition(parts, "key", "profile").withColumns({"counted": size(F.col("content")), "whole": F.col("content"), "content": F.when(F.col("new"), F.col("content"))})
+        texts = dealt(flags, "key", "profile").withColumns({"counted": size(F.col("content")), "whole": F.col("content"), "content": F.when(F.col("new"), F.col("content"))})
         return encode.skeletons(texts, []).select("key", "profile", "new", F.col("whole").alias("content"), "counted", F.coalesce("counted", estimate(F.col("whole"))).alias("tokens"), "skeleton", "regions", "terse", sessions.entity_names(F.col("whole")).alias("names"))
 
     def all_lines(texts: DataFrame) -> DataFrame:
-        return encode.turn_lines(texts.repartition(parts, "key"), ["key"]).select("key", "pos", "line")
+        return encode.turn_lines(dealt(texts, "key"), ["key"]).select("key", "pos", "line")
 
     made = fill("texts", flags, ["key", "profile", "new"], skeletons).drop("new")
     said = fill("lines", flags.filter("old").select("key", "content").dropDuplicates(["key"]), ["key"], all_lines).filter("line != ''")
@@ -192,7 +197,7 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
         return known.with_expansions(encode.bundled(known.coded(coded, "terse", "coded")), F.col("content"), F.col("terse"), F.col("coded"))
 
     def judgements(texts: DataFrame) -> DataFrame:
-        out = encode.judged(texts.join(coded, ["key", *CONTEXT]).repartition(parts, "key"), F.col("expansions"), settings, size).select("key", *CONTEXT, "pairs", "plain", "aliased", "label")
+        out = encode.judged(dealt(texts.join(coded, ["key", *CONTEXT]), "key", "pairs"), F.col("expansions"), settings, size).select("key", *CONTEXT, "pairs", "plain", "aliased", "label")
         out = out.withColumns({f"{track}_size": size(F.col(track)) for track in ("plain", "aliased")}).join(made.select("key", "profile", "content", "tokens"), ["key", "profile"])
         for track in ("plain", "aliased"):  # never longer than the original
             long = F.col(f"{track}_size") >= F.col("tokens")
@@ -225,7 +230,8 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
 
     # digests: coded like fresh texts, names as whole words
     digests = by_version(absorbed(rows, said, settings), asked)
-    plain_digests = digests.select(F.col("digest").alias("terse"), *CONTEXT).distinct().repartition(parts)
+    plain_digests = digests.select(F.col("digest").alias("terse"), *CONTEXT).distinct()
+    plain_digests = dealt(plain_digests, "terse")
     coded_digests = known.coded(plain_digests, "terse", "coded").select(F.col("terse").alias("digest"), *CONTEXT, dictionary.bundle(F.col("coded")).alias("digest_coded"))
     digests = touched(digests.join(coded_digests, ["digest", *CONTEXT]), entities, F.col("digest_coded"), F.lit(""))
     digests = written(digests.withColumn("digest_alias", dictionary.alias_entities(F.col("digest_coded"), F.col("pairs"), True)).select("conv_id", "from_req", "until_req", "digest", "digest_alias"))

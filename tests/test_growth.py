@@ -67,3 +67,9 @@ def test_mode_off_rewrites_nothing(spark, monkeypatch):
     states, req = intervals.encoded(messages, asked, settings)
     assert sorted(map(tuple, req.select(shipped).collect())) == want
     assert sorted(map(tuple, encode.composed(intervals.at_requests(states, asked), req).collect())) == out
+
+
+def test_costly_texts_are_dealt_to_more_tasks_than_cores(spark):
+    """A grouping by the same keys doesn't lend its partitions, which are merged to few."""
+    flags = spark.range(500).selectExpr("cast(id % 100 as string) as key", "'' as profile").groupBy("key", "profile").count()
+    assert intervals.dealt(flags, "key", "profile").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
