@@ -42,6 +42,15 @@ REGION_SIGNS = {
     "env_assign": "=", "regex_lit": "/", "semver": ".", "date": "-", "identifier": "_", "dotted_call": ".", "filename": ".",
 }
 
+#: What every match of a kind holds as well, found without a look at the borders of words.
+REGION_SHAPES = {
+    "win_path": r"[A-Za-z]:[\\/]", "hash": r"[0-9a-fA-F]{32}", "base64": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}", "quoted": r"[\"']", "number_unit": r"(?U)\d", "date": r"(?U)\d-\d", "semver": r"(?U)\d\.\d",
+    "api_key": r"[kpobaA][-_A-Za-z0-9]{12}", "bearer": r"[bBtT][eEoO][aAkKK][rReE]", "camel_ident": r"[a-z][A-Z]", "dotted_call": r"\.[^ \n]", "filename": r"\.[^ \n]",
+}
+
+#: What a match of a kind begins with.
+REGION_STARTS = {"bearer": "bBtT", "hash": "0-9a-fA-F", "uuid": "0-9a-fA-F", "env_assign": "A-Z", "identifier": "a-z", "camel_ident": "a-z", "win_path": "A-Za-z", "api_key": "sprgxA", "number_unit": r"\p{Nd}", "date": r"\p{Nd}"}
+
 # --- fixed values: phrases deleted, then rewritten, in order --------------------------------
 DELETED = (
     r"\bplease\b,?\s*", r"\bkindly\s+", r"\bjust\s+(?=go|make|do|run|check|take|try|add|use)", r"\bgo ahead and\s+", r"\bfeel free to\s+",
@@ -65,6 +74,8 @@ TIGHTENED = ((r"(?U)\s+([,;:.!?])", "$1"), (r"(?U)([,;:])\s*\1+", "$1"), (r"[ \t
 
 # --- fixed values: invariants ----------------------------------------------------------------
 NEGATION = r"(?Ui)\b(?:not|no|never|don'?t|do not|won'?t|cannot|can'?t|shouldn'?t|mustn'?t|without|except|unless|only)\b"
+NEGATION_START, MODALITY_START, COMPARATOR_START = "nNdDwWcCsSſmMeEuUoO", "mMsSſoOrRaA", "<>aAnNuUeE"
+COMPARATOR_SHAPE = r"[<>tTnNoOyY](?:(?<=[<>])|(?U:\s*\d))"
 PROHIBITIONS = ("not", "no", "never", "dont", "do not", "wont", "cannot", "cant", "shouldnt", "mustnt", "without")
 NUMBER = r"(?U)\d+(?:\.\d+)?"
 COMPARATOR = r"(?Ui)(<=|>=|<|>|(?:\bat least\b|\bat most\b|\bno more than\b|\bno fewer than\b|\bup to\b|\bexactly\b)(?=\s*\d))"
@@ -75,6 +86,8 @@ FAILURE_COST = 0.4
 
 # --- fixed values: dictionary ----------------------------------------------------------------
 CODE = r"(?U)\b([KPE]\d+)\b"
+CODE_START = "KPE"
+CODE_SHAPE = r"[KPE](?U:\d)"
 SEEDS = (
     ("K1", "analyze the program", (r"analy[sz]e th(?:is|e) (?:following )?(?:program|code)",)),
     ("K2", "preserve existing behavior", (
@@ -108,6 +121,7 @@ MINT_EVERY = 25
 
 # --- fixed values: sessions, folding, requests ------------------------------------------------
 ENTITY = r"(?U)\b([A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+){1,3})\b"
+ENTITY_SHAPE = r"[A-Z][a-z0-9]+(?U:\s)+[A-Z][a-z0-9]"
 ENTITY_STOPS = ("The", "A", "An", "This", "That", "Our", "Your", "My", "Its", "In", "On", "At", "For", "With", "And", "Or", "But", "If")
 FENCE = r"(?Us)```[^\n]*\n(.*?)```"
 KEY_LINE = r"(?Ui)\b(error|fail(?:ed|ure)?|exception|traceback|decided?|decision|must|should not|do not|don't|constraint|requirement|warning|fixed|bug|todo|important|note:|conclusion|result)\b"

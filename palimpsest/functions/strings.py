@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+$", "")
 
 
-def found(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+def found(c: Column, pattern: str, group: int = 0, shape: str | None = None) -> Column:
+    """All matches in order. ``shape``: a cheaper pattern, that finds something in each text with a match."""
+    matches = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    return matches if shape is None else F.when(~F.rlike(c, F.lit(shape)), F.array().cast("array<string>")).otherwise(matches)
 
 
 def lines(c: Column) -> Column:
@@ -43,9 +46,9 @@ def mapped(c: Column, values: dict[str, str]) -> Column:
     return reduce(lambda out, kv: F.when(c == kv[0], kv[1]).otherwise(out), reversed(values.items()), c)
 
 
-def replaced_each(c: Column, pattern: str, make) -> Column:
-    """Every match m (number i, from 0) becomes make(m, i): the pieces between matches and the new texts are joined again."""
-    pieces, matches = F.split(c, pattern, -1), found(c, pattern)
+def replaced_each(c: Column, pattern: str, make, shape: str | None = None) -> Column:
+    """Every match m (number i, from 0) becomes make(m, i): the pieces between matches and the new texts are joined again. ``shape``: see ``found``."""
+    pieces, matches = F.split(c, pattern, -1), found(c, pattern, 0, shape)
     joined = F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(make(F.get(matches, i), i), F.lit(""))))
     return F.when(F.size(matches) == 0, c).otherwise(F.array_join(joined, ""))
 
@@ -78,19 +81,49 @@ def required(pattern: str) -> str:
     return folded(max([*runs, run], key=len))
 
 
+def begun(pattern: str, first: str) -> str:
+    """A pattern that is tried only where one of some characters stands, which each of its matches begins with: cheaper than a look at the border of a word at every place."""
+    flags = re.match(r"(\(\?[a-zA-Z]+\))?", pattern)[0]
+    return f"{flags}(?=(?-iU:[{first}]))(?:{pattern[len(flags):]})"
+
+
+def _tried(pattern: str) -> str:
+    """A pattern without case as ``begun``, if it begins with a letter."""
+    try:
+        parts = [part for part in re._parser.parse(pattern.removeprefix("(?iU)")) if part[0] != re._constants.AT]
+    except re.error:
+        return pattern
+    if not pattern.startswith("(?iU)") or not parts or parts[0][0] != re._constants.LITERAL or not (c := chr(parts[0][1]).lower()).isascii() or not c.isalpha():
+        return pattern
+    return begun(pattern, c + c.upper() + "".join(odd for odd, plain in zip(*_ODD_CASES, strict=True) if plain == c))
+
+
+#: Characters beyond ASCII that match an ASCII letter without case, and these letters.
+_ODD_CASES = ("\u017f\u212a\u0130\u0131", "skii")
+
+
+def _low(c: str) -> str:
+    """SQL of a text whose ASCII letters are all that match without case, in lower case."""
+    return f"lower(translate({c}, '{_ODD_CASES[0]}', '{_ODD_CASES[1]}'))"
+
+
 def chained(c: str | Column, rules) -> Column:
     """Sequential replacements (pattern, replacement). A column's name gives one SQL text, which is built at once and not call by call.
 
-    With a name, the rules run only on texts that hold a literal which some rule's matches need. Without one, no rule
-    can begin, so the text stays. Rules without such a literal always run, after the others or before: a chain is cut
-    into stretches of guarded and unguarded rules, and guards are given to a leading stretch alone.
+    With a name, a rule runs only where the text, as the rules before have left it, holds the literal that each of its
+    matches needs. Rules without such a literal always run.
     """
     if not isinstance(c, str):
         return reduce(lambda out, rule: F.regexp_replace(out, rule[0], rule[1]), rules, c)
-    rules = list(rules)
-    lead = next((k for k, rule in enumerate(rules) if len(required(rule[0])) < 2), len(rules))
-    apply = lambda out, some: reduce(lambda o, rule: f"regexp_replace({o}, {literal(rule[0])}, {literal(rule[1])})", some, out)
-    if lead < 8:
-        return F.expr(apply(f"`{c}`", rules))
-    signs = "|".join(sorted({re.escape(required(p)) for p, _ in rules[:lead]}))
-    return F.expr(f"if(rlike(`{c}`, {literal('(?iu)' + signs)}), {apply(f'`{c}`', rules)}, {apply(f'`{c}`', rules[lead:])})")
+    rules = [(_tried(pattern), new, need if len(need := required(pattern)) > 1 and need.isascii() else "") for pattern, new in rules]
+    out = f"`{c}`"
+    for guarded, some in groupby(rules, lambda rule: bool(rule[2])):
+        some = list(some)
+        if not guarded or len(some) < 3:
+            out = reduce(lambda o, rule: f"regexp_replace({o}, {literal(rule[0])}, {literal(rule[1])})", some, out)
+            continue
+        table = ", ".join(f"named_struct('need', {literal(r[2])}, 'pattern', {literal(r[0])}, 'new', {literal(r[1])})" for r in some)
+        state = lambda x: f"named_struct('now', {x}, 'low', {_low(x)})"
+        done = f"get(transform(array(regexp_replace(s.now, r.pattern, r.new)), x -> {state('x')}), 0)"
+        out = f"aggregate(array({table}), get(transform(array({out}), x -> {state('x')}), 0), (s, r) -> if(contains(s.low, r.need), {done}, s), s -> s.now)"
+    return F.expr(out)

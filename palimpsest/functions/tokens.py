@@ -13,7 +13,7 @@ from palimpsest.functions import fixed
 
 def estimate(c: Column) -> Column:
     """The ``claude-est`` counter. Half-even rounding; 0 for empty texts, 1 at least otherwise."""
-    cjk = F.regexp_count(c, F.lit(fixed.CJK)).cast("double")
+    cjk = F.when(F.octet_length(c) == F.length(c), F.lit(0)).otherwise(F.regexp_count(c, F.lit(fixed.CJK))).cast("double")
     rest = F.length(c).cast("double") - cjk
     n = F.bround(cjk * F.lit(fixed.TOKENS_PER_CJK) + rest / F.lit(fixed.CHARS_PER_TOKEN)).cast("long")
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), n))

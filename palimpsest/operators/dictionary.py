@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.functions.strings import chained, found, replaced_each, strip
+from palimpsest.functions.strings import begun, chained, found, replaced_each, strip
 from palimpsest.functions.tokens import estimate
 
 ALIASES = "scope string, code string, expansion string, surface_forms array<string>, members array<string>"
@@ -92,12 +92,12 @@ def alias_pass(c: str | Column, rules: list[tuple[str, str]], pairs: Column) ->
 
 def codes(c: Column) -> Column:
     """All codes in a text, in order."""
-    return found(c, fixed.CODE, 1)
+    return found(c, begun(fixed.CODE, fixed.CODE_START), 1, fixed.CODE_SHAPE)
 
 
 def expand(c: Column, expansions: Column) -> Column:
     """Every known code becomes its expansion, in one pass; unknown codes stay. ``expansions``: map<code, text>."""
-    return replaced_each(c, fixed.CODE, lambda m, i: F.coalesce(F.try_element_at(expansions, m), m))
+    return replaced_each(c, begun(fixed.CODE, fixed.CODE_START), lambda m, i: F.coalesce(F.try_element_at(expansions, m), m), fixed.CODE_SHAPE)
 
 
 def expansions(aliases: DataFrame) -> DataFrame:

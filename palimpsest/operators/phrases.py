@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.functions.strings import chained, found
+from palimpsest.functions.strings import begun, chained, found
 
 
 DELETIONS = [(f"(?iU){p}", "") for p in fixed.DELETED]
@@ -31,4 +31,4 @@ def compress(skeleton: str | Column) -> Column:
 
 def negations(c: Column) -> Column:
     """Negation words in order, in lower case and without apostrophes."""
-    return F.transform(found(c, fixed.NEGATION), lambda x: F.replace(F.lower(x), F.lit("'"), F.lit("")))
+    return F.transform(found(c, begun(fixed.NEGATION, fixed.NEGATION_START)), lambda x: F.replace(F.lower(x), F.lit("'"), F.lit("")))

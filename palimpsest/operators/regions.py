@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.functions.strings import found, literal
+from palimpsest.functions.strings import begun, found, literal
 
 _EMPTY = "array<struct<kind:string,text:string>>"
 #: Kinds in one selection: each is three columns that name earlier ones, and the analyzer resolves a bounded number of them at a time.
@@ -29,9 +29,11 @@ def extract(df: DataFrame, column: str, skeleton: str = "skeleton", regions: str
     for first in range(0, len(fixed.REGIONS), TOGETHER):
         steps, k = [], first
         for k, (kind, pattern) in enumerate(fixed.REGIONS[first : first + TOGETHER], first):
+            pattern = begun(pattern, fixed.REGION_STARTS[kind]) if kind in fixed.REGION_STARTS else pattern
             s, r, m = f"__s{k}", f"__r{k}", f"__m{k}"
-            matches, sign = f"regexp_extract_all({s}, {literal(pattern)}, 0)", fixed.REGION_SIGNS.get(kind)
-            steps.append(f"if(contains({s}, {literal(sign)}), {matches}, cast(array() as array<string>)) as {m}" if sign else f"{matches} as {m}")
+            matches, sign, shape = f"regexp_extract_all({s}, {literal(pattern)}, 0)", fixed.REGION_SIGNS.get(kind), fixed.REGION_SHAPES.get(kind)
+            signs = [f"{test}({s}, {literal(held)})" for test, held in (("contains", sign), ("rlike", shape)) if held]
+            steps.append(f"if({' and '.join(signs)}, {matches}, cast(array() as array<string>)) as {m}" if signs else f"{matches} as {m}")
             number = f"concat('{fixed.OPEN}', cast(size({r}) + i as string), '{fixed.CLOSE}')"
             pieces = f"transform(arrays_zip(split({s}, {literal(pattern)}, -1), {m}), (z, i) -> concat(z['0'], if(z['{m}'] is null, '', {number})))"
             steps.append(f"if(size({m}) = 0, {s}, array_join({pieces}, '')) as __s{k + 1}")

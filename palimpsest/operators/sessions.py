@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.functions.strings import content_hash, found, text
+from palimpsest.functions.strings import begun, content_hash, found, text
 
 
 def session_ids(messages: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def session_ids(messages: DataFrame) -> DataFrame:
 
 def entity_names(c: Column) -> Column:
     """Runs of two to four capitalised words without leading stop words, if two words and eight letters are left."""
-    words = F.transform(found(c, fixed.ENTITY, 1), lambda n: F.split(n, r"(?U)\s+"))
+    words = F.transform(found(c, begun(fixed.ENTITY, "A-Z"), 1, fixed.ENTITY_SHAPE), lambda n: F.split(n, r"(?U)\s+"))
     dropped = F.transform(words, lambda ws: F.aggregate(ws, F.array().cast("array<string>"), lambda kept, w: F.when((F.size(kept) == 0) & w.isin(*fixed.ENTITY_STOPS), kept).otherwise(F.array_append(kept, w))))
     return F.transform(F.filter(dropped, lambda ws: (F.size(ws) >= 2) & (F.length(F.array_join(ws, " ")) >= 8)), lambda ws: F.array_join(ws, " "))
 

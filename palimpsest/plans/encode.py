@@ -96,12 +96,17 @@ def judged(rows: DataFrame, expansions: Column, settings: Settings, size: Callab
     out = out.withColumn("expansions", whole)
     for name, skeleton in (("terse", "terse"), ("alias", "coded")):
         out = out.withColumn(f"{name}_text", regions.restore(F.col(skeleton), F.col("regions")))
-        out = out.withColumn("decoded", dictionary.expand(F.col(f"{name}_text"), F.col("expansions")))
-        out = out.withColumn(f"{name}_verdict", verifier.verify(F.col("content"), F.col("decoded")))
         out = out.withColumn(f"{name}_tokens", size(F.col(f"{name}_text")))
         saved = F.col("tokens") - F.col(f"{name}_tokens")
         worth = (saved >= settings.min_savings_abs) | (saved / F.greatest(F.lit(1), F.col("tokens")) * 100 >= settings.min_savings_pct)
-        out = out.withColumn(f"{name}_ok", F.coalesce(F.col(f"{name}_text").isNotNull() & F.col(f"{name}_verdict.ok") & (F.col(f"{name}_verdict.confidence") >= settings.min_confidence) & worth & (F.col(f"{name}_tokens") < F.col("tokens")), F.lit(False)))
+        # only what would ship is decoded and verified, and a text without codes once
+        asked = worth & (F.col(f"{name}_tokens") < F.col("tokens")) & (F.lit(True) if name == "terse" else F.col("coded") != F.col("terse"))
+        out = out.withColumn(f"{name}_decoded", F.when(asked, dictionary.expand(F.col(f"{name}_text"), F.col("expansions"))))
+    out = out.withColumn("held", F.when(F.col("terse_decoded").isNotNull() | F.col("alias_decoded").isNotNull(), verifier.invariants(F.col("content"))))
+    for name in ("terse", "alias"):
+        decoded = F.col(f"{name}_decoded")
+        out = out.withColumn(f"{name}_verdict", F.when(decoded.isNotNull(), verifier.verify(F.col("content"), decoded, F.col("held"))))
+        out = out.withColumn(f"{name}_ok", F.coalesce(F.col(f"{name}_verdict.ok") & (F.col(f"{name}_verdict.confidence") >= settings.min_confidence), F.lit(False)))
     alias_wins = F.col("alias_ok") & (F.col("coded") != F.col("terse")) & (~F.col("terse_ok") | (F.col("alias_tokens") < F.col("terse_tokens")))
     return out.withColumns({
         "plain": F.when(F.col("terse_ok"), F.col("terse_text")).otherwise(F.col("content")),

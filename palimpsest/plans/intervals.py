@@ -110,8 +110,11 @@ def touched(rows: DataFrame, entities: DataFrame, said: Column, also: Column) ->
     rows = rows.withColumn("__id", F.xxhash64(*[F.col(f"`{c}`") for c in ("conv_id", "idx", "from_req")])).withColumns({"__said": said, "__codes": F.array_distinct(F.concat(dictionary.codes(said), dictionary.codes(also)))})
     odd = F.regexp_like("name", F.lit(fixed.CODE))
     signs = entities.select("*", odd.alias("odd"), F.explode(F.array_distinct(F.concat(F.slice(_marks(F.col("name")), 1, 1), F.array("code"), F.when(odd, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))))).alias("mark"))
-    texts = rows.select("conv_id", "idx", "from_req", "until_req", "__said", "__codes", F.explode(F.array_distinct(F.concat(_marks(F.col("__said")), "__codes", F.array(F.lit("*"))))).alias("mark"))
-    near = texts.join(signs, ["conv_id", "mark"]).filter("since < until_req").filter(F.contains("__said", F.col("name")) | F.array_contains("__codes", F.col("code")) | F.col("odd"))
+    state = ["conv_id", "idx", "from_req"]
+    # marks meet without their texts; a text is looked into once for all that may touch it
+    texts = rows.select(*state, "until_req", F.explode(F.array_distinct(F.concat(_marks(F.col("__said")), "__codes", F.array(F.lit("*"))))).alias("mark"))
+    may = texts.join(signs, ["conv_id", "mark"]).filter("since < until_req").select(*state, "number", "name", "code", "since", "odd").distinct()
+    near = rows.select(*state, "__said", "__codes").join(may, state).filter(F.contains("__said", F.col("name")) | F.array_contains("__codes", F.col("code")) | F.col("odd"))
     found = near.groupBy("conv_id", "idx", "from_req").agg(F.collect_set(F.struct((-F.length("name")).alias("order"), "number", "name", "code", "since")).alias("__near"))
     rows = rows.drop("__id", "__codes").join(found, ["conv_id", "idx", "from_req"], "left").withColumn("__near", F.array_sort(F.coalesce("__near", F.array().cast("array<struct<order:int,number:int,name:string,code:string,since:int>>"))))
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.col("from_req").cast("int")), F.transform("__near", lambda e: F.greatest(e["since"], F.col("from_req")).cast("int")))))
@@ -205,7 +208,7 @@ def encoded(messages: DataFrame, asked: DataFrame, settings: Settings, known: Di
         return out.drop("content", "tokens")
 
     coded = fill("codes", fresh.select("key", *CONTEXT).distinct(), ["key", *CONTEXT], codes)
-    fresh = touched(fresh.join(coded.select("key", *CONTEXT, "content", F.col("coded").alias("said")), ["key", *CONTEXT]), entities, F.col("said"), F.col("content")).drop("said", "content")
+    fresh = written(touched(fresh.join(coded.select("key", *CONTEXT, "content", F.col("coded").alias("said")), ["key", *CONTEXT]), entities, F.col("said"), F.col("content")).drop("said", "content"))
     variants = fill("judgements", fresh.select("key", *CONTEXT, "pairs").distinct(), ["key", *CONTEXT, "pairs"], judgements)
     about = rows.select("conv_id", "idx", "place", "role", "content", "tokens", "last_req", "profile")
     new = fresh.join(variants, ["key", *CONTEXT, "pairs"]).drop("key", "profile", "scope", "version", "pairs").join(about, ["conv_id", "idx"]).withColumn("route", F.lit("new"))

@@ -142,3 +142,13 @@ def test_poisoned_requests_fail_alone(spark, tmp_path):
     assert all(got[4, n]["state"] == "encoded" for n in range(1, 5)) and got[1, 2]["state"] == "encoded"
     shipped = encode.composed(intervals.at_requests(states, asked), req).filter("conv_id = 1 and req_no = 3").orderBy("idx").collect()
     assert [r["content"] for r in shipped] == [t for c, i, _, t, *_ in talk if c == 1 and i <= 2]
+
+
+def test_marks_of_names_meet_without_their_texts(spark):
+    """A text is in one row when entities are looked up, not in one for each of its blanks."""
+    rows = spark.createDataFrame([(1, 0, 1, 3, "ask the Agent Manager of E1 now")], "conv_id long, idx long, from_req int, until_req int, content string")
+    entities = spark.createDataFrame([(1, 1, "E1", "Agent Manager", 2)], "conv_id long, number int, code string, name string, since int")
+    out = intervals.touched(rows, entities, F.col("content"), F.lit(""))
+    assert {(r.from_req, r.until_req, len(r.pairs)) for r in out.collect()} == {(1, 2, 0), (2, 3, 1)}
+    made = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in line and "mark#" in line]
+    assert made and not any("__said#" in line for line in made)

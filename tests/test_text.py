@@ -137,3 +137,25 @@ def test_extract_equals_one_kind_after_the_other(spark):
     got = regions.extract(df, "content").select("content", "skeleton", "regions.text")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select("content", F.col("s").alias("skeleton"), F.col("r").alias("text")).collect()))
     assert all(sign in fixed.REGION_SIGNS.values() for sign in ("```", "://")) and set(fixed.REGION_SIGNS) <= {k for k, _ in fixed.REGIONS}
+
+
+def test_rules_that_are_tried_by_letters_replace_what_a_plain_chain_does(spark):
+    """Letters beyond ASCII that match ASCII ones without case, and literals that an earlier rule brings or joins."""
+    words = ("plea\u017fe run", "\u212aindly go", "\u0130n order to x", "\u0131dentify any a", "IDENTIFY ANY b", "ma please ke sure", "in could you order to", "Basically, note that at least 3", "\u017fix", "analyse the code", None, "")
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    chain = [*phrases.DELETIONS, *phrases.REWRITES, (r"(?iU)behavior", "docs umentation"), (r"(?iU)docs umentation|six", "d"), *dictionary.seed_rules()]
+    rows = df.select(strings.chained("t", chain).alias("a"), strings.chained(F.col("t"), chain).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert "(?=" in str(df.select(strings.chained("t", chain))._jdf.queryExecution().analyzed().toString())  # rules don't look at every place
+
+
+def test_starts_and_shapes_leave_no_match_out(spark):
+    """Each pattern with its start and shape finds what it finds alone."""
+    said = ["sk-abcdefghijkl0123 BEARER abcdefghijklmnop1234 to\u212aen abcdefghijklmnopqr", "a" * 40 + " " + "0f" * 20, "5 ms 7\u00a0KB \u0665ms", "camelCase x_y 'ab' \"cd\"", "UP TO 3 exactly\u00a04 no more than 5 <6 at lea\u017ft 7", "don't \u017fhouldn't MUST NOT optional as always always unle\u017fs can't", "C:\\x app.main.run() v1.2.3 2024-05-06T07:08Z a.py A=1 ABC=1", "K1 xK2 P\u0661 K", "Agent Manager The Big\u00a0One"]
+    c = F.col("t")
+    pairs = [(strings.begun(p, fixed.REGION_STARTS[k]) if k in fixed.REGION_STARTS else p, p, 0, fixed.REGION_SHAPES.get(k)) for k, p in fixed.REGIONS]
+    pairs += [(strings.begun(fixed.NEGATION, fixed.NEGATION_START), fixed.NEGATION, 0, None), (strings.begun(fixed.MODALITY, fixed.MODALITY_START), fixed.MODALITY, 1, None), (strings.begun(fixed.COMPARATOR, fixed.COMPARATOR_START), fixed.COMPARATOR, 1, fixed.COMPARATOR_SHAPE)]
+    pairs += [(strings.begun(fixed.CODE, fixed.CODE_START), fixed.CODE, 1, fixed.CODE_SHAPE), (strings.begun(fixed.ENTITY, "A-Z"), fixed.ENTITY, 1, fixed.ENTITY_SHAPE)]
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    for quick, plain, group, shape in pairs:
+        assert not df.filter(strings.found(c, quick, group, shape) != strings.found(c, plain, group)).count(), plain
