@@ -7,6 +7,9 @@ ignores all others, so extra columns with any names pass by unharmed.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -100,10 +103,37 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def _released() -> None:
+    """Gives memory that is free back to the system; a worker goes on to later tasks, and would hold the most that any of them took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(function):
+    """A function on batches, after which its worker holds no more than it needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _released()
+
+    return run
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, for work whose tables are many times a batch's size."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def arrow_map(df: DataFrame, names: Iterable[str], function, schema: str) -> DataFrame:
     """``mapInArrow`` over just the named columns."""
     prepare(df)
-    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(function, schema)
+    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(releasing(function), schema)
 
 
 def as_batches(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, as_batches, ascii_lower, packed, texts
+from palimpsest.llm.common import arrow_map, as_batches, ascii_lower, packed, releasing, texts
 
 #: Bytes of text that a trie holds before subtrees are spilled.
 TRIE_BYTES = 64 << 20
@@ -240,7 +240,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True, budget: int = TRIE_BYTES) -> DataFrame:
     """One row per distinct normalised text: its digest, the winning id and the number of rows."""
     partial = arrow_map(df, (id_col, text_col), lambda it: local_tries(it, id_col, text_col, largest, budget), PARTIAL)
-    return partial.repartition("n_bytes", "hash").mapInArrow(lambda it: owner_tries(it, largest, budget), OWNERS)
+    return partial.repartition("n_bytes", "hash").mapInArrow(releasing(lambda it: owner_tries(it, largest, budget)), OWNERS)
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True, budget: int = TRIE_BYTES) -> DataFrame:

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, as_batches, ascii_lower, mix64, packed, stored, texts
+from palimpsest.llm.common import arrow_map, as_batches, ascii_lower, mix64, packed, releasing, stored, texts
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(releasing(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def _tokens(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(sets.select(F.col("id").alias("leader"), F.col("elements").alias("x")), "leader")
         .select("leader", "id", "n", "component", "x", "y")
     )
-    found = stored(joined.mapInArrow(run, "leader long, id long, n long, component long, d long, most long, elements array<long>"))
+    found = stored(joined.mapInArrow(releasing(run), "leader long, id long, n long, component long, d long, most long, elements array<long>"))
     far = F.expr(f"{100 - percent} * (n + n * 100 div {percent}) div {100 + percent}")
     low = found.groupBy("leader").agg(F.min("d").alias("low"))
     rows = found.join(low, "leader").withColumn("far", far)

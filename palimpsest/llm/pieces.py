@@ -32,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, as_batches, mix64, texts
+from palimpsest.llm.common import arrow_map, as_batches, mix64, sliced, texts
 
 SPACE = "▁"
 #: Occurrences of words handled at once, which bounds a worker's tables.
 BLOCK_WORDS = 250_000
+#: Rows of a batch whose words are in memory at once.
+SLICE = 100
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n+")
 _NEVER = 0x110000  # stands for characters that no piece may cover
 _U = np.uint64
@@ -248,7 +250,7 @@ def sampled_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path, theta)
-        for b in batches:
+        for b in sliced(batches, SLICE):
             keys = b.column(0).to_pylist()
             copies = b.column(2).to_pylist() if copy_col else [0] * len(keys)
             names = [f"{k or 0}/{c}" if c else str(k or 0) for k, c in zip(keys, copies, strict=True)]

@@ -82,3 +82,21 @@ def test_mix_carries_rows(spark):
     sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
     total = sum(sizes.values())
     assert all(words[s] <= 2 * sizes[s] for s in "abc") and abs(sum(words.values()) - 1.5 * total) <= 0.05 * total
+
+
+def test_workers_take_batches_in_slices_and_give_memory_back(monkeypatch):
+    """A worker goes on to later tasks: what a task took is released at its end, also where its reader stops early."""
+    import pyarrow as pa
+
+    from palimpsest.llm import common
+
+    released = []
+    monkeypatch.setattr(common, "_released", lambda: released.append(1))
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, a + n))}) for a, n in ((0, 7), (7, 0), (7, 3))]
+    parts = list(common.releasing(lambda it: common.sliced(it, 3))(iter(batches)))
+    assert [len(p) for p in parts] == [3, 3, 1, 3] and [x for p in parts for x in p.column(0).to_pylist()] == list(range(10))
+    assert len(released) == 1
+    early = common.releasing(lambda it: common.sliced(it, 3))(iter(batches))
+    next(early)
+    early.close()
+    assert len(released) == 2
