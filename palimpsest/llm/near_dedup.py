@@ -20,6 +20,9 @@ What remains are pairs of a bucket between components, which can be many where
 a group holds many near misses. A bucket with few of them (``PAIRS`` a member at
 most) is compared pair by pair. In the others every class x is known by its
 differences from the leader, D(x) = the elements that only one of the two has.
+Any set can stand for the leader, so a bucket whose leader lies in other buckets
+too takes the most central of their leaders, and a class's differences serve
+most of its buckets at once.
 Since D(x) and D(y) differ exactly where x and y do, a link leaves them at most
 (100 - percent) / (100 + percent) * (|x| + |y|) elements that only one has, and
 so at least O in common; of two sets in one order with O common elements, the
@@ -221,8 +224,10 @@ def _classified(df: DataFrame, width: int, percent: int, id_col: str, text_col:
     state.compare(_with_leader(member.join(_leaders(member), "bucket")))
     still = stored(_open(state.placed(member), "bucket"))
     few, many = _by_pairs(still)
-    token = stored(_tokens(many, sets, percent))
-    token = stored(_open(token, "leader", "element"), replaces=token)
+    apart = stored(_differences(many, sets, percent))
+    state.add(apart.filter("linked").select(*_pair("leader", "leader_n", "id", "n")).select("a", "b").join(state.tried, ["a", "b"], "left_anti"))
+    token = stored(_tokens(apart, percent))
+    token = stored(_open(state.placed(token), "leader", "element"), replaces=token)
     state.compare(_between(few, "bucket", percent).unionByName(_token_leaders(token, percent)))
     token = stored(state.placed(token), replaces=token)
     state.compare(_between(_open(token, "leader", "element"), ("leader", "element"), percent, prefixes=True))
@@ -248,7 +253,11 @@ class _State:
         near_size = pairs.filter(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
         fresh = stored(near_size.select("a", "b").distinct().join(self.tried, ["a", "b"], "left_anti"))
         self.tried = self.tried.union(fresh)
-        found = stored(verified(fresh, self.sets, self.percent))
+        self.add(verified(fresh, self.sets, self.percent))
+
+    def add(self, links: DataFrame) -> None:
+        """Links (a, b) that are new."""
+        found = stored(links)
         if not found.isEmpty():
             self.links = self.links.union(found)
             self.component = components(self.links)
@@ -267,8 +276,8 @@ def _open(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _leaders(member: DataFrame) -> DataFrame:
     """Every bucket's most central class."""
-    lead = member.groupBy("bucket").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("weight"), F.col("id"))).alias("lead"))
-    return lead.select("bucket", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"))
+    lead = member.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "weight"), F.struct(-F.col("weight"), F.col("id"))).alias("lead"))
+    return lead.select("bucket", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.weight").alias("leader_weight"))
 
 
 def _pair(x: str, nx: str, y: str, ny: str) -> list[Column]:
@@ -284,58 +293,79 @@ def _with_leader(rows: DataFrame) -> DataFrame:
 
 
 def _by_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets with few pairs between components, and (leader, id, n, component) of the others."""
+    """Rows of buckets with few pairs between components, and (leader, id, n) of the others."""
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"))
     marked = rows.join(sizes.select("bucket", F.expr(f"members * members - squares > {2 * PAIRS} * members").alias("many")), "bucket")
     many = marked.filter("many").drop("many")
-    return marked.filter("not many").drop("many"), many.join(_leaders(many), "bucket").filter("id != leader").select("leader", "id", "n", "component").distinct()
+    return marked.filter("not many").drop("many"), _with_centre(many)
+
+
+def _with_centre(rows: DataFrame) -> DataFrame:
+    """(leader, id, n) of buckets' rows: a bucket's leader gives way to the most central one of all buckets that it lies in.
+
+    One step only: a centre further away would differ more from the bucket's members.
+    """
+    leaders = stored(_leaders(rows))
+    lying = rows.select("bucket", F.col("id").alias("lead")).join(leaders.select(F.col("leader").alias("lead")).distinct(), "lead")
+    centre = lying.join(leaders, "bucket").groupBy("lead").agg(F.max_by("leader", F.struct("leader_weight", -F.col("leader"))).alias("centre"))
+    moved = leaders.join(centre, F.col("leader") == F.col("lead")).select("bucket", F.col("centre").alias("leader"))
+    return rows.join(moved, "bucket").filter("id != leader").select("leader", "id", "n").distinct()
 
 
-def _tokens(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Per class and leader the first elements of its differences, the rarest of the leader's group first: leader, element, at (from 1 on), id, n, component, d (all differences).
+def _differences(orbit: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Per class and leader all differences: leader, leader_n, id, n, d (their number), linked (the two), most (how many a link needs at most), elements.
 
     Of two classes in different components at least one, x, isn't linked with the
     leader l. With F(u, v) = (100 - percent) / (100 + percent) * (|u| + |v|), its
     D(x) has more than F(x, l) elements. A partner y that is linked with l thus
     needs (|D(y)| + F(x, y) - F(x, l)) / 2 + 1 elements at most. Of others, the
     larger difference set needs no more than F(x, y) + 1, with |y| * percent <= 100 * |x|.
-    Sizes of difference sets of a pair differ by F(x, y) at most, and none is below the
-    group's smallest, so no class needs more than (|D(x)| - least |D(y)| + F(x, y)) / 2 + 1.
-
-    What many classes share, such as the header of another template, comes last in this
-    order, and classes that differ each in its own way don't meet at all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, mosts, alls = [], [], []
-            for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            leads, sizes, close, mosts, alls = [], [], [], [], []
+            for p, q in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 lead, own = np.frombuffer(p, dtype=_U), np.frombuffer(q, dtype=_U)
                 new, gone = np.setdiff1d(own, lead, assume_unique=True), np.setdiff1d(lead, own, assume_unique=True)
                 d, n = len(new) + len(gone), len(own)
-                if (100 + percent) * d <= (100 - percent) * (n + len(lead)):
+                linked = (100 + percent) * d <= (100 - percent) * (n + len(lead))
+                if linked:
                     most = (d * (100 + percent) + (100 - percent) * (n - len(lead))) // (2 * (100 + percent)) + 1
                 else:
                     most = (100 - percent) * (n + n * 100 // percent) // (100 + percent) + 1
+                leads.append(len(lead))
                 sizes.append(d)
+                close.append(linked)
                 mosts.append(most)
                 alls.append(np.concatenate([new, gone]).astype(np.int64))
             yield from as_batches({
-                "leader": (b.column(0), pa.int64()), "id": (b.column(1), pa.int64()), "n": (b.column(2), pa.int64()), "component": (b.column(3), pa.int64()),
-                "d": (sizes, pa.int64()), "most": (mosts, pa.int64()), "elements": (alls, pa.list_(pa.int64())),
+                "leader": (b.column(0), pa.int64()), "leader_n": (leads, pa.int64()), "id": (b.column(1), pa.int64()), "n": (b.column(2), pa.int64()),
+                "d": (sizes, pa.int64()), "linked": (close, pa.bool_()), "most": (mosts, pa.int64()), "elements": (alls, pa.list_(pa.int64())),
             })
 
     joined = (
         orbit.join(sets.select("id", F.col("elements").alias("y")), "id")
         .join(sets.select(F.col("id").alias("leader"), F.col("elements").alias("x")), "leader")
-        .select("leader", "id", "n", "component", "x", "y")
+        .select("leader", "id", "n", "x", "y")
     )
-    found = stored(joined.mapInArrow(releasing(run), "leader long, id long, n long, component long, d long, most long, elements array<long>"))
+    return joined.mapInArrow(releasing(run), "leader long, leader_n long, id long, n long, d long, linked boolean, most long, elements array<long>")
+
+
+def _tokens(found: DataFrame, percent: int) -> DataFrame:
+    """The first elements of all differences, the rarest of the leader's group first: leader, element, at (from 1 on), id, n, d.
+
+    Sizes of difference sets of a pair differ by F(x, y) at most, and none is below the
+    group's smallest, so no class needs more than (|D(x)| - least |D(y)| + F(x, y)) / 2 + 1.
+
+    What many classes share, such as the header of another template, comes last in this
+    order, and classes that differ each in its own way don't meet at all.
+    """
     far = F.expr(f"{100 - percent} * (n + n * 100 div {percent}) div {100 + percent}")
     low = found.groupBy("leader").agg(F.min("d").alias("low"))
     rows = found.join(low, "leader").withColumn("far", far)
     rows = rows.withColumn("most", F.least("most", F.expr("(d - greatest(low, d - far) + far) div 2 + 1"))).drop("low", "far")
-    each = rows.select("leader", "id", "n", "component", "d", "most", F.explode("elements").alias("element"))
+    each = rows.select("leader", "id", "n", "d", "most", F.explode("elements").alias("element"))
     often = each.groupBy("leader", "element").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("leader", "id").orderBy("often", "element")
     ranked = each.join(often, ["leader", "element"]).withColumn("at", F.row_number().over(order))

@@ -442,6 +442,30 @@ def test_near_misses_by_differences(spark):
     assert got and {tuple(r) for r in got} == {tuple(r) for r in near_dedup.near_duplicates(docs, 2).collect()}
 
 
+def test_near_misses_are_laid_out_once_for_most_buckets(spark, monkeypatch):
+    """A class of a group of near misses lies in many buckets with leaders of their own; its differences are taken from few of these, whatever the group's size."""
+    monkeypatch.setattr(near_dedup, "PAIRS", 1)
+    by_pairs, seen = near_dedup._by_pairs, []
+
+    def counted(rows):
+        few, many = by_pairs(rows)
+        seen.append((many.count(), many.select("id").distinct().count()))
+        return few, many
+
+    monkeypatch.setattr(near_dedup, "_by_pairs", counted)
+    for size in (120, 360):
+        rng = np.random.default_rng(size)
+        rows = []
+        for i in range(size):
+            words = [f"w{k}" for k in range(150)]
+            for k in rng.choice(150, int(rng.integers(1, 13)), replace=False):
+                words[k] = f"e{rng.integers(0, 5000)}"
+            rows.append((i, " ".join(words)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()} == brute_components(rows, 5)
+    assert all(ids > 50 and laid <= 1.5 * ids for laid, ids in seen), seen
+
+
 def test_repeated_rows_and_rows_without_id(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(1, text), (1, text), (7, text), (None, text), (None, "alone here now"), (None, "alone here now"), (None, None), (3, None), (3, None)]
