@@ -14,7 +14,8 @@ from palimpsest.plans import derived, encode, intervals, replay, serving
 from palimpsest.plans.derived import quoted, re2, replace_sql, tokens_sql
 from palimpsest.sources import chat
 from palimpsest.streaming import cube
-from palimpsest.streaming.decoder import decode_stream, shared_folder
+from palimpsest.streaming import replies as stream_replies
+from palimpsest.streaming.decoder import shared_folder
 from palimpsest.streaming.sessions import Sessions
 from palimpsest.streaming.store import Store
 
@@ -633,9 +634,10 @@ _STEP = 7
 def _frames(spark, sf_dir) -> DataFrame:
     """Each prompt as a reply of short newline-delimited frames; those of odd conversations break off without a last frame."""
     p = derived.prompts(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("idx")).alias("session"), "content", (F.col("conv_id") % 2 == 0).alias("ends"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / _STEP)), lambda k: F.substring("content", (k * _STEP + 1).cast("int"), F.lit(_STEP)))
-    said = p.select("session", "ends", F.posexplode(cut).alias("seq", "piece"))
-    frames = said.select("session", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct(F.struct(F.col("piece").alias("content")).alias("message"), F.lit(False).alias("done"))).alias("frame"))
+    framed = lambda piece: F.to_json(F.struct(F.struct(piece.alias("content")).alias("message"), F.lit(False).alias("done")))
+    # built before the explode: a filter on what is parsed from a frame would build it anew
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / _STEP)), lambda k: framed(F.substring("content", (k * _STEP + 1).cast("int"), F.lit(_STEP))))
+    frames = p.select("session", F.posexplode(cut).alias("seq", "frame")).withColumn("seq", F.col("seq").cast("long"))
     last = p.filter("ends").select("session", F.lit(1 << 40).alias("seq"), F.lit('{"done": true}').alias("frame"))
     return frames.unionByName(last)
 
@@ -651,13 +653,14 @@ def s09(spark, sf_dir):
 def r05(spark, sf_dir):
     """A streaming query over stored deltas, run until all are read; its output is a table."""
     folder = shared_folder(spark)
-    chat.with_end(chat.ndjson_deltas(_frames(spark, sf_dir))).withColumn("session", F.col("session").cast("string")).write.parquet(f"{folder}/deltas")
-    deltas = spark.readStream.schema("session string, seq long, delta string, done boolean").parquet(f"{folder}/deltas")
-    said = decode_stream(deltas, dictionary.seed_expansion_texts())
-    said.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    said = spark.read.schema("session string, seq long, text string").parquet(f"{folder}/out")
-    return said.groupBy(F.col("session").cast("long").alias("session")).agg(F.array_join(ordered["text"], "").alias("out"))
+    chat.ndjson_deltas(_frames(spark, sf_dir)).withColumn("session", F.col("session").cast("string")).write.parquet(f"{folder}/deltas")
+    schema = "session string, seq long, delta string, done boolean"
+    # from the table, so that frames are built and parsed once
+    chat.missing_ends(spark.read.schema(schema).parquet(f"{folder}/deltas")).write.mode("append").parquet(f"{folder}/deltas")
+    deltas, store, known = spark.readStream.schema(schema).parquet(f"{folder}/deltas"), Store(spark, f"{folder}/replies"), dictionary.seed_expansion_texts()
+    step = lambda batch, number: stream_replies.advance(store, number, batch, known)
+    deltas.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream_replies.said(store).withColumn("session", F.col("session").cast("long"))
 
 
 on_prompts(

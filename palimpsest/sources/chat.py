@@ -80,9 +80,13 @@ def ndjson_deltas(frames: DataFrame, path: str = "$.message.content") -> DataFra
 
 def with_end(deltas: DataFrame) -> DataFrame:
     """Deltas of finished streams (session, seq, delta, done), of which those that broke off get a last row with ``done``, so that what a decoder holds comes out."""
+    return deltas.unionByName(missing_ends(deltas))
+
+
+def missing_ends(deltas: DataFrame) -> DataFrame:
+    """The last rows that streams which broke off lack."""
     last = deltas.groupBy("session").agg(F.max("seq").alias("seq"), F.max("done").alias("ended"))
-    ends = last.filter("not ended").select("session", (F.col("seq") + 1).alias("seq"), F.lit(None).cast("string").alias("delta"), F.lit(True).alias("done"))
-    return deltas.unionByName(ends)
+    return last.filter("not ended").select("session", (F.col("seq") + 1).alias("seq"), F.lit(None).cast("string").alias("delta"), F.lit(True).alias("done"))
 
 
 def write_dictionary(aliases: DataFrame, generations: DataFrame, path: str) -> None:

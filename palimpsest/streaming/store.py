@@ -59,6 +59,15 @@ class Store:
         # the number is a column of the files: folders are given one by one, so their names are no partitions
         return self.spark.read.option("recursiveFileLookup", "true").parquet(*paths) if paths else None
 
+    def one(self, name: str, number: int) -> DataFrame:
+        """The rows of one batch."""
+        return self.spark.read.parquet(f"{self.path}/{name}/batch={number}")
+
+    def last(self, name: str, before: int) -> DataFrame | None:
+        """The rows of the last batch before a number, for tables whose batches each hold all that counts; None where there is none."""
+        number = max((n for kind, n in self._folders(name) if kind == "batch" and n < before), default=None)
+        return None if number is None else self.one(name, number)
+
     def compact(self, name: str, before: int, files: int = 1) -> None:
         """All rows of the batches before a number, in one folder of ``files`` files."""
         rows = self.read(name, before)

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 
 import pytest
@@ -12,7 +13,8 @@ from palimpsest.functions.config import Settings
 from palimpsest.operators import dictionary, folding, metrics
 from palimpsest.plans import encode, replay
 from palimpsest.sources import chat
-from palimpsest.streaming import decoder
+from palimpsest.streaming import decoder, replies
+from palimpsest.streaming.store import Store
 
 MESSAGES = "conv_id long, idx long, role string, content string, has_tool_calls boolean"
 RULES = "Please make sure that you preserve the existing functionality. Do not break existing functionality. Run the full test suite afterwards. Preserve all public APIs exactly as they are. Update the documentation to match. Do not modify unrelated files."
@@ -98,6 +100,30 @@ def test_stream_query(spark, tmp_path):
     assert out == {"a": "first fix all bugs found then", "b": "x OK1"}
 
 
+def test_replies_by_batches(spark, tmp_path, monkeypatch):
+    """Sessions cut over batches at any place, of which one is run again, say what decoding each whole reply would; what waits is that of open sessions alone."""
+    monkeypatch.setattr(decoder, "SESSIONS", 3)
+    known, originals = {"K1": "one", "K12": "twelve"}, {"0123456789abcdef": "ORIGINAL"}
+    rng = random.Random(8)
+    parts = ["K1", "K12", "K", "xK1", "K1x", " ", "_", "[", "[ref:0123456789abcdef 3L]", "[code:0123", "é"]
+    want, batches = {}, [[], [], []]
+    for n in range(25):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 10)))
+        pieces = [text[i : i + 3] for i in range(0, len(text), 3)]
+        want[f"s{n}"] = "".join(decoder.decoded(pieces, known, originals))
+        at = sorted(rng.choices(range(3), k=len(pieces) + 1))
+        for seq, (batch, piece) in enumerate(zip(at, [*pieces, None], strict=True)):
+            batches[batch].append((f"s{n}", seq, piece, piece is None))
+    store = Store(spark, str(tmp_path))
+    for number in (0, 1, 1, 2):
+        batch = spark.createDataFrame(batches[number], "session string, seq long, delta string, done boolean")
+        replies.advance(store, number, batch, known, originals)
+        seen = {s for b in batches[: number + 1] for s, *_ in b}
+        ended = {s for b in batches[: number + 1] for s, _, _, done in b if done}
+        assert {r["session"] for r in store.one("held", number).collect()} == seen - ended
+    assert {r["session"]: r["out"] for r in replies.said(store).collect()} == want
+
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
